@@ -71,6 +71,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigweave.llm.pii import KINDS, as_text, found, train
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = found(docs, train(docs))
+
+    def count(i: int):  # noqa: ANN202
+        return F.size(F.filter(F.concat("base", "added"), lambda x: x["kind"] == i)).cast("long")
+
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return out.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.concat("base", "added")).alias("spans"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
