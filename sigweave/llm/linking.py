@@ -10,6 +10,7 @@ two components goes untested, so the components are those of all pairs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -36,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
             moved = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             moved = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        return moved.filter("a != b").distinct()
+        return moved.filter("a != b")
 
     def mark(e: DataFrame) -> tuple:
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -45,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.select("a", "b").filter("a != b").distinct(), "edges")
     was = mark(edges)
     while was[0]:
-        edges = stored(stars(stars(edges, True), False), "edges")
+        edges = stored(stars(stars(edges, True), False).distinct(), "edges")
         now = mark(edges)
         if now == was:
             break
@@ -53,7 +54,24 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
 
 
-def linked(rows: DataFrame, test: Test, rounds: int = 2) -> DataFrame:
+@dataclass(frozen=True)
+class Bound:
+    """What shows early that ids can't be linked.
+
+    `caps` gets a frame of ids and returns id, cap, shared: what an id has in common
+    with any other of the frame, and how much that is. `pair(info, cap, info, cap)` says
+    whether two ids may be linked; `any_of(info, cap, least)` whether one may be linked
+    with any id whose info is at least `least`; both only rule out what is impossible.
+    `exact(info, shared, info, shared)` says whether two ids are linked.
+    """
+
+    caps: Callable[[DataFrame], DataFrame]
+    pair: Callable[[Column, Column, Column, Column], Column]
+    any_of: Callable[[Column, Column, Column], Column]
+    exact: Callable[[Column, Column, Column, Column], Column]
+
+
+def linked(rows: DataFrame, test: Test, bound: Bound | None = None, rounds: int = 1) -> DataFrame:
     """Columns id, comp of the ids with a link; `rows` has key, id, info (what `test` may use to sort pairs out early).
 
     `test` gets distinct pairs a, b, a_info, b_info and returns the a, b that are linked.
@@ -64,30 +82,59 @@ def linked(rows: DataFrame, test: Test, rounds: int = 2) -> DataFrame:
         rows.withColumn("p", F.min(F.struct("id", "info")).over(key)).withColumn("q", F.max("id").over(key)).filter("p.id != q"),
         "shared",
     )
-    found, comp, tested = None, None, None
-    for step in range(rounds + 2):
-        if step == 0:
-            pairs = met.filter("p.id != id").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.info").alias("a_info"), F.col("info").alias("b_info")).dropDuplicates(["a", "b"])
+
+    def open_rows(now: DataFrame, step: int) -> DataFrame:
+        """The rows of keys with more than one component, and an id of the key as p; keys of two ids are done after the first round."""
+        pivot = F.min_by(F.struct("id", "info", "cap", "comp"), F.xxhash64("id", F.lit(step))).alias("p")
+        keys = now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("info").alias("least"), pivot)
+        return now.join(keys.filter("n > 2 and lo != hi").select("key", "p", "least"), "key")
+
+    def sides(x: str, y: str) -> list[Column]:
+        ordered = [F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")]
+        return [*ordered, F.expr(f"if({x}.id < {y}.id, {x}.info, {y}.info)").alias("a_info"), F.expr(f"if({x}.id < {y}.id, {y}.info, {x}.info)").alias("b_info")]
+
+    pairs = met.filter("p.id != id").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.info").alias("a_info"), F.col("info").alias("b_info"))
+    pairs = stored(pairs.dropDuplicates(["a", "b"]), "pairs")
+    tested = pairs.select("a", "b")
+    found = stored(test(pairs).select("a", "b").distinct(), "links")
+    comp = components(found)
+    left = met.select("key", "id", "info").distinct().withColumn("cap", F.lit(None).cast("long"))
+    for step in range(1, rounds + 2):
+        now = left.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        now = open_rows(now, step)
+        if bound:
+            if step == 1:
+                capped = stored(bound.caps(stored(now.select("id").distinct(), "ids")), "capped")
+                now = now.drop("cap").join(capped.select("id", "cap"), "id")
+            # who can't be linked with anyone of its key leaves it, which may settle the key
+            now = open_rows(now.filter(bound.any_of(F.col("info"), F.col("cap"), F.col("least"))).drop("p", "least"), step)
+        now = stored(now.select("key", "id", "info", "cap", "comp", "p"), "open")
+        left = now.select("key", "id", "info", "cap")
+        if now.isEmpty():
+            break
+        if step > rounds and bound:
+            # few are left; what they share decides, inside the join
+            row = F.struct("id", "info", "cap", "comp", "shared")
+            now = now.join(capped.select("id", "shared"), "id")
+            one, two = now.select("key", row.alias("x")), now.select("key", row.alias("y"))
+            met_now = one.join(two, (one["key"] == two["key"]) & F.expr("x.id < y.id and x.comp != y.comp") & bound.pair(F.col("x.info"), F.col("x.cap"), F.col("y.info"), F.col("y.cap")) & bound.exact(F.col("x.info"), F.col("x.shared"), F.col("y.info"), F.col("y.shared")))
+            good = stored(met_now.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "links")
+            return comp if good.isEmpty() else components(found.union(good))
+        row = F.struct("id", "info", "cap", "comp")
+        if step <= rounds:
+            met_now = now.select(row.alias("x"), F.col("p").alias("y")).filter("x.comp != y.comp")
         else:
-            now = met.select("key", "id", "info").distinct().join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            # keys of two ids are done after the first round
-            open_ = now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("id", "info", "comp"), F.xxhash64("id", F.lit(step))).alias("p")).filter("n > 2 and lo != hi")
-            now = now.join(open_.select("key", "p"), "key")
-            if step <= rounds:
-                made = now.filter("comp != p.comp").select(F.col("p.id").alias("x"), F.col("p.info").alias("x_info"), F.col("id").alias("y"), F.col("info").alias("y_info"))
-            else:
-                u = now.select("key", F.col("id").alias("x"), F.col("info").alias("x_info"), F.col("comp").alias("x_comp"))
-                v = now.select("key", F.col("id").alias("y"), F.col("info").alias("y_info"), F.col("comp").alias("y_comp"))
-                made = u.join(v, "key").filter("x < y and x_comp != y_comp")
-            ordered: list[Column] = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.expr("if(x < y, x_info, y_info)").alias("a_info"), F.expr("if(x < y, y_info, x_info)").alias("b_info")]
-            pairs = made.select(*ordered).dropDuplicates(["a", "b"]).join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if step and pairs.isEmpty():
+            one, two = now.select("key", row.alias("x")), now.select("key", row.alias("y"))
+            met_now = one.join(two, (one["key"] == two["key"]) & F.expr("x.id < y.id and x.comp != y.comp"))
+        if bound:
+            met_now = met_now.filter(bound.pair(F.col("x.info"), F.col("x.cap"), F.col("y.info"), F.col("y.cap")))
+        pairs = stored(met_now.select(*sides("x", "y")).dropDuplicates(["a", "b"]).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
             continue
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        tested = tested.union(pairs.select("a", "b"))
         good = stored(test(pairs).select("a", "b").distinct(), "links")
-        if step and good.isEmpty():
+        if good.isEmpty():
             continue
-        found = good if found is None else found.union(good)
+        found = found.union(good)
         comp = components(found)
     return comp

@@ -16,7 +16,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigweave.llm.linking import linked
+from sigweave.llm.linking import Bound, linked
 from sigweave.llm.shared import bounded_batches, sized_join, stored
 from sigweave.llm.words import hashed_words, mixed, shingles
 
@@ -28,6 +28,8 @@ BANDS, ROWS = 32, 4
 CELLS_LOG2 = 20
 #: Pairs of one id that one task verifies.
 PAIRS_A_TASK = 512
+#: Shingles of the first documents of all pairs up to which their sets are broadcast.
+BROADCAST_SHINGLES = 1_000_000
 
 
 class Circle:
@@ -105,22 +107,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = stored(signatures(docs), "signatures")
     alike = own.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     alike = stored(alike.filter("copies > 1").select("digest", "rep"), "alike")
-    own_rep = stored(sized_join(own, alike, ["digest"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.coalesce("rep", "doc_id") == F.col("doc_id"), F.col("bands")).alias("bands")), "own")
-    rows = own_rep.filter("n_shingles > 0 and doc_id is not null and bands is not null").select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("info"))
+    own_rep = sized_join(own, alike, ["digest"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    rows = own_rep.filter("n_shingles > 0 and doc_id = rep").select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("info"))
+
+    def shared_with_any(ids: DataFrame) -> DataFrame:
+        """The shingles of a document that any other of `ids` has too."""
+        some = stored(shingle_sets(sized_join(docs.select("doc_id", "text"), ids.withColumnRenamed("id", "doc_id"), ["doc_id"], "left_semi")).dropDuplicates(["doc_id", "found"]).select("doc_id", F.explode("found").alias("s")), "shingles")
+        common = some.groupBy("s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo != hi").select("s")
+        own = some.join(common, "s", "left_semi").groupBy("doc_id").agg(F.collect_set("s").alias("shared"))
+        return ids.join(own.withColumnRenamed("doc_id", "id"), "id", "left").select("id", F.coalesce(F.size("shared"), F.lit(0)).cast("long").alias("cap"), F.coalesce("shared", F.array().cast("array<long>")).alias("shared"))
+
+    # similarity s of sizes m and n means s / (1 + s) * (m + n) shingles in common
+    def may_link(m, cap, n, other):  # noqa: ANN001, ANN202
+        return (100 + SIMILARITY) * F.least(cap, other) >= SIMILARITY * (m + n)
+
+    def may_link_any(m, cap, least):  # noqa: ANN001, ANN202
+        return (100 + SIMILARITY) * cap >= SIMILARITY * (m + F.greatest(least, F.ceil(m * SIMILARITY / 100)))
+
+    def similar_sets(m, one, n, two):  # noqa: ANN001, ANN202
+        return (100 + SIMILARITY) * F.size(F.array_intersect(one, two)) >= SIMILARITY * (m + n)
 
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.filter(f"100 * least(a_info, b_info) >= {SIMILARITY} * greatest(a_info, b_info)"), "candidates")
         wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
         sets = stored(shingle_sets(sized_join(docs.select("doc_id", "text"), wanted, ["doc_id"], "left_semi")), "sets")
-        # an id of very many pairs meets them in several tasks
-        split = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("parts"))
-        one = split.join(sets.select(F.col("doc_id").alias("a"), F.col("found").alias("a_set")), "a").select("a", "a_set", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
-        two = pairs.join(split, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("part"))
-        two = two.join(sets.select(F.col("doc_id").alias("b"), F.col("found").alias("b_set")), "b")
-        both = two.join(one, ["a", "part"]).select("a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("n"), (F.size("a_set") + F.size("b_set")).alias("total"))
+        a_sets, b_sets = (sets.select(F.col("doc_id").alias(k), F.col("found").alias(f"{k}_set")) for k in ("a", "b"))
+        firsts = pairs.select("a", "a_info").distinct()
+        if (firsts.agg(F.sum("a_info")).first()[0] or 0) <= BROADCAST_SHINGLES:
+            met = pairs.select("a", "b").join(b_sets, "b").join(F.broadcast(a_sets.join(F.broadcast(firsts.select("a")), "a", "left_semi")), "a")
+        else:
+            # an id of very many pairs meets them in several tasks
+            split = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("parts"))
+            one = split.join(a_sets, "a").select("a", "a_set", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+            two = pairs.join(split, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), parts) as int)").alias("part"))
+            met = two.join(b_sets, "b").join(one, ["a", "part"])
+        both = met.select("a", "b", F.size(F.array_intersect("a_set", "b_set")).alias("n"), (F.size("a_set") + F.size("b_set")).alias("total"))
         return both.filter(f"100 * n >= {SIMILARITY} * (total - n)").select("a", "b")
 
-    comp = stored(linked(rows, similar), "components")
+    comp = stored(linked(rows, similar, Bound(shared_with_any, may_link, may_link_any, similar_sets)), "components")
     out = sized_join(own_rep.select("doc_id", "n_shingles", "rep"), comp.select(F.col("id").alias("rep"), "comp"), ["rep"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
