@@ -9,6 +9,9 @@ All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,23 @@ def segment_keys(line: Column, edits: int) -> Column:
     return F.array(*keys)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, in which the value is computed once however often it occurs."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def may_be_within(a: Column, b: Column, edits: int) -> Column:
+    """Whether all but `edits` of some pieces of `a` occur in `b`, each moved by `edits` at most: cheap, and true of every pair within that distance."""
+    pieces = 3 * edits + 2
+    n = F.length(a)
+    met = F.lit(0)
+    for k in range(pieces):
+        start, end = F.floor(n * k / pieces).cast("int"), F.floor(n * (k + 1) / pieces).cast("int")
+        first = F.greatest(start - edits, F.lit(0))
+        met = met + F.contains(F.substring(b, first + 1, end + edits - first), F.substring(a, start + 1, end - start)).cast("int")
+    return (F.abs(n - F.length(b)) <= edits) & (met >= pieces - edits)
+
+
 def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance of two strings is at most `edits`.
 
@@ -51,35 +71,38 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     diagonal, as the signs of their vertical differences (two integers). First the
     distance is followed along the band's lower edge, then along the last row.
     """
-    width = 2 * edits + 1
-    full = (1 << width) - 1
-    p, n = F.split(a, ""), F.length(a)
-
-    def step(acc: Column, x: Column) -> Column:
-        i, char = x["i"], x["c"]
-        same = F.lit(0).cast("long")
-        for bit in range(width):
-            same = same.bitwiseOR(F.when(F.get(x["p"], i + (bit - edits)) == char, F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long")))
-        vp, vn = acc["vp"], acc["vn"]
-        d0 = (((same.bitwiseAND(vp)) + vp).bitwiseXOR(vp)).bitwiseOR(same).bitwiseOR(vn).bitwiseAND(F.lit(full))
-        return F.struct(d0.alias("d0"), vp.alias("vp"), vn.alias("vn"), acc["n"].alias("n"), acc["far"].alias("far"), i.alias("i"))
-
-    def finish(s: Column) -> Column:
-        d0, vp, vn, i = s["d0"], s["vp"], s["vn"], s["i"]
-        hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(F.lit(full))
-        hn = d0.bitwiseAND(vp)
-        half = F.shiftright(d0, 1)
-        row = (s["n"] - 1 - i + edits).cast("int")  # of the matrix' last row in the band
-        bit = lambda v, at: F.expr("1").cast("long") if v is None else F.getbit(v, at)
-        diagonal = F.lit(1) - bit(d0, F.lit(2 * edits)).cast("int")
-        last = bit(hp, row).cast("int") - bit(hn, row).cast("int")
-        far = s["far"] + F.when(i < s["n"] - edits, diagonal).otherwise(last)
-        return F.struct(hn.bitwiseOR(F.bitwise_not(half.bitwiseOR(hp))).bitwiseAND(F.lit(full)).alias("vp"), half.bitwiseAND(hp).alias("vn"), s["n"].alias("n"), far.alias("far"))
-
-    begin = F.struct(F.lit(full - ((1 << edits) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), n.alias("n"), F.lit(edits).alias("far"))
-    chars = F.transform(F.split(b, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"), p.alias("p")))
-    distance = F.aggregate(chars, begin, lambda acc, x: finish(step(acc, x)), lambda acc: acc["far"])
-    return (F.abs(n - F.length(b)) <= edits) & (n > edits) & (F.length(b) > 0) & (distance <= edits)
+    full = (1 << (2 * edits + 1)) - 1
+    long = lambda v: F.lit(v).cast("long")
+    cut = lambda v: v.bitwiseAND(long(full))
+    bit = lambda v, at: F.getbit(v, at).cast("int")
+
+    def equal(s: Column) -> Column:
+        """For each character of b the cells of its band where a has the same."""
+
+        def of(char: Column, i: Column) -> Column:
+            cells = [F.when(F.get(s["p"], i + (k - edits)) == char, long(1 << k)).otherwise(long(0)) for k in range(2 * edits + 1)]
+            return reduce(Column.__add__, cells)
+
+        return F.transform(s["t"], of)
+
+    def step(acc: Column, same: Column) -> Column:
+        d0 = cut(same.bitwiseAND(acc["vp"]) + acc["vp"]).bitwiseXOR(acc["vp"]).bitwiseOR(same).bitwiseOR(acc["vn"])
+
+        def across(d: Column) -> Column:
+            return let(F.struct(d.alias("d0"), cut(acc["vn"].bitwiseOR(F.bitwise_not(d.bitwiseOR(acc["vp"])))).alias("hp"), d.bitwiseAND(acc["vp"]).alias("hn")), down)
+
+        def down(s: Column) -> Column:
+            half = F.shiftright(s["d0"], 1)
+            row = F.greatest(acc["n"] - 1 - acc["i"] + edits, F.lit(0))  # the matrix' last row in the band
+            far = F.when(acc["i"] < acc["n"] - edits, 1 - bit(s["d0"], F.lit(2 * edits))).otherwise(bit(s["hp"], row) - bit(s["hn"], row))
+            return F.struct(cut(s["hn"].bitwiseOR(F.bitwise_not(half.bitwiseOR(s["hp"])))).alias("vp"), half.bitwiseAND(s["hp"]).alias("vn"), acc["n"].alias("n"), (acc["far"] + far).alias("far"), (acc["i"] + 1).alias("i"))
+
+        return let(d0, across)
+
+    begin = F.struct(long(full - ((1 << edits) - 1)).alias("vp"), long(0).alias("vn"), F.length(a).alias("n"), F.lit(edits).alias("far"), F.lit(0).alias("i"))
+    masks = let(F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("t")), equal)
+    distance = F.aggregate(masks, begin, step, lambda acc: acc["far"])
+    return (F.abs(F.length(a) - F.length(b)) <= edits) & (F.length(a) > edits) & (F.length(b) > 0) & (distance <= edits)
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
@@ -107,6 +130,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST
         text = sized_join(_lines(docs, least_chars), wanted, ["id"], "left_semi").groupBy("id").agg(F.min("line").alias("line"))
         text = stored(text, "texts")
         met = pairs.select("a", "b").join(text.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
+        met = met.filter(may_be_within(F.col("a_line"), F.col("b_line"), edits))
         return met.filter(within_edits(F.col("a_line"), F.col("b_line"), edits)).select("a", "b")
 
     comp = stored(linked(rows, close), "classes")
