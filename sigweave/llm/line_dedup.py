@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigweave.llm.linking import linked
+from sigweave.llm.linking import Bound, linked
 from sigweave.llm.shared import sized_join, stored
 
 EDITS = 2
@@ -125,15 +125,22 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST
     rows = _lines(docs, least_chars).join(F.broadcast(hot), ["id", "id2"], "left").filter(F.col("first").isNull() | (F.col("first") == place))
     rows = rows.select(F.explode(segment_keys(F.col("line"), edits)).alias("key"), "id", F.lit(0).cast("tinyint").alias("info"))
 
+    texts: list[DataFrame] = []
+
     def close(pairs: DataFrame) -> DataFrame:
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        text = sized_join(_lines(docs, least_chars), wanted, ["id"], "left_semi").groupBy("id").agg(F.min("line").alias("line"))
-        text = stored(text, "texts")
-        met = pairs.select("a", "b").join(text.select(F.col("id").alias("a"), F.col("line").alias("a_line")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("b_line")), "b")
-        met = met.filter(may_be_within(F.col("a_line"), F.col("b_line"), edits))
-        return met.filter(within_edits(F.col("a_line"), F.col("b_line"), edits)).select("a", "b")
-
-    comp = stored(linked(rows, close), "classes")
+        if not texts:  # the first pairs hold all ids that later ones can have
+            wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+            found = sized_join(_lines(docs, least_chars), wanted, ["id"], "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+            texts.append(stored(found, "texts"))
+        one, two = (texts[0].select(F.col("id").alias(k), F.col("line").alias(f"{k}_line")) for k in ("a", "b"))
+        return pairs.select("a", "b").join(one, "a").join(two, "b").filter(near(F.col("a_line"), F.col("b_line"))).select("a", "b")
+
+    def near(a: Column, b: Column) -> Column:
+        return may_be_within(a, b, edits) & within_edits(a, b, edits)
+
+    any_pair = F.lit(True)
+    bound = Bound(lambda ids: ids.join(texts[0], "id").select("id", F.lit(0).cast("long").alias("cap"), F.col("line").alias("shared")), lambda *_: any_pair, lambda *_: any_pair, lambda _, a, __, b: near(a, b))
+    comp = stored(linked(rows, close, bound), "classes")
     known = sized_join(first, comp, ["id"], "left")
     heads = known.filter("comp is not null").groupBy("comp").agg(F.min("first").alias("head"))
     known = sized_join(known.filter("n > 1 or comp is not null"), stored(heads, "heads"), ["comp"], "left")
