@@ -369,8 +369,8 @@ def sliding_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "window_idx", rounded(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x) / F.size("samples")).alias("mean_v"), F.size("samples").cast("long").alias("n"))
 
 
-SQL_EPOCHS = f"""{SQL_EVENTS}, m AS (SELECT user_id, event_id AS marker_id, t AS at FROM ev WHERE event_type = 'signup'),
-ep AS (SELECT ev.user_id, marker_id, event_id, event_type, v, t - at AS rel FROM m JOIN ev ON m.user_id = ev.user_id AND t - at >= -86400 AND t - at <= 172800)"""
+SQL_EPOCHS = f"""{SQL_EVENTS}, m AS (SELECT user_id, event_id AS marker_id, t AS at_t FROM ev WHERE event_type = 'signup'),
+ep AS (SELECT ev.user_id, marker_id, event_id, event_type, v, t - at_t AS rel FROM m JOIN ev ON m.user_id = ev.user_id AND t - at_t >= -86400 AND t - at_t <= 172800)"""
 
 
 def event_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
