@@ -25,7 +25,7 @@ from sigweave.llm.shared import bounded_batches
 #: Fixed: the pattern by which byte-level BPE files of this kind split a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces, states and token pairs that a worker keeps; beyond, it starts anew.
-KEPT_PIECES, KEPT_STATES, KEPT_PAIRS = 400_000, 200_000, 500_000
+KEPT_PIECES, KEPT_STATES, KEPT_PAIRS = 700_000, 300_000, 400_000
 #: Characters and ids that are in work at a time.
 WORK = 1 << 16
 
@@ -37,20 +37,23 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class State:
-    """The places where a token that spans the present place may start.
+class State(dict):
+    """The places where a token that spans the present place may start; as a map, byte to (ids now certain, next state).
 
-    Each is (bytes since it, token before it, tokens between the last firm boundary
-    and it); the last one is the present place itself.
+    Each place is (bytes since it, token before it, tokens between the last firm
+    boundary and it); the last one is the present place itself.
     """
 
-    __slots__ = ("places", "next", "rest")
+    __slots__ = ("places", "machine", "rest")
 
-    def __init__(self, places: tuple[tuple[bytes, int | None, tuple[int, ...]], ...]) -> None:
-        self.places = places
-        self.next: dict[int, tuple[bytes, State]] = {}
+    def __init__(self, places: tuple[tuple[bytes, int | None, tuple[int, ...]], ...], machine: Transducer) -> None:
+        super().__init__()
+        self.places, self.machine = places, machine
         self.rest = packed(places[-1][2])
 
+    def __missing__(self, byte: int) -> tuple[bytes, State]:
+        return self.machine.step(self, byte)
+
 
 def packed(ids: tuple[int, ...]) -> bytes:
     return b"".join([i.to_bytes(4, "little") for i in ids])
@@ -67,7 +70,7 @@ class Transducer:
         self.starts = {t[:k] for t in ids for k in range(1, len(t))}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.states: dict[tuple, State] = {}
-        self.root = State(((b"", None, ()),))
+        self.root = State(((b"", None, ()),), self)
 
     def sufficient_lookahead(self) -> int:
         """Bytes behind a token after which no merge can change it: each merge that reaches it from the right hands on at most the longest token's bytes, and each is used once."""
@@ -119,17 +122,17 @@ class Transducer:
         if following is None:
             if len(self.states) >= KEPT_STATES:
                 self.states.clear()
-                self.root = State(self.root.places)
-                state = State(state.places)  # its old transitions go too
-            following = self.states[key] = State(key)
+                self.root = State(self.root.places, self)
+                state = State(state.places, self)  # its old transitions go too
+            following = self.states[key] = State(key, self)
         sure = packed(chain[:firm])
-        state.next[byte] = (sure, following)
+        state[byte] = (sure, following)
         return sure, following
 
     def encode(self, piece: bytes) -> bytes:
         state, out = self.root, []
         for byte in piece:
-            sure, state = state.next.get(byte) or self.step(state, byte)
+            sure, state = state[byte]
             if sure:
                 out.append(sure)
         out.append(state.rest)
@@ -137,16 +140,19 @@ class Transducer:
 
 
 class Pieces(dict):
-    """Ids of the pieces met lately."""
+    """Ids of the pieces met lately: those met since it was last half full, and those of before that were met again."""
 
     def __init__(self, transducer: Transducer) -> None:
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode())
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.transducer.encode(piece.encode())
         if len(piece) <= 32:
-            if len(self) >= KEPT_PIECES:
+            if len(self) >= KEPT_PIECES // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
