@@ -112,9 +112,8 @@ def vocabulary(tokens: DataFrame, min_frequency: int = 1, max_size: int = 10_000
 def encode(tokens: DataFrame, vocab: DataFrame, key: str, order: str, max_length: int | None = None) -> DataFrame:
     """key, input_ids, attention_mask of rows (key, order, token): unknown tokens are <UNK>; cut and padded on the right to `max_length` if given."""
     unknown, pad = dims.SPECIAL_TOKENS.index("<UNK>"), dims.SPECIAL_TOKENS.index("<PAD>")
-    met = tokens.join(vocab.select("token", "id"), "token", "left").withColumn("id", F.coalesce("id", F.lit(unknown).cast("long")))
-    ids = ordered("id", order)
-    out = met.groupBy(key).agg(ids.alias("ids"))
+    met = tokens.join(vocab.select("token", F.col("id").alias("__id")), "token", "left").withColumn("__id", F.coalesce("__id", F.lit(unknown).cast("long")))
+    out = met.groupBy(key).agg(ordered("__id", order).alias("ids"))
     if max_length is None:
         return out.select(key, F.col("ids").alias("input_ids"), F.transform("ids", lambda _: F.lit(1)).alias("attention_mask"))
     cut = F.slice("ids", 1, max_length)
