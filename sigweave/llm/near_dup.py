@@ -153,5 +153,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each component the one of the least doc_id; columns as they came, one row for a repeated doc_id."""
     kept = stored(near_duplicates(docs).filter("kept").select("doc_id").distinct(), "kept")
-    nulls = docs.filter("doc_id is null")
-    return docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").union(nulls)
+    found = sized_join(docs.filter("doc_id is not null"), kept, ["doc_id"], "left_semi")
+    repeated = stored(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        again = sized_join(found, repeated, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+        found = sized_join(found, repeated, ["doc_id"], "left_anti").union(again)
+    return found.union(docs.filter("doc_id is null")).select(docs.columns)
