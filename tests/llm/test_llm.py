@@ -162,9 +162,9 @@ def test_lm_base_is_exact_and_windows_agree(spark, docs):
 
 def test_attention_sees_no_later_ids():
     rng = np.random.default_rng(0)
-    n, k, w = 300, lm_scoring.CLASSES, lm_scoring.WIDTH
+    n, k, w, g, m = 300, lm_scoring.CLASSES, lm_scoring.WIDTH, lm_scoring.GROUPS, lm_scoring.MEMBERS
     make = lambda *s: 0.5 * rng.normal(size=s).astype(np.float32)
-    model = lm_scoring.Model(np.arange(k, dtype=np.int32), np.zeros(k, np.float32), make(k, k), make(k, w), make(w, w), make(w, w), make(w, w), make(lm_scoring.CONTEXT + lm_scoring.STRIDE), make(w, k))
+    model = lm_scoring.Model(np.arange(k, dtype=np.int32), np.zeros(k, np.float32), make(k, g), make(k, g, m), make(k, w), make(w, w), make(w, w), make(w, w), make(lm_scoring.CONTEXT + lm_scoring.STRIDE), make(w, g), make(g, w, m))
     ids = rng.integers(0, k, n).astype(np.int32)
     texts = np.zeros(n, np.int64)
     one = model.log_p(ids, texts)
