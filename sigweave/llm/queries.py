@@ -41,7 +41,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return digests(formatted(turns.union(more)))
+    return digests(formatted(turns.union(more))).drop("valid")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +78,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = found(docs, train(docs))
 
     def count(i: int):  # noqa: ANN202
-        return F.size(F.filter(F.concat("base", "added"), lambda x: x["kind"] == i)).cast("long")
+        return F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
 
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return out.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.concat("base", "added")).alias("spans"))
+    return out.select("doc_id", *counts, F.size("added").cast("long").alias("n_added"), F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.concat("base", "added")).alias("spans"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,5 +101,25 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+SQL = {
+    "op1_chat_formatting": r"""WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss, length(text) + length(regexp_replace(text, '[^\\<\[\]]', '', 'g')) + CASE role
+  WHEN 'system' THEN length('<<SYS>>x') + length('x<</SYS>>x') WHEN 'user' THEN length('[INST] ') + length(' [/INST]') WHEN 'assistant' THEN length('<a> ') + length(' </s>x')
+  ELSE length('[ROLE ] ') + length(role) + length(regexp_replace(role, '[^\\<\[\]]', '', 'g')) + length(' [/ROLE]x') END AS chars FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, sum(length(loss))::BIGINT AS loss_chars,
+  sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars FROM t GROUP BY conv_id""",
+    "op10_minhash_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS reach FROM documents UNION SELECT r.id, b FROM r JOIN both_ways ON reach = a),
+m AS (SELECT id, min(reach) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
