@@ -20,10 +20,10 @@ from sigweave.llm.shared import bounded_batches, stored
 from sigweave.llm.words import hashed_words, shingles
 
 #: Labelled and unlabelled rows that training uses at most, taken in the order of a hash of their ids.
-LABELLED, UNLABELLED = 8000, 4000
+LABELLED, UNLABELLED = 6000, 2000
 ROUNDS, EXCHANGED = 3, 200
 #: Words that the text view keeps at most, and what makes one significant.
-WORDS, LEAST_DOCS, LEAST_Z = 2000, 8, 5.0
+WORDS, LEAST_DOCS, LEAST_Z = 1000, 8, 5.0
 STATS = ("words", "word_bytes", "symbols", "capitals", "digits", "other_bytes", "repeats", "repeated_windows")
 BINS = 10
 META_CELLS = 256
@@ -57,11 +57,10 @@ def meta_cells(sources: list, langs: list, lengths: list) -> np.ndarray:
 
 
 def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 120) -> np.ndarray:
-    """Weights of a logistic regression (the last is the constant) by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights of a logistic regression by accelerated gradient steps; the last column of x is the constant's."""
     w = np.zeros(x.shape[1], x.dtype)
     v, weight = w.copy(), (weight / weight.sum()).astype(x.dtype)
-    rate = 4.0 / max(float((weight[:, None] * x**2).sum()), 1e-9)
+    rate = 4.0 / max(float(weight @ np.einsum("ij,ij->i", x, x)), 1e-9)
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
         new = v - rate * 4 * (x.T @ (weight * (p - y)) + penalty * np.append(v[:-1], 0).astype(x.dtype))
@@ -135,11 +134,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     chosen = np.argsort(-z, kind="stable")[:WORDS]
     model = Model(np.sort(seen[chosen[z[chosen] > 0]]), np.quantile(stats[fit], np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T, np.zeros(0), np.zeros(0))
 
-    x_text = np.zeros((len(good), len(model.words) + len(STATS) * (BINS + 1)), np.float32)
+    x_text = np.zeros((len(good), len(model.words) + len(STATS) * (BINS + 1) + 1), np.float32)
     for i in range(len(good)):
         x_text[i, model.text_row(words[i], stats[i])] = 1
-    x_meta = np.zeros((len(good), META_CELLS), np.float32)
+    x_meta = np.zeros((len(good), META_CELLS + 1), np.float32)
     x_meta[np.arange(len(good))[:, None], meta] = 1
+    x_text[:, -1] = x_meta[:, -1] = 1
+    del seen, where, label, n_bad, n_good, rows
 
     views = [x_text, x_meta]
     taught = [{int(i): good[i] for i in fit} for _ in views]  # what each view learns from
@@ -152,9 +153,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         if turn == ROUNDS - 1 or not len(free):
             break
         for k, x in enumerate(views):
-            score = x[free] @ weights[k][:-1] + weights[k][-1]
+            score = x[free] @ weights[k]
             # a view only teaches where its held-out labels bear it out
-            z_held = x[held] @ weights[k][:-1] + weights[k][-1]
+            z_held = x[held] @ weights[k]
             for sign in (1, -1):
                 best = free[np.argsort(-sign * score, kind="stable")[:EXCHANGED]]
                 limit = sign * score[np.argsort(-sign * score, kind="stable")[: len(best)][-1]]
@@ -162,12 +163,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
                 if like.sum() >= 5 and (good[held][like] == (sign > 0)).mean() >= 0.95:
                     taught[1 - k].update({int(i): float(sign > 0) for i in best})
     model.text, model.meta = weights
-    z = np.stack([x[held] @ w[:-1] + w[-1] for x, w in zip(views, weights, strict=True)], 1)
+    z = np.stack([x[held] @ w for x, w in zip(views, weights, strict=True)], 1)
     if len({*good[held]}) == 2:
-        mix = fitted(z.astype(np.float64), good[held], np.ones(len(held)), 1e-4, 400)
+        ones = np.ones((len(held), 1))
+        mix = fitted(np.hstack([z, ones]), good[held], np.ones(len(held)), 1e-4, 400)
         if min(mix[:2]) < 0:  # a view that the held-out labels contradict counts nothing
             use = z * (mix[:2] > 0)
-            mix = fitted(use, good[held], np.ones(len(held)), 1e-4, 400) * np.append(mix[:2] > 0, True)
+            mix = fitted(np.hstack([use, ones]), good[held], np.ones(len(held)), 1e-4, 400) * np.append(mix[:2] > 0, True)
         model.mix = mix
     return model
 

@@ -341,7 +341,7 @@ def test_language_id(spark, docs):
 
 
 def test_quality_model(spark):
-    dir_ = "/root/testdata/sf0.01"
+    dir_ = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{dir_}/documents.parquet"), spark.read.parquet(f"{dir_}/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
     odd = spark.createDataFrame([(-1, None, None, None, None), (-1, "", "en", "s", 0), (None, "x " * 40_000, "en", "s", None)], docs.schema)
