@@ -218,7 +218,9 @@ def train(docs: DataFrame) -> Chooser:
     other separators, a spelled-out at), are the positives; candidates apart from all
     rules' spans are the negatives.
     """
-    with_any = docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike("[0-9@]")).select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLED)
+    some = docs.filter(F.col("doc_id").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike("[0-9@]")).select("doc_id", "text")
+    drawn = stored(some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED).distinct(), "drawn")
+    with_any = some.join(F.broadcast(drawn), "doc_id", "left_semi")
     found = stored(with_any.select("doc_id", "text", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("loose")), "spans")
     around = lambda c: [F.expr(f"substring(text, greatest({c}.start - {AROUND}, 0) + 1, least({c}.start, {AROUND}))"), F.expr(f"substring(text, {c}.end + 1, {AROUND})")]
     yes = found.select("doc_id", "text", F.explode("base").alias("c")).select("doc_id", "c", *(x.alias(k) for x, k in zip(around("c"), ("before", "after"), strict=True)))
