@@ -21,6 +21,8 @@ from sigweave.llm.shared import sized_join, stored
 EDITS = 2
 #: Shorter lines stay: that they repeat says little.
 LEAST_CHARS = 25
+#: Characters of the pieces that sort pairs out before they are verified.
+FINE = 4
 #: A line that is more than one in so many of all is met by its first copy alone.
 HOT_ONE_IN = 1000
 
@@ -61,7 +63,9 @@ def may_be_within(a: Column, b: Column, edits: int) -> Column:
         start, end = F.floor(n * k / pieces).cast("int"), F.floor(n * (k + 1) / pieces).cast("int")
         first = F.greatest(start - edits, F.lit(0))
         met = met + F.contains(F.substring(b, first + 1, end + edits - first), F.substring(a, start + 1, end - start)).cast("int")
-    return (F.abs(n - F.length(b)) <= edits) & (met >= pieces - edits)
+    # then pieces of FINE characters, so that a changed word spoils more of them than the edits can
+    spoiled = F.filter(F.sequence(F.lit(0), F.floor(n / FINE).cast("int") - 1), lambda k: ~F.contains(F.substring(b, F.greatest(k * FINE - edits, F.lit(0)) + 1, k * 0 + FINE + 2 * edits), F.substring(a, k * FINE + 1, F.lit(FINE))))
+    return (F.abs(n - F.length(b)) <= edits) & (met >= pieces - edits) & ((n < FINE) | (F.size(spoiled) <= edits))
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
