@@ -83,11 +83,11 @@ def linked(rows: DataFrame, test: Test, bound: Bound | None = None, rounds: int
         "shared",
     )
 
-    def open_rows(now: DataFrame, step: int) -> DataFrame:
-        """The rows of keys with more than one component, and an id of the key as p; keys of two ids are done after the first round."""
+    def open_rows(now: DataFrame, step: int, most_done: int) -> DataFrame:
+        """The rows of keys with more than one component and more than `most_done` ids, and an id of the key as p."""
         pivot = F.min_by(F.struct("id", "info", "cap", "comp"), F.xxhash64("id", F.lit(step))).alias("p")
         keys = now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("info").alias("least"), pivot)
-        return now.join(keys.filter("n > 2 and lo != hi").select("key", "p", "least"), "key")
+        return now.join(keys.filter(f"n > {most_done} and lo != hi").select("key", "p", "least"), "key")
 
     def sides(x: str, y: str) -> list[Column]:
         ordered = [F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")]
@@ -101,13 +101,15 @@ def linked(rows: DataFrame, test: Test, bound: Bound | None = None, rounds: int
     left = met.select("key", "id", "info").distinct().withColumn("cap", F.lit(None).cast("long"))
     for step in range(1, rounds + 2):
         now = left.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        now = open_rows(now, step)
+        # the round before had one id of the key meet all others of these rows, so two ids are done
+        now = open_rows(now, step, 2)
         if bound:
             if step == 1:
                 capped = stored(bound.caps(stored(now.select("id").distinct(), "ids")), "capped")
                 now = now.drop("cap").join(capped.select("id", "cap"), "id")
-            # who can't be linked with anyone of its key leaves it, which may settle the key
-            now = open_rows(now.filter(bound.any_of(F.col("info"), F.col("cap"), F.col("least"))).drop("p", "least"), step)
+            # who can't be linked with anyone of its key leaves it, which may settle the key;
+            # if the id that met the others has left, two that stay haven't met
+            now = open_rows(now.filter(bound.any_of(F.col("info"), F.col("cap"), F.col("least"))).drop("p", "least"), step, 1)
         now = stored(now.select("key", "id", "info", "cap", "comp", "p"), "open")
         left = now.select("key", "id", "info", "cap")
         if now.isEmpty():

@@ -52,6 +52,22 @@ def test_components(spark):
     assert linking.components(edges.limit(0)).count() == 0
 
 
+def test_links_outlast_the_id_that_met_all(spark):
+    """A key's first id, and one that a later round drops, can be linked with nothing; the other two are linked in it alone."""
+
+    def linked_ids(infos, caps, link):
+        rows = spark.createDataFrame([("k", i, n) for i, n in infos.items()], "key string, id long, info long")
+        shared = spark.createDataFrame(list(caps.items()), "id long, cap long").withColumn("shared", F.lit(0))
+        good = lambda a, b: (a == link[0]) & (b == link[1])
+        bound = linking.Bound(lambda ids: ids.join(shared, "id"), lambda *_: F.lit(True), lambda _, cap, least: cap >= least, lambda m, _, n, __: (m == infos[link[0]]) & (n == infos[link[1]]))
+        return {r.id: r.comp for r in linking.linked(rows, lambda p: p.filter(good(F.col("a"), F.col("b"))), bound).collect()}
+
+    assert linked_ids({1: 1, 2: 6, 3: 7}, {1: 0, 2: 9, 3: 9}, (2, 3)) == {2: 2, 3: 2}
+    for late in (2, 3, 4):
+        one, two = (i for i in (2, 3, 4) if i != late)
+        assert linked_ids({1: 1, late: 5, one: 6, two: 7}, {1: 0, late: 3, one: 9, two: 9}, (one, two)) == {one: one, two: one}
+
+
 # --- 1 -----------------------------------------------------------------------------------------
 
 
