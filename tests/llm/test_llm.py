@@ -176,6 +176,34 @@ def test_lm_base_is_exact_and_windows_agree(spark, docs):
     assert np.allclose(alone[0], beside[0], rtol=2e-3) and len(beside) == 3
 
 
+def test_lm_scores_do_not_depend_on_where_words_are_priced(spark, docs, monkeypatch):
+    path = public.path("byte_bpe_50k.tiktoken")
+    train = docs.filter("doc_id < 40").select("doc_id", "text")
+    some = train.union(spark.createDataFrame([(900, None), (901, "zqxzqx the"), (902, "q" * 5000)], "doc_id long, text string"))
+    monkeypatch.setattr(lm_scoring, "STEPS", 5)
+    out = []
+    for one_in in (1_000_000, 100, 1):
+        monkeypatch.setattr(lm_scoring, "FREQUENT_ONE_IN", one_in)
+        trained, counts = lm_scoring.train(train, path)
+        out.append((trained, {r.doc_id: r for r in lm_scoring.scored(some, trained, counts, path).collect()}))
+    assert len(out[0][0].frequent) == counts.count() > 10 * len(out[1][0].frequent) and not out[2][0].frequent
+    for trained, rows in out[1:]:
+        assert abs(trained.weight - out[0][0].weight) < 1e-4 and len(rows) == len(out[0][1])
+        for i, r in out[0][1].items():
+            assert rows[i].n_known == r.n_known and abs(rows[i].base_score - r.base_score) < 1e-6 * abs(r.base_score)
+            assert abs(rows[i].score - r.score) < 1e-3 * abs(r.score)
+
+
+def test_lm_classes_are_ranked_by_all_counted_words(spark, monkeypatch):
+    path = public.path("byte_bpe_50k.tiktoken")
+    monkeypatch.setattr(lm_scoring, "STEPS", 1)
+    monkeypatch.setattr(lm_scoring, "SAMPLED", 1)
+    train = spark.createDataFrame([(i, f"{w} " * 50) for i, w in enumerate(("house", "water", "music", "green"))], "doc_id long, text string")
+    classes = lm_scoring.train(train, path)[0].model.classes
+    ids = lm_scoring.ids_of([b"house", b"water", b"music", b"green"], path)[0]
+    assert len(ids) == 4 and sorted(classes[ids]) == [0, 1, 2, 3]
+
+
 def test_attention_sees_no_later_ids():
     rng = np.random.default_rng(0)
     n, k, w, g, m = 300, lm_scoring.CLASSES, lm_scoring.WIDTH, lm_scoring.GROUPS, lm_scoring.MEMBERS
