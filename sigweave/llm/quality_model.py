@@ -20,10 +20,10 @@ from sigweave.llm.shared import bounded_batches, stored
 from sigweave.llm.words import hashed_words, shingles
 
 #: Labelled and unlabelled rows that training uses at most, taken in the order of a hash of their ids.
-LABELLED, UNLABELLED = 6000, 2000
+LABELLED, UNLABELLED = 8000, 4000
 ROUNDS, EXCHANGED = 3, 200
 #: Words that the text view keeps at most, and what makes one significant.
-WORDS, LEAST_DOCS, LEAST_Z = 1000, 8, 5.0
+WORDS, LEAST_DOCS, LEAST_Z = 2000, 8, 5.0
 STATS = ("words", "word_bytes", "symbols", "capitals", "digits", "other_bytes", "repeats", "repeated_windows")
 BINS = 10
 META_CELLS = 256
@@ -56,14 +56,32 @@ def meta_cells(sources: list, langs: list, lengths: list) -> np.ndarray:
     return np.array([[cell("source", s), cell("lang", x), cell("length", None if n is None else int(np.log1p(max(n, 0)) / np.log(1.5)))] for s, x, n in zip(sources, langs, lengths, strict=True)], np.int64).reshape(-1, 3)
 
 
-def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 120) -> np.ndarray:
-    """Weights of a logistic regression by accelerated gradient steps; the last column of x is the constant's."""
-    w = np.zeros(x.shape[1], x.dtype)
-    v, weight = w.copy(), (weight / weight.sum()).astype(x.dtype)
-    rate = 4.0 / max(float(weight @ np.einsum("ij,ij->i", x, x)), 1e-9)
+class Sparse:
+    """A matrix of zeros and ones by the places of the ones in each row, of which each has some."""
+
+    def __init__(self, rows: list[np.ndarray], width: int) -> None:
+        self.sizes = np.array([len(r) for r in rows], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.at = np.concatenate(rows).astype(np.int32)
+        self.width = width
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(v[self.at], self.starts)
+
+    def gathered(self, g: np.ndarray) -> np.ndarray:
+        """The product of the transposed matrix with a number for each row."""
+        return np.bincount(self.at, np.repeat(g, self.sizes), self.width)
+
+
+def fitted(x: np.ndarray | Sparse, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 120) -> np.ndarray:
+    """Weights of a logistic regression by accelerated gradient steps; the last column of x is the constant's, rows of weight 0 count nothing."""
+    gathered, squares, width = (x.gathered, x.sizes, x.width) if isinstance(x, Sparse) else (x.T.__matmul__, np.einsum("ij,ij->i", x, x), x.shape[1])
+    w = np.zeros(width)
+    v, weight = w.copy(), weight / weight.sum()
+    rate = 4.0 / max(float(weight @ squares), 1e-9)
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        new = v - rate * 4 * (x.T @ (weight * (p - y)) + penalty * np.append(v[:-1], 0).astype(x.dtype))
+        new = v - rate * 4 * (gathered(weight * (p - y)) + penalty * np.append(v[:-1], 0))
         v, w = new + k / (k + 3) * (new - w), new
     return w
 
@@ -134,12 +152,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     chosen = np.argsort(-z, kind="stable")[:WORDS]
     model = Model(np.sort(seen[chosen[z[chosen] > 0]]), np.quantile(stats[fit], np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T, np.zeros(0), np.zeros(0))
 
-    x_text = np.zeros((len(good), len(model.words) + len(STATS) * (BINS + 1) + 1), np.float32)
-    for i in range(len(good)):
-        x_text[i, model.text_row(words[i], stats[i])] = 1
-    x_meta = np.zeros((len(good), META_CELLS + 1), np.float32)
-    x_meta[np.arange(len(good))[:, None], meta] = 1
-    x_text[:, -1] = x_meta[:, -1] = 1
+    width = len(model.words) + len(STATS) * (BINS + 1) + 1
+    x_text = Sparse([np.append(model.text_row(*f), width - 1) for f in zip(words, stats, strict=True)], width)
+    x_meta = Sparse([np.append(np.unique(cells), META_CELLS) for cells in meta], META_CELLS + 1)
     del seen, where, label, n_bad, n_good, rows
 
     views = [x_text, x_meta]
@@ -148,14 +163,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     for turn in range(ROUNDS):
         for k, x in enumerate(views):
             at = np.array(sorted(taught[k]))
-            trust = np.where(np.isin(at, fit), 1.0, 0.3)
-            weights[k] = fitted(x[at], np.array([taught[k][i] for i in at], np.float32), trust)
+            trust, told = np.zeros(len(good)), np.zeros(len(good))
+            trust[at] = np.where(np.isin(at, fit), 1.0, 0.3)
+            told[at] = [taught[k][i] for i in at]
+            weights[k] = fitted(x, told, trust)
         if turn == ROUNDS - 1 or not len(free):
             break
         for k, x in enumerate(views):
-            score = x[free] @ weights[k]
+            every = x @ weights[k]
+            score = every[free]
             # a view only teaches where its held-out labels bear it out
-            z_held = x[held] @ weights[k]
+            z_held = every[held]
             for sign in (1, -1):
                 best = free[np.argsort(-sign * score, kind="stable")[:EXCHANGED]]
                 limit = sign * score[np.argsort(-sign * score, kind="stable")[: len(best)][-1]]
@@ -163,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
                 if like.sum() >= 5 and (good[held][like] == (sign > 0)).mean() >= 0.95:
                     taught[1 - k].update({int(i): float(sign > 0) for i in best})
     model.text, model.meta = weights
-    z = np.stack([x[held] @ w for x, w in zip(views, weights, strict=True)], 1)
+    z = np.stack([(x @ w)[held] for x, w in zip(views, weights, strict=True)], 1)
     if len({*good[held]}) == 2:
         ones = np.ones((len(held), 1))
         mix = fitted(np.hstack([z, ones]), good[held], np.ones(len(held)), 1e-4, 400)

@@ -385,7 +385,7 @@ def test_language_id(spark, docs):
 
 
 def test_quality_model(spark):
-    dir_ = "/root/testdata/sf0.1"
+    dir_ = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{dir_}/documents.parquet"), spark.read.parquet(f"{dir_}/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
     odd = spark.createDataFrame([(-1, None, None, None, None), (-1, "", "en", "s", 0), (None, "x " * 40_000, "en", "s", None)], docs.schema)
@@ -398,6 +398,27 @@ def test_quality_model(spark):
     assert quality_model.drop_rejected(docs.limit(5), labels.limit(0)).columns == docs.columns
 
 
+def test_quality_model_rejects_toxic_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
+    tested = quality_model.scored(docs, labels.filter(~held)).join(labels.filter(held), "doc_id").cache()
+    assert tested.filter("quality = 0 and not kept").count() >= 0.8 * tested.filter("quality = 0").count()
+    assert tested.filter("quality = 1 and toxic = 0 and kept").count() >= 0.95 * tested.filter("quality = 1 and toxic = 0").count()
+    toxic, gone = tested.filter("toxic = 1").count(), tested.filter("toxic = 1 and not kept").count()
+    print("toxic", toxic, gone)
+    assert toxic and gone >= 0.8 * toxic
+
+
+def test_sparse_rows_fit_as_dense_ones():
+    rng = np.random.default_rng(4)
+    x = (rng.random((200, 30)) < 0.2).astype(float)
+    x[:, -1] = 1
+    y, weight = (x[:, 0] > x[:, 1]).astype(float), (rng.random(200) < 0.7).astype(float)
+    rows = quality_model.Sparse([np.flatnonzero(r) for r in x], 30)
+    used = weight > 0
+    assert np.allclose(quality_model.fitted(rows, y, weight), quality_model.fitted(x[used], y[used], weight[used]))
+
+
 # --- 10 ----------------------------------------------------------------------------------------
 
 
