@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch holds, so that long texts stay within a Python worker's memory.
@@ -15,9 +15,11 @@ BROADCAST_ROWS = 500_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; where it is unset (tests), a temporary one is set."""
+    """The shared folder of `spark.checkpoint.dir`; where it is unset, a temporary one is set in local mode (tests), and an error raised on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -31,6 +33,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hashed_share(key: str, rows: int, of: int) -> Column:
+    """Whether a row is among those of the least hashes of its key, `rows` of `of` in expectation; all are if there are no more."""
+    return F.lit(True) if of <= rows else F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 40)) < int(rows / of * (1 << 40))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of texts small, unless the session already says how large they are."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
