@@ -19,7 +19,7 @@ from sigweave.llm.linking import Bound, linked
 from sigweave.llm.shared import sized_join, stored
 
 EDITS = 2
-#: Shorter lines stay: that they repeat says little.
+#: Shorter lines are compared for equality alone: two edits in them are often another number or name.
 LEAST_CHARS = 25
 #: Characters of the pieces that sort pairs out before they are verified.
 FINE = 4
@@ -27,28 +27,32 @@ FINE = 4
 HOT_ONE_IN = 1000
 
 
-def segment_keys(line: Column, edits: int) -> Column:
+def segment_keys(line: Column, cuts: list[Column], edits: int) -> Column:
     """Hashes (length, segment number, segment) by which a line meets those up to `edits` edits away that aren't longer.
 
-    With a length that is `less` shorter, segment k of the other line can lie where
-    the edits left of it, and those right of it, leave it (both bounds hold, since
-    some segment has at most k - 1 edits to its left and edits + 1 - k to its right).
+    `cuts` are those of `segment_cuts`. With a length that is `less` shorter, segment k
+    of the other line can lie where the edits left of it, and those right of it, leave
+    it (both bounds hold, since some segment has at most k - 1 edits to its left and
+    edits + 1 - k to its right). The numbers are small and are hashed in by an exclusive
+    or, so that the generated code stays small enough to be compiled.
     """
-    keys = []
-    parts = edits + 1
+    keys, parts, at = [], edits + 1, iter(cuts)
     for less in range(edits + 1):
         n = F.length(line) - less
-        short = F.floor(n / parts).cast("int")
-        longer = n - short * parts  # so many of the last segments have one character more
+        ends = [F.lit(0), *(next(at) for _ in range(edits)), n]
         for k in range(1, parts + 1):
-            extra = F.greatest(F.lit(k - 1 - parts) + longer, F.lit(0))  # longer segments before this one
-            start = short * (k - 1) + extra + 1
-            size = short + F.when(longer >= parts + 1 - k, 1).otherwise(0)
             for shift in range(max(-(k - 1), less - (parts - k)), min(k - 1, less + parts - k) + 1):
-                keys.append(F.xxhash64(n, F.lit(k), F.substring(line, start + shift, size)))
+                segment = F.substring(line, ends[k - 1] + (shift + 1), ends[k] - ends[k - 1])
+                keys.append(F.xxhash64(segment).bitwiseXOR(F.shiftleft((n * (parts + 1) + k).cast("long"), 24)))
     return F.array(*keys)
 
 
+def segment_cuts(lines: DataFrame, edits: int) -> tuple[DataFrame, list[Column]]:
+    """The lines with columns that say where the segments of a line of this length, and of each shorter one, end; and these columns."""
+    cuts = {f"cut{less}_{k}": F.expr(f"cast((length(line) - {less}) * {k} div {edits + 1} as int)") for less in range(edits + 1) for k in range(1, edits + 1)}
+    return lines.withColumns(cuts), [F.col(c) for c in cuts]
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """`use(value)`, in which the value is computed once however often it occurs."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -109,32 +113,37 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= edits) & (F.length(a) > edits) & (F.length(b) > 0) & (distance <= edits)
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    lines = docs.filter("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.filter(F.length("line") >= least).withColumns({"id": F.xxhash64("line"), "id2": F.xxhash64(F.lit("2"), "line")})
+def _lines(docs: DataFrame) -> DataFrame:
+    """Columns doc_id, pos, line, id, id2 of the lines that have a word."""
+    lines = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.filter(r"line rlike '[^\\x20\\x09-\\x0D]'").withColumns({"id": F.xxhash64("line"), "id2": F.xxhash64(F.lit("2"), "line")})
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Columns doc_id, pos: the lines (by number, from 0) that repeat an earlier one, exactly or up to `edits` edits.
+    """Columns doc_id, pos: the lines (by number, from 0) that repeat an earlier one.
 
-    Lines of `least_chars` characters or more form classes, linked by the edit
-    distance; the line that is first by (doc_id, pos) of each class isn't returned.
+    Lines that are equal form classes, whatever their length; those of `least_chars`
+    characters or more are also linked up to `edits` edits. The line that is first by
+    (doc_id, pos) of each class isn't returned. Lines without a word are left alone.
     """
     least_chars = max(least_chars, 2 * (edits + 1))
-    own = stored(_lines(docs, least_chars).select("doc_id", "pos", "id", "id2"), "lines")
+    lines = _lines(docs)
+    own = stored(lines.select("doc_id", "pos", "id", "id2"), "lines")
     place = F.struct("doc_id", "pos")
     first = stored(own.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first")
     many = max(1000, own.count() // HOT_ONE_IN)
     hot = stored(first.filter(F.col("n") >= many).select("id", "id2", "first"), "hot")  # HOT_ONE_IN rows at most
-    rows = _lines(docs, least_chars).join(F.broadcast(hot), ["id", "id2"], "left").filter(F.col("first").isNull() | (F.col("first") == place))
-    rows = rows.select(F.explode(segment_keys(F.col("line"), edits)).alias("key"), "id", F.lit(0).cast("tinyint").alias("info"))
+    long_lines = lines.filter(F.length("line") >= least_chars)
+    rows = long_lines.join(F.broadcast(hot), ["id", "id2"], "left").filter(F.col("first").isNull() | (F.col("first") == place))
+    rows, cuts = segment_cuts(rows.select("id", "line"), edits)
+    rows = rows.select(F.explode(segment_keys(F.col("line"), cuts, edits)).alias("key"), "id", F.lit(0).cast("tinyint").alias("info"))
 
     texts: list[DataFrame] = []
 
     def close(pairs: DataFrame) -> DataFrame:
         if not texts:  # the first pairs hold all ids that later ones can have
             wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-            found = sized_join(_lines(docs, least_chars), wanted, ["id"], "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+            found = sized_join(long_lines, wanted, ["id"], "left_semi").groupBy("id").agg(F.min("line").alias("line"))
             texts.append(stored(found, "texts"))
         one, two = (texts[0].select(F.col("id").alias(k), F.col("line").alias(f"{k}_line")) for k in ("a", "b"))
         return pairs.select("a", "b").join(one, "a").join(two, "b").filter(near(F.col("a_line"), F.col("b_line"))).select("a", "b")
@@ -159,11 +168,16 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     the lines of `repeated_lines`, the rest is joined by line ends again. A null text
     stays null and has no line; an empty one has one. Rows that repeat a doc_id count
     as one document, so one doesn't take the other's lines; a row without doc_id stays
-    as it is and takes no other's lines.
+    as it is and takes no other's lines. Columns n_lines or n_removed that `docs` has
+    already would clash: they are an error.
     """
-    removed = repeated_lines(docs, edits, least_chars).groupBy("doc_id").agg(F.collect_set("pos").alias("__removed"))
-    lines = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed")), lambda i: F.get(lines, i))
-    out = docs.join(removed, "doc_id", "left")
-    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), "n_removed": F.coalesce(F.size("__removed"), F.lit(0))})
-    return out.withColumn("text", F.when(F.col("n_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))).select(*docs.columns, "n_lines", "n_removed")
+    if taken := {"n_lines", "n_removed"} & set(docs.columns):
+        raise ValueError(f"rename these columns first: {sorted(taken)}")
+    removed = repeated_lines(docs, edits, least_chars).groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
+    removed = removed.select(F.col("doc_id").alias("__id"), F.col("pos").alias("__removed"))
+    out = docs.join(removed, docs["doc_id"].cast("long") == removed["__id"], "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), F.col("__removed"))
+    kept = let(F.split("text", "\n"), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))), "n_removed": F.coalesce(F.size("__removed"), F.lit(0))}
+    text = F.when(F.col("__removed").isNotNull(), kept).otherwise(F.col("text")).alias("text")
+    return out.select(*(text if c == "text" else docs[c] for c in docs.columns), *(v.alias(k) for k, v in counts.items()))

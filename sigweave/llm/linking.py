@@ -1,7 +1,8 @@
 """From rows (key, id) that share keys to classes of ids linked by an exact test.
 
 All pairs of a key are never made at once. First each key's least id meets the
-others; the tested pairs give components. Two further rounds do so with other
+others (of a key with very many ids, each part's least id does, and these meet the
+key's); the tested pairs give components. Two further rounds do so with other
 ids, and only against ids of other components. Last, the pairs that still lie in
 different components of a key and weren't tested meet. No pair that could join
 two components goes untested, so the components are those of all pairs.
@@ -16,7 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sigweave.llm.shared import stored
+from sigweave.llm.shared import BROADCAST_ROWS, stored
+
+#: Keys are looked for that hold one in HOT_ONE_IN of the rows (HOT_ONE_IN keys at most) and HOT_LEAST sampled rows,
+#: among one in SAMPLED_ONE_IN ids; the rows of such a key are dealt over SALTS tasks. This decides on the plan alone.
+SAMPLED_ONE_IN, HOT_ONE_IN, HOT_LEAST, SALTS = 16, 20_000, 32, 256
 
 Test = Callable[[DataFrame], DataFrame]
 
@@ -29,10 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
     (combined before the shuffle) and a join; every round is written and read again.
     """
 
-    def stars(e: DataFrame, larger: bool) -> DataFrame:
+    def stars(e: DataFrame, larger: bool, few: bool) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a"))) if larger else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        met = both.join(least, "a")
+        # a written table on either side lets the join split an id of very many neighbours
+        met = both.join(F.broadcast(least) if few else stored(least, "least").hint("merge"), "a")
         if larger:
             moved = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -46,7 +52,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stored(edges.select("a", "b").filter("a != b").distinct(), "edges")
     was = mark(edges)
     while was[0]:
-        edges = stored(stars(stars(edges, True), False).distinct(), "edges")
+        few = 2 * was[0] <= BROADCAST_ROWS
+        moved = stars(edges, True, few)
+        edges = stored(stars(moved if few else stored(moved, "moved"), False, few).distinct(), "edges")
         now = mark(edges)
         if now == was:
             break
@@ -71,17 +79,25 @@ class Bound:
     exact: Callable[[Column, Column, Column, Column], Column]
 
 
+def hot_keys(rows: DataFrame) -> DataFrame:
+    """Column key: the keys of very many rows, HOT_ONE_IN at most, found in a hashed sample of the ids."""
+    some = stored(rows.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SAMPLED_ONE_IN)) == 0).groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2"), "counts")
+    total = some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return stored(some.filter(F.col("n") >= max(HOT_LEAST, -(-total // HOT_ONE_IN))).select("key"), "hot")
+
+
 def linked(rows: DataFrame, test: Test, bound: Bound | None = None, rounds: int = 1) -> DataFrame:
     """Columns id, comp of the ids with a link; `rows` has key, id, info (what `test` may use to sort pairs out early).
 
     `test` gets distinct pairs a, b, a_info, b_info and returns the a, b that are linked.
     Rows with a null key must not occur; an id may have a key twice.
     """
-    key = W.partitionBy("key")
-    met = stored(
-        rows.withColumn("p", F.min(F.struct("id", "info")).over(key)).withColumn("q", F.max("id").over(key)).filter("p.id != q"),
-        "shared",
-    )
+    # a part of a hot key meets the part's least id, and these meet the least one of the key
+    hot = hot_keys(rows)
+    dealt = rows.join(F.broadcast(hot.select("key", F.lit(True).alias("hot"))), "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0))
+    part = W.partitionBy("key", "salt")
+    dealt = dealt.withColumn("p", F.min(F.struct("id", "info")).over(part)).withColumn("q", F.max("id").over(part))
+    met = stored(dealt.filter("hot or p.id != q").select("key", "id", "info", "p", "hot"), "shared")
 
     def open_rows(now: DataFrame, step: int, most_done: int) -> DataFrame:
         """The rows of keys with more than one component and more than `most_done` ids, and an id of the key as p."""
@@ -94,6 +110,9 @@ def linked(rows: DataFrame, test: Test, bound: Bound | None = None, rounds: int
         return [*ordered, F.expr(f"if({x}.id < {y}.id, {x}.info, {y}.info)").alias("a_info"), F.expr(f"if({x}.id < {y}.id, {y}.info, {x}.info)").alias("b_info")]
 
     pairs = met.filter("p.id != id").select(F.col("p.id").alias("a"), F.col("id").alias("b"), F.col("p.info").alias("a_info"), F.col("info").alias("b_info"))
+    heads = met.filter("hot").select("key", "p").distinct()
+    heads = heads.join(F.broadcast(heads.groupBy("key").agg(F.min("p").alias("top"))), "key").filter("p.id != top.id")  # HOT_ONE_IN keys at most
+    pairs = pairs.union(heads.select("top.id", "p.id", "top.info", "p.info"))
     pairs = stored(pairs.dropDuplicates(["a", "b"]), "pairs")
     tested = pairs.select("a", "b")
     found = stored(test(pairs).select("a", "b").distinct(), "links")
