@@ -2,21 +2,32 @@
 
 The rules' spans always stay. Beside them, generators of high recall propose spans
 that may overlap. Trees over the format and the surroundings of a candidate score
-it; a threshold for each kind, set on held-out candidates, selects what is added.
-All work on the tables is DataFrame expressions; only the trees' fit, on a bounded
-sample of candidates' features, runs in the driver.
+it; the scores of each kind are calibrated to probabilities on held-out candidates,
+and a threshold on these selects what is added. All work on the tables is DataFrame
+expressions; only the trees' fit, on a bounded sample of candidates' features, runs
+in the driver.
+
+The trees learn from the corpus' own personal data. Each span that a rule finds is
+rewritten, where it stands, in the ways that such data are often disguised
+(positives), and in ways that break what makes it personal data: another check
+digit, a part over 255, too few digits (negatives). Candidates in the texts whose
+plain form no rule accepts are negatives too; those whose plain form a rule accepts
+are what the method looks for, and teach nothing. Trees see the documents of one
+hashed half, without one form of each kind; the other half, with all forms,
+calibrates.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigweave.llm.line_dedup import let
-from sigweave.llm.shared import stored
+from sigweave.llm.shared import hashed_share, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The rules' patterns. Starts and repetitions are written so that no text makes the
@@ -28,36 +39,54 @@ RULES = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Generators of candidates.
+#: Generators of candidates, several for a kind; what they propose may overlap.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]|,|\x20\.\x20)[0-9]{1,3}){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[\x20./_-]{0,2}[0-9]{2,4}){2,4}(?![0-9])",
-    "phone": r"(?<![0-9])(?:(?:\+|00|\()[0-9][0-9\x20()./-]{6,20}[0-9]|[0-9]{3}[\x20./-][0-9]{3}[\x20./-][0-9]{4})(?![0-9])",
+    "email": [
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\)|\{at\})\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\)|\{dot\})\x20?[A-Za-z0-9-]++)++",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++",
+    ],
+    "ip": [r"(?<![0-9.])[0-9]{1,3}(?:(?:\.|\[\.\]|\(\.\)|,|\x20\.\x20|\[dot\])[0-9]{1,3}){3}(?![0-9])"],
+    "card": [r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}[0-9]){12,18}(?![0-9])"],
+    "phone": [r"(?<![0-9])(?:\+|00|\()\x20?[0-9][0-9\x20()./-]{6,20}[0-9](?![0-9])", r"(?<![0-9])\(?[0-9]{3}\)?[\x20./-][0-9]{3}[\x20./-][0-9]{4}(?![0-9])"],
 }
 #: Only texts with such a character can hold a kind.
-NEEDS = {"email": r"@|[\[(]at[\])]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
-#: Documents with a rule's span or a candidate that training uses at most, and boosting's parameters.
-SAMPLED, TREES, RATE, LEAF, PRECISION = 4000, 24, 0.3, 10, 0.98
-FEATURES = ("size", "digits", "letters", "groups", "dots", "dashes", "spaces", "brackets", "at", "plus", "sticks_left", "sticks_right", "said_before", "kind")
+NEEDS = {"email": r"@|[\[({]at[\])}]|\x20at\x20", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
+#: Documents that training looks at, in expectation (all, if there are no more); boosting's parameters; the probability from which a candidate is added.
+SAMPLED, TREES, RATE, LEAF, PROBABLE = 20_000, 40, 0.3, 10, 0.9
+FEATURES = ("size", "digits", "letters", "groups", "dots", "dashes", "spaces", "brackets", "at", "plus", "zeros", "luhn", "octets", "sticks_left", "sticks_right", "said_before", "kind")
 #: Surroundings in characters, and words that announce personal data.
 AROUND = 12
 HINTS = r"(?i)mail|phone|tel|call|card|contact|\bip\b|addr|fax|visa"
+#: Matches whose places are summed up at a time.
+PART = 128
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, s) of a pattern's matches, leftmost and not overlapping; code points, end exclusive."""
+    """Array of (start, end, s) of a pattern's matches, leftmost and not overlapping; code points, end exclusive.
+
+    Places are sums of lengths, taken part by part, so that the work is near linear in the matches.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rest = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,s:string>>").alias("found"))
+    found = "array<struct<start:int,end:int,s:string>>"
 
     def one(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["s"])
         return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s")))).alias("found"))
 
-    met = F.zip_with(F.slice(rest, 1, F.size(hits)), hits, lambda gap, s: F.struct(gap.alias("gap"), s.alias("s")))
-    return F.aggregate(met, begin, one, lambda acc: acc["found"])
+    def placed(met: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(met) - 1) / PART).cast("int")), lambda k: F.slice(met, k * PART + 1, F.lit(PART)))
+        return let(parts, joined)
+
+    def joined(parts: Column) -> Column:
+        size = lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["s"]))
+        starts = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.get(acc, F.size(acc) - 1) + size(p))))
+        begin = lambda at: F.struct(at.alias("at"), F.array().cast(found).alias("found"))
+        return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), lambda p, at: F.aggregate(p, begin(at), one, lambda acc: acc["found"])))
+
+    met = let(hits, lambda h: F.zip_with(F.slice(rest, F.lit(1), F.size(h)), h, lambda gap, s: F.struct(gap.alias("gap"), s.alias("s"))))
+    return let(met, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(F.array().cast(found)))
 
 
 def digits_of(s: Column) -> Column:
@@ -103,21 +132,39 @@ def base_spans(text: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """What the generators propose, of any overlap: an array of (kind, start, end, s)."""
-    found = {k: F.coalesce(F.when(text.rlike(NEEDS[k]), spans(text, LOOSE[k])), F.array().cast(NONE)) for k in KINDS}
-    return _kinds(found)
+    found = {k: F.coalesce(F.when(text.rlike(NEEDS[k]), F.concat(*(spans(text, g) for g in LOOSE[k]))), F.array().cast(NONE)) for k in KINDS}
+    return F.array_distinct(_kinds(found))
+
+
+def plain(kind: Column, s: Column) -> Column:
+    """A candidate as the rules would have it: signs for what is spelled out, no blanks beside them, one kind of separator."""
+    email = F.regexp_replace(F.regexp_replace(s, r"\x20?(?:[\[({]at[\])}]|\x20at\x20)\x20?", "@"), r"\x20?(?:[\[({]dot[\])}]|\x20dot\x20)\x20?", ".")
+    ip = F.regexp_replace(s, r"[^0-9]+", ".")
+    phone = F.concat(F.lit("+"), F.regexp_replace(digits_of(s), "^00", ""))
+    return F.when(kind == 0, F.regexp_replace(email, r"\x20", "")).when(kind == 1, ip).when(kind == 2, digits_of(s)).otherwise(phone)
+
+
+def accepted(kind: Column, s: Column) -> Column:
+    """Whether a rule would take the whole of a plain form."""
+    whole = [s.rlike(f"^(?:{RULES[k]})$") & valid(k, s) for k in KINDS]
+    return F.when(kind == 0, whole[0]).when(kind == 1, whole[1]).when(kind == 2, whole[2]).otherwise(whole[3])
 
 
 def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+#: Four numbers of at most 255, whatever stands between them.
+OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:[^0-9]+|$)){4}$"
+
+
 def features(kind: Column, s: Column, before: Column, after: Column) -> list[Column]:
     """Format and surroundings of a candidate, in the order of FEATURES."""
     count = lambda chars: (F.length(s) - F.length(F.regexp_replace(s, chars, ""))).cast("double")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return [
         F.length(s).cast("double"), count("[0-9]"), count("[A-Za-z]"), F.size(F.split(s, "[^A-Za-z0-9]+")).cast("double"), count(r"\."), count("-"), count(" "), count(r"[()\[\]]"),
-        flag(F.contains(s, F.lit("@"))), flag(s.startswith("+")), flag(F.right(before, F.lit(1)).rlike(r"[A-Za-z0-9=\"]")), flag(F.left(after, F.lit(1)).rlike(r"[A-Za-z0-9\"]")), flag(before.rlike(HINTS)), kind.cast("double"),
+        flag(F.contains(s, F.lit("@"))), flag(s.startswith("+")), flag(s.startswith("00")), flag(valid("card", s)), flag(s.rlike(OCTETS)), flag(F.right(before, F.lit(1)).rlike(r"[A-Za-z0-9=\"]")), flag(F.left(after, F.lit(1)).rlike(r"[A-Za-z0-9\"]")), flag(before.rlike(HINTS)), kind.cast("double"),
     ]
 
 
@@ -165,22 +212,32 @@ def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple
 class Chooser:
     trees: list[Tree]
     start: float
-    #: For each kind the score from which a candidate is added; infinite where none is precise enough.
-    thresholds: list[float]
+    #: For each kind the slope and offset that turn a score into log odds, or None where too few candidates were held out: nothing of it is added.
+    odds: list[tuple[float, float] | None]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return self.start + sum((t.score(x) for t in self.trees), np.zeros(len(x)))
 
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        """Calibrated, by the kind in the last feature; 0 where nothing was calibrated."""
+        slope, offset = (np.array([o[k] if o else (0.0, -40.0)[k] for o in self.odds])[x[:, -1].astype(int)] for k in (0, 1))
+        return 1 / (1 + np.exp(-np.clip(slope * self.score(x) + offset, -40, 40)))
+
     def column(self, f: list[Column]) -> Column:
         return sum((t.column(f) for t in self.trees), F.lit(float(self.start)))
 
+    def probability_column(self, f: list[Column]) -> Column:
+        z = F.lit(-40.0)
+        for k, o in enumerate(self.odds):
+            z = F.when(f[-1] == k, self.column(f) * o[0] + o[1]).otherwise(z) if o else z
+        return 1 / (1 + F.exp(-z))
+
     @classmethod
-    def fitted(cls, x: np.ndarray, y: np.ndarray) -> Chooser:
-        """Boosts trees of depth two on three of four rows; the others set the thresholds."""
-        held = np.arange(len(y)) % 4 == 3
+    def fitted(cls, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Chooser:
+        """Boosts trees of depth two on the rows that aren't held out; these calibrate."""
         xt, yt = x[~held], y[~held]
         share = np.clip(yt.mean() if len(yt) else 0.5, 0.01, 0.99)
-        model = cls([], float(np.log(share / (1 - share))), [float("inf")] * len(KINDS))
+        model = cls([], float(np.log(share / (1 - share))), [None] * len(KINDS))
         z = np.full(len(yt), model.start)
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-z))
@@ -198,70 +255,107 @@ class Chooser:
                 leaves.append([worth(at & ~deep), worth(deep) if deep.any() else 0.0])
             model.trees.append(Tree(top, sides, leaves))
             z = z + model.trees[-1].score(xt)
-        scores = model.score(x[held])
+        scores = model.score(x)
         for kind in range(len(KINDS)):
-            at = x[held][:, -1] == kind
-            order = np.argsort(-scores[at], kind="stable")
-            right = np.cumsum(y[held][at][order]) / np.arange(1, len(order) + 1)
-            # the lowest score down to which the added ones stay precise; equal scores go together
-            ends = np.flatnonzero(np.append(np.diff(scores[at][order]) != 0, True)) if len(order) else np.empty(0, int)
-            good = ends[(right[ends] >= PRECISION) & (ends + 1 >= LEAF)]
-            if len(good):
-                model.thresholds[kind] = float(scores[at][order][good[-1]])
+            at = held & (x[:, -1] == kind)
+            if min((y[at] == 1).sum(), (y[at] == 0).sum()) >= LEAF:
+                model.odds[kind] = _platt(scores[at], y[at])
         return model
 
 
-def train(docs: DataFrame) -> Chooser:
-    """Learns from a bounded sample of documents that have spans.
-
-    The rules' spans, and these rewritten as they are often written (no plus sign,
-    other separators, a spelled-out at), are the positives; candidates apart from all
-    rules' spans are the negatives.
-    """
-    some = docs.filter(F.col("doc_id").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike("[0-9@]")).select("doc_id", "text")
-    drawn = stored(some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED).distinct(), "drawn")
-    with_any = some.join(F.broadcast(drawn), "doc_id", "left_semi")
-    found = stored(with_any.select("doc_id", "text", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("loose")), "spans")
-    around = lambda c: [F.expr(f"substring(text, greatest({c}.start - {AROUND}, 0) + 1, least({c}.start, {AROUND}))"), F.expr(f"substring(text, {c}.end + 1, {AROUND})")]
-    yes = found.select("doc_id", "text", F.explode("base").alias("c")).select("doc_id", "c", *(x.alias(k) for x, k in zip(around("c"), ("before", "after"), strict=True)))
-    s = F.col("c.s")
-    forms = F.when(F.col("c.kind") == 0, F.array(s, F.replace(s, F.lit("@"), F.lit("[at]")), F.replace(s, F.lit("@"), F.lit(" (at) "))))
-    forms = forms.when(F.col("c.kind") == 1, F.array(s, F.replace(s, F.lit("."), F.lit("[.]"))))
-    forms = forms.when(F.col("c.kind") == 2, F.array(s, F.regexp_replace(digits_of(s), "(.{4})(?=.)", "$1 "), F.regexp_replace(digits_of(s), "(.{4})(?=.)", "$1.")))
-    forms = forms.otherwise(F.array(s, F.regexp_replace(s, r"^\+", "00"), F.regexp_replace(s, r"[()]", ""), F.regexp_replace(s, r"^\+[0-9]+ ", "")))
-    yes = yes.select("doc_id", F.col("c.kind").alias("kind"), F.explode(forms).alias("s"), "before", "after", F.lit(1.0).alias("y"))
+def _platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and offset of a logistic regression of y on z, by Newton steps with a small penalty on the slope; labels are drawn in a little, so a clean split stays finite."""
+    w = np.array([1.0, 0.0])
+    t = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
+    x = np.stack([z, np.ones(len(z))], 1)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (p - t) + 1e-2 * np.array([w[0] - 1, 0])
+        w = w - np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-2 * np.eye(2), grad)
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (0.0, -40.0)
+
+
+def rewritten(kind: Column, s: Column) -> Column:
+    """Array of (s, y, form) of a rule's span in other forms: disguised ones, which are still personal data (y 1), and broken ones, which aren't (y 0)."""
+    d = digits_of(s)
+    form = lambda k, text, y=1.0: F.struct(text.alias("s"), F.lit(y).alias("y"), F.lit(k).alias("form"))
+    said = lambda at, dot: F.replace(F.replace(s, F.lit("@"), F.lit(at)), F.lit("."), F.lit(dot))
+    local = F.replace(F.substring_index(s, "@", 1), F.lit("."), F.lit("-"))
+    spelled = F.concat(local, F.lit(" at "), F.replace(F.substring_index(s, "@", -1), F.lit("."), F.lit(" dot ")))
+    email = F.array(form(0, F.replace(s, F.lit("@"), F.lit(" [at] "))), form(1, F.replace(s, F.lit("@"), F.lit("(at)"))), form(2, said("[at]", "[dot]")), form(3, F.replace(s, F.lit("@"), F.lit(" @ "))), form(4, spelled), form(5, F.regexp_replace(F.regexp_replace(s, "[A-Za-z_%+-]", ""), "@", "0 @ 1"), 0.0), form(6, F.lit("2 @ 3.50"), 0.0))
+    ip = F.array(form(0, F.replace(s, F.lit("."), F.lit("[.]"))), form(1, F.replace(s, F.lit("."), F.lit("(.)"))), form(2, F.replace(s, F.lit("."), F.lit(" . "))), form(3, F.replace(s, F.lit("."), F.lit("[dot]"))), form(4, F.regexp_replace(F.regexp_replace(s, "[0-9]+$", "700"), r"\.", "[.]"), 0.0), form(5, F.concat_ws(",", F.lit("1"), F.substring(d, 1, 3), F.substring(d, 4, 3), F.lit("000")), 0.0), form(6, F.regexp_replace(F.regexp_replace(s, r"[0-9]+", "400"), r"\.", " . "), 0.0))
+    other = F.concat(F.expr("substring(__d, 1, length(__d) - 1)"), ((F.right(F.col("__d"), F.lit(1)).cast("int") + 1) % 10).cast("string"))
+    grouped = lambda x, sep: F.regexp_replace(x, "(.{4})(?=.)", f"$1{sep}")
+    card = F.array(form(0, grouped(d, ".")), form(1, grouped(d, "_")), form(2, grouped(d, " - ")), form(3, grouped(d, "/")), form(4, grouped(other, "."), 0.0), form(5, grouped(other, " "), 0.0), form(6, other, 0.0), form(7, grouped(other, "_"), 0.0))
+    tail = F.right(F.concat(F.lit("0000000000"), d), F.lit(10))
+    dashed = lambda sep: F.concat_ws(sep, F.substring(tail, 1, 3), F.substring(tail, 4, 3), F.substring(tail, 7, 4))
+    bare = F.regexp_replace(s, r"[+()]", "")
+    phone = F.array(form(0, F.concat(F.lit("00"), bare)), form(1, dashed("-")), form(2, dashed(".")), form(3, F.concat(F.lit("("), F.substring(tail, 1, 3), F.lit(") "), F.substring(tail, 4, 3), F.lit("-"), F.substring(tail, 7, 4))), form(4, dashed(" ")), form(5, F.concat(F.lit("("), F.substring(tail, 1, 4), F.lit("/"), F.substring(tail, 5, 4), F.lit(")")), 0.0), form(6, F.concat(F.lit("00"), F.substring(d, 1, 5), F.lit("."), F.substring(d, 1, 1)), 0.0), form(7, F.concat(F.lit("00"), d, d), 0.0))
+    return F.when(kind == 0, email).when(kind == 1, ip).when(kind == 2, card).otherwise(phone)
+
+
+#: The form of each kind that the trees don't see.
+UNSEEN = 3
+
+
+def examples(docs: DataFrame) -> DataFrame:
+    """Columns y, held and FEATURES of the candidates of a bounded sample: rewritten spans of the rules, and candidates that no rule accepts in any form."""
+    some = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(hashed_share("doc_id", SAMPLED, docs.count()) & F.col("text").rlike("[0-9@]"))
+    found = stored(some.select("doc_id", "text", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("loose")), "spans")
+    around = [F.expr(f"substring(text, greatest(c.start - {AROUND}, 0) + 1, least(c.start, {AROUND}))").alias("before"), F.expr(f"substring(text, c.end + 1, {AROUND})").alias("after")]
+    yes = found.select("doc_id", "text", F.explode("base").alias("c")).select("doc_id", F.col("c.kind").alias("kind"), F.col("c.s").alias("s"), digits_of(F.col("c.s")).alias("__d"), *around)
+    yes = yes.select("doc_id", "kind", "before", "after", F.inline(rewritten(F.col("kind"), F.col("s"))))
+    # only what a generator would propose as a whole
+    proposed = lambda k: reduce(Column.__or__, (F.regexp_extract(F.col("s"), g, 0) == F.col("s") for g in LOOSE[k]))
+    yes = yes.filter(F.when(F.col("kind") == 0, proposed("email")).when(F.col("kind") == 1, proposed("ip")).when(F.col("kind") == 2, proposed("card")).otherwise(proposed("phone")))
     no = found.select("doc_id", "text", F.explode(F.filter("loose", lambda c: ~F.exists("base", lambda b: overlap(b, c)))).alias("c"))
-    no = no.select("doc_id", F.col("c.kind").alias("kind"), F.col("c.s").alias("s"), *(x.alias(k) for x, k in zip(around("c"), ("before", "after"), strict=True)), F.lit(0.0).alias("y"))
+    no = no.select("doc_id", F.col("c.kind").alias("kind"), *around, F.col("c.s").alias("s"), F.lit(0.0).alias("y"), F.lit(-1).alias("form")).filter(~F.coalesce(accepted(F.col("kind"), plain(F.col("kind"), F.col("s"))), F.lit(False)))
     rows = yes.union(no).distinct()
+    held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 1
     named = [f.alias(n) for f, n in zip(features(F.col("kind"), F.col("s"), F.col("before"), F.col("after")), FEATURES, strict=True)]
-    table = rows.orderBy(F.xxhash64("doc_id", "s")).limit(5 * SAMPLED).select("s", "y", *named).toPandas()
-    return Chooser.fitted(table[list(FEATURES)].to_numpy(np.float64).reshape(-1, len(FEATURES)), table["y"].to_numpy(np.float64))
+    return rows.filter(held | (F.col("form") != UNSEEN)).select("y", held.alias("held"), *named)
 
 
-def found(docs: DataFrame, model: Chooser | None) -> DataFrame:
-    """Columns doc_id, base and added (arrays of kind, start, end, s): one row for each row of `docs` (doc_id, text).
+def train(docs: DataFrame) -> Chooser:
+    """Learns from `examples`; equal ones are counted, so what comes to the driver are their distinct kinds."""
+    rows = examples(docs).groupBy("y", "held", *FEATURES).agg(F.count("*").alias("n")).collect()
+    rows = sorted(tuple(r) for r in rows)
+    x = np.repeat(np.array([r[2:-1] for r in rows], float).reshape(-1, len(FEATURES)), [r[-1] for r in rows], axis=0)
+    y, held = (np.repeat(np.array([r[k] for r in rows], float), [r[-1] for r in rows]) for k in (0, 1))
+    return Chooser.fitted(x, y, held == 1)
+
+
+SPAN = "array<struct<kind:int,start:int,end:int,s:string>>"
 
-    `added` are candidates apart from all rules' spans whose score reaches their kind's
-    threshold; of those that overlap, the one of the highest score (then the longest,
-    the first, the first kind) stays. A null text counts as empty. Other columns are ignored.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    if model is None or all(t == float("inf") for t in model.thresholds):
-        return out.select("doc_id", "base", F.array().cast("array<struct<kind:int,start:int,end:int,s:string>>").alias("added"))
-    out = out.withColumn("loose", F.filter(candidates(F.col("text")), lambda c: ~F.exists("base", lambda b: overlap(b, c))))
+
+def _with_spans(docs: DataFrame, model: Chooser | None) -> DataFrame:
+    """The documents with columns __base and __added."""
+    said = F.coalesce(F.col("text"), F.lit(""))
+    out = docs.withColumn("__base", base_spans(said))
+    if model is None or not any(model.odds):
+        return out.withColumn("__added", F.array().cast(SPAN))
+    out = out.withColumn("__loose", F.filter(candidates(said), lambda c: ~F.exists("__base", lambda b: overlap(b, c))))
 
     def judged(c: Column) -> Column:
-        before = F.substring(F.col("text"), F.greatest(c["start"] - AROUND, F.lit(0)) + 1, F.least(c["start"], F.lit(AROUND)))
-        made = let(F.array(*features(c["kind"], c["s"], before, F.substring(F.col("text"), c["end"] + 1, F.lit(AROUND)))), lambda f: model.column([F.get(f, F.lit(k)) for k in range(len(FEATURES))]))
-        return F.struct(made.alias("score"), (c["end"] - c["start"]).alias("size"), (-c["start"]).alias("back"), (-c["kind"]).alias("order"), c.alias("c"))
+        before = F.substring(said, F.greatest(c["start"] - AROUND, F.lit(0)) + 1, F.least(c["start"], F.lit(AROUND)))
+        made = let(F.array(*features(c["kind"], c["s"], before, F.substring(said, c["end"] + 1, F.lit(AROUND)))), lambda f: model.probability_column([F.get(f, F.lit(k)) for k in range(len(FEATURES))]))
+        return F.struct(F.round(made, 6).alias("p"), (c["end"] - c["start"]).alias("size"), (-c["start"]).alias("back"), (-c["kind"]).alias("order"), c.alias("c"))
+
+    out = out.withColumn("__scored", F.when(F.size("__loose") > 0, F.filter(F.transform("__loose", judged), lambda j: j["p"] >= PROBABLE)))
+    rank = lambda j: F.struct(j["p"], j["size"], j["back"], j["order"])
+    kept = F.transform(F.filter("__scored", lambda j: ~F.exists("__scored", lambda o: overlap(o["c"], j["c"]) & (rank(o) > rank(j)))), lambda j: j["c"])
+    return out.withColumn("__added", F.coalesce(kept, F.array().cast(SPAN))).drop("__loose", "__scored")
 
-    least = F.array(*(F.lit(float(t)) for t in model.thresholds))
-    scored = F.when(F.size("loose") > 0, F.filter(F.transform("loose", judged), lambda j: j["score"] >= F.get(least, j["c"]["kind"])))
-    out = out.withColumn("scored", scored)
-    rank = lambda j: F.struct(j["score"], j["size"], j["back"], j["order"])
-    kept = F.transform(F.filter("scored", lambda j: ~F.exists("scored", lambda o: overlap(o["c"], j["c"]) & (rank(o) > rank(j)))), lambda j: j["c"])
-    return out.select("doc_id", "base", F.coalesce(kept, F.array().cast("array<struct<kind:int,start:int,end:int,s:string>>")).alias("added"))
+
+def found(docs: DataFrame, model: Chooser | None) -> DataFrame:
+    """Columns doc_id, base and added (arrays of kind, start, end, s): one row for each row of `docs` (doc_id, text).
+
+    `added` are candidates apart from all rules' spans whose probability reaches
+    PROBABLE; of those that overlap, the likeliest (then the longest, the first, the
+    first kind) stays. A null text counts as empty; ids may be null or repeated. Other
+    columns are ignored.
+    """
+    return _with_spans(docs.select("doc_id", "text"), model).select("doc_id", F.col("__base").alias("base"), F.col("__added").alias("added"))
 
 
 def as_text(all_spans: Column) -> Column:
@@ -271,16 +365,15 @@ def as_text(all_spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, model: Chooser | None) -> DataFrame:
-    """The documents with each span replaced by its kind in brackets; rows must differ in doc_id."""
+    """The documents, row by row and with all their columns, with each span in `text` replaced by its kind in brackets; a null text stays null."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    every = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    every = F.array_sort(F.transform(F.concat("__base", "__added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def one(acc: Column, x: Column) -> Column:
         gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
         again = x["start"] < acc["at"]  # of spans that overlap the first one is named
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, F.when(again, "").otherwise(F.get(names, x["kind"]))).alias("out"))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.array(gap, F.when(again, "").otherwise(F.get(names, x["kind"])))).alias("out"))
 
-    out = docs.join(found(docs, model), "doc_id", "left")
-    text = F.aggregate(every, begin, one, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return out.withColumn("text", F.when(F.col("text").isNotNull(), text)).select(docs.columns)
+    text = F.aggregate(every, begin, one, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return _with_spans(docs, model).withColumn("text", F.when(F.col("text").isNotNull(), text)).select(docs.columns)
