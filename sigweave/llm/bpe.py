@@ -2,14 +2,17 @@
 
 The tokens of a prefix followed by one token are the tokens of the longer prefix,
 for exactly one last token: the one that follows the token before it in the
-encoding of just the two. So bytes are read one at a time. A token is emitted once
-every token that could still span the present place starts behind a common
-boundary. What is pending then, with the token before it, is a state; transitions
-between states are made when first met and kept, so most bytes cost one lookup.
+encoding of just the two. So bytes are read one at a time, and a state holds the
+places where a token that spans the present place may start. From the merge list a
+sufficient lookahead is computed: so many bytes behind its end a token can't change
+any more. It is emitted then, or before, once all places agree on it, so what is
+pending is bounded, whatever the text. Transitions between states are made when
+first met and kept, so most bytes cost one lookup.
 """
 
 from __future__ import annotations
 
+import bisect
 import codecs
 import json
 from collections.abc import Iterator
@@ -25,7 +28,7 @@ from sigweave.llm.shared import bounded_batches
 #: Fixed: the pattern by which byte-level BPE files of this kind split a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces, states and token pairs that a worker keeps; beyond, it starts anew.
-KEPT_PIECES, KEPT_STATES, KEPT_PAIRS = 700_000, 300_000, 400_000
+KEPT_PIECES, KEPT_STATES, KEPT_PAIRS = 200_000, 200_000, 200_000
 #: Characters and ids that are in work at a time.
 WORK = 1 << 16
 
@@ -44,12 +47,15 @@ class State(dict):
     boundary and it); the last one is the present place itself.
     """
 
-    __slots__ = ("places", "machine", "rest")
+    __slots__ = ("places", "machine")
 
     def __init__(self, places: tuple[tuple[bytes, int | None, tuple[int, ...]], ...], machine: Transducer) -> None:
         super().__init__()
         self.places, self.machine = places, machine
-        self.rest = packed(places[-1][2])
+
+    @property
+    def rest(self) -> bytes:
+        return packed(self.places[-1][2])
 
     def __missing__(self, byte: int) -> tuple[bytes, State]:
         return self.machine.step(self, byte)
@@ -63,43 +69,75 @@ class Transducer:
     """Encodes the bytes of one piece at a time."""
 
     def __init__(self, merges: list[tuple[bytes, bytes]], ids: dict[bytes, int]) -> None:
-        self.ids = ids
         self.rank = {(ids[a], ids[b]): k for k, (a, b) in enumerate(merges)}
         self.made = {ids[a + b]: (k, ids[a], ids[b]) for k, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, ids))
-        self.starts = {t[:k] for t in ids for k in range(1, len(t))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # tokens whose own bytes encode as something else never occur
+        good = {i for t, i in ids.items() if i not in self.made}
+        for (a, b), k in self.rank.items():
+            if a in good and b in good and self.beside(a, b, k):
+                good.add(ids[merges[k][0] + merges[k][1]])
+        self.ids = {t: i for t, i in ids.items() if i in good}
+        self.longest = max(map(len, self.ids))
+        self.starts = {t[:k] for t in self.ids for k in range(1, len(t))}
+        self.pairs: dict[int, bool] = {}
         self.states: dict[tuple, State] = {}
         self.root = State(((b"", None, ()),), self)
+        self.sizes = {i: len(t) for t, i in ids.items()}
+        self.lookahead = self.sufficient_lookahead()
 
     def sufficient_lookahead(self) -> int:
-        """Bytes behind a token after which no merge can change it: each merge that reaches it from the right hands on at most the longest token's bytes, and each is used once."""
-        return len(self.rank) * self.longest
-
-    def follows(self, one: int, two: int) -> bool:
-        """Whether the two tokens' bytes together encode as just these tokens.
+        """Bytes behind a token after which nothing can change it.
+
+        A token is kept from being made, or from staying, by a merge of its right end
+        with what follows it, and only by one of a lower rank than the merge that would
+        use this end. Whether that merge takes place depends in the same way on what
+        follows its right part, again by lower ranks. So in the order of ranks each
+        merge's reach is its right part's size and the farthest reach of the merges that
+        can keep this part from it.
+        """
+        reaches: dict[int, tuple[list[int], list[int]]] = {}  # left part: ranks, and the farthest reach up to each
+
+        def beyond(token: int, bound: int) -> int:
+            """The farthest reach of what can keep `token`, or what it is made of at its right end, from a merge of rank `bound`."""
+            far = 0
+            while True:
+                if token in reaches:
+                    ranks, most = reaches[token]
+                    k = bisect.bisect_left(ranks, bound)
+                    far = max(far, most[k - 1] if k else 0)
+                if token not in self.made:
+                    return far
+                bound, _, token = self.made[token]
+
+        for (a, b), k in self.rank.items():
+            ranks, most = reaches.setdefault(a, ([], []))
+            ranks.append(k)
+            most.append(max(self.sizes[b] + beyond(b, k), most[-1] if most else 0))
+        return max([beyond(t, len(self.rank)) for t in self.sizes], default=0)
+
+    def beside(self, left: int, right: int, bound: int) -> bool:
+        """Whether two tokens' bytes, one after the other, are just these tokens when all merges of lower rank than `bound` are made.
 
         Undoes the merges next to their border, the latest first. If the parts beside
         it could have merged before the merge just undone, they would have.
         """
-        if (known := self.pairs.get((one, two))) is not None:
-            return known
-        left, right, bound = one, two, len(self.rank)
         while True:
             if self.rank.get((left, right), bound) < bound:
-                known = False
-                break
+                return False
             a, b = self.made.get(left, (-1, 0, 0)), self.made.get(right, (-1, 0, 0))
             if a[0] < 0 and b[0] < 0:
-                known = True
-                break
+                return True
             if a[0] > b[0]:
                 bound, left = a[0], a[2]
             else:  # of equal merges the left one comes first
                 bound, right = b[0] + 1, b[1]
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.pairs.clear()
-        self.pairs[one, two] = known
+
+    def follows(self, one: int, two: int) -> bool:
+        """Whether the two tokens' bytes together encode as just these tokens."""
+        if (known := self.pairs.get(one << 32 | two)) is None:
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[one << 32 | two] = self.beside(one, two, len(self.rank))
         return known
 
     def step(self, state: State, byte: int) -> tuple[bytes, State]:
@@ -117,6 +155,10 @@ class Transducer:
         for firm in range(min(len(p[2]) for p in places) + 1):  # noqa: B007
             if any(len(p[2]) == firm or p[2][firm] != chain[firm] for p in places):
                 break
+        # so are those that end farther back than the lookahead, by its definition; the machine stops if the places differ on one
+        pending = chain[firm:]
+        if len(pending) > 1 and sum(map(self.sizes.__getitem__, pending)) - self.sizes[pending[-1]] > self.lookahead + self.longest:
+            raise AssertionError("a token behind the sufficient lookahead isn't certain")
         key = tuple([(since, before, tokens[firm:]) for since, before, tokens in places])
         following = self.states.get(key)
         if following is None:
@@ -129,14 +171,20 @@ class Transducer:
         state[byte] = (sure, following)
         return sure, following
 
+    def stream(self, parts: Iterator[bytes]) -> Iterator[bytes]:
+        """Ids of a piece that comes in parts, as soon as they are certain; a part's ids are held at most."""
+        state = self.root
+        for part in parts:
+            out = []
+            for byte in part:
+                sure, state = state[byte]
+                if sure:
+                    out.append(sure)
+            yield b"".join(out)
+        yield state.rest
+
     def encode(self, piece: bytes) -> bytes:
-        state, out = self.root, []
-        for byte in piece:
-            sure, state = state[byte]
-            if sure:
-                out.append(sure)
-        out.append(state.rest)
-        return b"".join(out)
+        return b"".join(self.stream(iter((piece,))))
 
 
 class Pieces(dict):
@@ -172,11 +220,11 @@ class Bpe:
         self.pieces = Pieces(Transducer(merges, ids))
         self.bytes_of = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in added.items()}
         self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
-        self.split = regex.compile(PIECES)
+        self.split, self.gap = regex.compile(PIECES), regex.compile(r"(?<=\S) (?=\S)")
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
 
     def encode_stream(self, text: str) -> Iterator[bytes]:
-        """Ids of a text, part by part; at most WORK characters (or one piece) are in work."""
+        """Ids of a text, part by part; some WORK characters are in work, also within a long piece."""
         at = 0
         for m in self.special.finditer(text) if self.special else ():
             yield from self._encode_plain(text, at, m.start())
@@ -188,25 +236,40 @@ class Bpe:
         get = self.pieces.__getitem__
         while end - at > WORK:
             # a single space between two other characters always starts a piece
-            cut = regex.compile(r"(?<=\S) (?=\S)").search(text, at + WORK, end)
-            cut = cut.start() if cut else end
-            yield b"".join(map(get, self.split.findall(text, at, cut) if cut == end else self.split.findall(text[at:cut])))
-            at = cut
+            cut = self.gap.search(text, at + WORK, min(end, at + 2 * WORK))
+            if cut:
+                yield b"".join(map(get, self.split.findall(text[at : cut.start()])))
+                at = cut.start()
+                continue
+            # without one, pieces are taken one by one
+            held, begun = [], at
+            for m in self.split.finditer(text, at, end):
+                at = m.end()
+                if at - m.start() > WORK:
+                    yield b"".join(held)
+                    held = []
+                    yield from self.pieces.transducer.stream(text[k : min(k + WORK, at)].encode() for k in range(m.start(), at, WORK))
+                else:
+                    held.append(get(m.group()))
+                if at - begun > WORK:
+                    break
+            yield b"".join(held)
         yield b"".join(map(get, self.split.findall(text[at:end])))
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.encode_stream(text)), "<u4")
 
-    def decode_stream(self, ids: np.ndarray) -> Iterator[str]:
-        """Text of ids, part by part: bytes that don't complete a character wait for the next part."""
+    def decode_stream(self, parts: Iterator[np.ndarray]) -> Iterator[str]:
+        """Text of ids that come in parts: bytes that don't complete a character wait for the next part."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         get = self.bytes_of.__getitem__
-        for at in range(0, len(ids), WORK):
-            yield machine.decode(b"".join(map(get, ids[at : at + WORK].tolist())))
+        for ids in parts:
+            for at in range(0, len(ids), WORK):
+                yield machine.decode(b"".join(map(get, ids[at : at + WORK].tolist())))
         yield machine.decode(b"", True)
 
     def decode(self, ids: np.ndarray) -> str:
-        return "".join(self.decode_stream(ids))
+        return "".join(self.decode_stream(iter((ids,))))
 
 
 _loaded: dict[str, Bpe] = {}
@@ -230,10 +293,17 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", decode: bool = Fals
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            found = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
-            columns = {key: batch.column(0), "n_tokens": pa.array([len(x) for x in found], pa.int64()), "ids": pa.array([x.tobytes() for x in found], pa.binary())}
+            found, said = [], []
+            for text in batch.column(1).to_pylist():
+                parts: list[bytes] = []
+                if decode:  # each part is decoded as it comes
+                    said.append("".join(bpe.decode_stream(np.frombuffer(parts[-1], "<u4") for x in bpe.encode_stream(text or "") if not parts.append(x))))
+                else:
+                    parts += bpe.encode_stream(text or "")
+                found.append(b"".join(parts))
+            columns = {key: batch.column(0), "n_tokens": pa.array([len(x) // 4 for x in found], pa.int64()), "ids": pa.array(found, pa.binary())}
             if decode:
-                columns["decoded"] = pa.array([bpe.decode(x) for x in found], pa.string())
+                columns["decoded"] = pa.array(said, pa.string())
             yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select(F.col(key).cast("long").alias(key), "text").mapInArrow(made, f"{key} long, n_tokens long, ids binary" + ", decoded string" * decode)
