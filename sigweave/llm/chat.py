@@ -57,20 +57,47 @@ class Template:
 
     def turns(self, formatted: str) -> list[tuple[str, str]]:
         """(role, text) of each turn of a formatted conversation."""
-        opens = {before: (role, after) for role, (before, after) in self.marks.items()}
-        found, role, end, text, at = [], None, "", [], 0
-        for m in self.tokens.finditer(formatted):
-            if role is not None:
-                text.append(formatted[at : m.start()])
+        reader = Reader(self)
+        return [*reader.feed(formatted), *reader.feed("", True)]
+
+
+class Reader:
+    """Reads a formatted conversation back, from parts of any size that needn't end where turns do."""
+
+    def __init__(self, template: Template) -> None:
+        self.template = template
+        self.opens = {before: (role, after) for role, (before, after) in template.marks.items()}
+        self.longest = max(len(m) for pair in [*template.marks.values(), template.other] for m in pair)
+        head, tail = template.other[0].split("{}")
+        part = "|".join(re.escape(tail[:k]) for k in range(len(tail) - 1, 0, -1))
+        self.begun = re.compile(re.escape(head) + rf"(?:[^\[\]<\\]|\\.)*(?:\\|{part})?$", re.DOTALL)
+        self.rest, self.role, self.end, self.text = "", None, "", []
+
+    def feed(self, part: str, last: bool = False) -> list[tuple[str, str]]:
+        """(role, text) of the turns that are complete now. A mark that the next part could make longer waits for it."""
+        rest, at, found = self.rest + part, 0, []
+        safe = len(rest) if last else max(0, len(rest) - self.longest)
+        if not last and self.role is None and (m := self.begun.search(rest)):
+            safe = min(safe, m.start())
+        for m in self.template.tokens.finditer(rest):
+            if m.start() >= safe:
+                break
+            if self.role is not None:
+                self.text.append(rest[at : m.start()])
             at = m.end()
             if m.group("e"):
-                text.append(m.group("c"))
-            elif role is None:
-                role, end = (self.unquote(m.group("r")), self.other[1]) if m.group("r") is not None else opens[m.group("m")]
-                text = []
-            elif m.group() == end:
-                found.append((role, "".join(text)))
-                role = None
+                self.text.append(m.group("c"))
+            elif self.role is None:
+                self.role, self.end = (self.template.unquote(m.group("r")), self.template.other[1]) if m.group("r") is not None else self.opens[m.group("m")]
+                self.text = []
+            elif m.group() == self.end:
+                found.append((self.role, "".join(self.text)))
+                self.role = None
+        if at < safe:
+            if self.role is not None:
+                self.text.append(rest[at:safe])
+            at = safe
+        self.rest = rest[at:]
         return found
 
 
@@ -136,7 +163,8 @@ def formatted(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
 def digests(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """Columns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, read back from the output of `formatted`.
 
-    Each turn's segments are joined and parsed again; only running digests are kept.
+    A conversation's segments are joined and parsed as one text, in parts that say
+    nothing of where a turn ends; only running digests and one turn's text are kept.
     """
     import hashlib
 
@@ -147,10 +175,10 @@ def digests(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
             for own, segs, valid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if not begun:
                     conv, begun = own, True
-                    n, loss_chars, chars, turns, loss = 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+                    n, loss_chars, chars, turns, loss, reader = 0, 0, 0, hashlib.sha256(), hashlib.sha256(), Reader(template)
                 text = "".join(s["text"] for s in segs)
                 chars += len(text)
-                for role, said in template.turns(text):
+                for role, said in [*reader.feed(text), *(reader.feed("", True) if valid is not None else ())]:
                     n += 1
                     turns.update(f"{role}\n{said}\n".encode())
                 under = template.unquote("".join(s["text"] for s in segs if s["loss"]))

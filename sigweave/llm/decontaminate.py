@@ -20,7 +20,8 @@ from sigweave.llm.words import PLACES, hashed_words, mixed
 #: 1: the word counts. Each mask has six words of nine or ten.
 MASKS = ("111011100", "110100111", "101110011", "1101001011")
 SPAN = max(map(len, MASKS))
-#: Items of fewer words match nothing; those shorter than SPAN are looked up whole too.
+#: Items shorter than SPAN are looked up whole, and with each single word left out, so that one substitution doesn't hide them;
+#: items of fewer words than LEAST_WORDS match only documents that say nothing else.
 LEAST_WORDS = 5
 #: A passage counts with so many equal words, or with so many hundredths of the item's words if that is fewer.
 ENOUGH_WORDS, ENOUGH_PERCENT = 12, 80
@@ -31,11 +32,18 @@ SIEVED = 4_000_000
 SIEVE_LOG2 = 24
 
 
+def masks_of(lengths: list[int]) -> list[tuple[int, list[int], int]]:
+    """(number, places that count, words) of each mask; from 100 on those of short items: 100 times the words, and 1 more than the word left out."""
+    masks = [(i, [k for k, c in enumerate(m) if c == "1"], len(m)) for i, m in enumerate(MASKS)]
+    for n in lengths:
+        masks += [(100 * n + left, [k for k in range(n) if k != left - 1], n) for left in range(n + 1 if n >= LEAST_WORDS else 1)]
+    return masks
+
+
 def _seeds(h: np.ndarray, at: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yields (mask, places, hashes) over all texts of a chunk; masks from 100 on are the whole words of a short item."""
+    """Yields (mask, places, hashes) over all texts of a chunk."""
     ends = np.repeat(at[1:], np.diff(at))
-    masks = [(i, [k for k, c in enumerate(m) if c == "1"], len(m)) for i, m in enumerate(MASKS)] + [(100 + n, list(range(n)), n) for n in lengths]
-    for name, ones, span in masks:
+    for name, ones, span in masks_of(lengths):
         n = len(h) - span + 1
         if n <= 0:
             continue
@@ -62,8 +70,8 @@ def _seed_rows(table: DataFrame, key: str, lengths: list[int], sieve: np.ndarray
                         hit = np.flatnonzero(cells[(seed >> np.uint64(64 - SIEVE_LOG2)).astype(np.int64)])
                         place, seed = place[hit], seed[hit]
                     text = np.searchsorted(at, place, "right") - 1
-                    if item and mask >= 100:  # a short item counts whole
-                        whole = sizes[text] == mask - 100
+                    if (item and mask >= 100) or 100 <= mask < 100 * LEAST_WORDS:  # a short item counts whole, and a very short one for whole documents
+                        whole = sizes[text] == mask // 100
                         place, seed, text = place[whole], seed[whole], text[whole]
                     if len(place):
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + row)), pa.array(np.full(len(place), mask, np.int32)), pa.array((place - at[text]).astype(np.int64)), pa.array(seed.view(np.int64))], ["id", "mask", "place", "seed"])
@@ -101,11 +109,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     `start` and `span` count the document's words under the passage, of the diagonal
     with the most equal words (the first of several). Words are lower-cased (A-Z). A
-    null or short item and a null text match nothing; rows without doc_id or item_id
-    have no result. Repeated rows give one result. Other columns are ignored.
+    null or blank item and a null text match nothing; an item of under LEAST_WORDS words
+    matches documents that are this item and nothing else, one of under SPAN words
+    passages of the same length with at most one in five words replaced. Rows without
+    doc_id or item_id have no result. Repeated rows give one result. Other columns are
+    ignored.
     """
     items = stored(_hash_lists(benchmark, "item_id").dropDuplicates(["id", "words"]), "items")
-    lengths = [r[0] for r in items.select(F.size("words").alias("n")).filter(f"n >= {LEAST_WORDS} and n < {SPAN}").distinct().collect()]
+    lengths = [r[0] for r in items.select(F.size("words").alias("n")).filter(f"n >= 1 and n < {SPAN}").distinct().collect()]
     tests = stored(_seed_rows(benchmark, "item_id", sorted(lengths), None, True).distinct(), "tests")
     sieve = None
     if tests.count() <= SIEVED:
@@ -129,7 +140,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for doc, item_id, item, start, skip, beside in zip(*(batch.column(k) for k in range(6)), strict=True):
                 one, two = item.values.to_numpy(zero_copy_only=False)[skip.as_py() :], beside.values.to_numpy(zero_copy_only=False)
                 n = min(len(one), len(two))
-                matched, first, end = overlap(one[:n] == two[:n])
+                equal = one[:n] == two[:n]
+                # of a short item all words count, of others the best stretch
+                matched, first, end = overlap(equal) if len(item.values) >= SPAN else (int(equal.sum()), 0, n) if n == len(item.values) else (0, 0, 0)
                 if matched >= min(ENOUGH_WORDS, -(-ENOUGH_PERCENT * len(item.values) // 100)):
                     rows.append((doc.as_py(), item_id.as_py(), matched, len(item.values), start.as_py() + first, end - first))
             cols = list(zip(*rows, strict=True)) or [()] * 6

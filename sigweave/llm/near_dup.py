@@ -25,7 +25,8 @@ WIDTH = 5
 SIMILARITY = 75
 #: Bands and coordinates in each: a pair of similarity 0.75 shares no band with probability 0.000005.
 BANDS, ROWS = 32, 4
-CELLS_LOG2 = 20
+#: Cells of the circle: many more than the shingles of a text, or the least cells of long unrelated texts would often be equal (which costs time, not results).
+CELLS_LOG2 = 22
 #: Pairs of one id that one task verifies.
 PAIRS_A_TASK = 512
 #: Shingles of the first documents of all pairs up to which their sets are broadcast.
@@ -78,7 +79,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*bands, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), keys], ["doc_id", "n_shingles", "digest", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             values = pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, values)], ["doc_id", "found"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, found array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, found array<long>")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigweave.llm.shared import bounded_batches, stored
+from sigweave.llm.shared import bounded_batches, hashed_share, stored
 from sigweave.llm.words import hashed_words, shingles
 
-#: Labelled rows that learning uses at most, in the order of a hash of their ids.
+#: Labelled rows that learning uses in expectation (all, if there are no more), those of the least hashes of their ids.
 LABELLED = 20_000
+#: Bounds of the list: rules, conditions of a rule, and cuts that a statistic is tried with.
 RULES, CONDITIONS, CUTS = 12, 4, 64
 #: A rule must be right on so much of what it covers in the part kept for pruning.
 LEAST_PRECISION, LEAST_COVERED = 0.9, 5
@@ -64,7 +65,7 @@ def counted(docs: DataFrame) -> DataFrame:
                     rows[first + k] = (len(own), chars, seen[_SYMBOLS].sum(), len(lines) - len(set(lines)), repeated, len(lines), seen[65:91].sum(), seen[48:58].sum(), len(np.unique(own)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, k]) for k in range(len(COUNTS)))], ["doc_id", *COUNTS])
 
-    out = docs.select("doc_id", "text").mapInArrow(made, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
     return out.withColumn("base_failed", F.expr(BASE_FAILED))
 
 
@@ -148,9 +149,10 @@ def as_expression(rules: list[Rule]) -> Column:
 
 def learned(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     """The decision list of the rows that labels call bad (quality 0), among those that the base rules pass; empty without labels of both kinds."""
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "labelled")
-    rows = counted(docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")).filter("not base_failed").join(F.broadcast(known), "doc_id")
+    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    known = stored(known, "labelled")
+    known = known.filter(hashed_share("doc_id", LABELLED, known.count()))
+    rows = counted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")).filter("not base_failed").join(F.broadcast(known), "doc_id")
     rows = rows.select("doc_id", "quality", *(F.expr(e).cast("double").alias(k) for k, e in STATISTICS.items()))
     table = rows.toPandas().sort_values(["doc_id", *STATISTICS])
     bad = table["quality"].to_numpy() == 0
@@ -162,7 +164,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A null or blank text has no words and fails the base rules, which only texts of 50
     words and more pass; so no share that a rule compares has a denominator of 0.
-    Labels that differ count as the worst. Other columns are ignored.
+    Labels that differ count as the worst. Rows that repeat a doc_id are judged one by
+    one, those without one too. Other columns are ignored.
     """
     rules = learned(docs, labels)
     out = counted(docs)
