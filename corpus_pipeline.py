@@ -15,29 +15,41 @@ from sigweave.llm.shared import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps.
+
+    A null text counts as empty, other nulls as values of their own; rows without
+    doc_id are judged but teach nothing, repeated rows are judged alike.
+    """
     return drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; those of which no word is left go. n_chars counts what is left."""
+    """Documents without repeated lines; those of which no word is left go. n_chars counts what is left.
+
+    Documents that had no word before stay, as do null texts and rows without doc_id;
+    rows that repeat a doc_id lose the same lines.
+    """
     left = dedup_lines(docs).filter(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
     changed = F.col("n_removed") > 0
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the least doc_id.
+
+    Null and blank texts resemble nothing and stay, rows without doc_id too; of rows
+    that repeat a doc_id one stays.
+    """
     return drop_near_duplicates(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and empty texts, and rows without doc_id, stay."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the digest of the text that they decode to."""
+    """Token ids of each document, and the digest of the text that they decode to; a null text has no token, and every row gives one."""
     out = encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=True)
     return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -6,23 +6,26 @@ Features come in long form (feature, value, and any other columns).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigweave import dims
 
 #: Edges that lie no farther than this behind the one before are dropped.
 TINY = 1e-8
+#: Rules that are kept in the driver; more stay a distributed table. Ranges of a feature's values that are ranked apart.
+KEPT_RULES, RANGES = 100_000, 64
 STRATEGIES = ("quantile", "uniform", "kmeans")
 
 
 def fit(long: DataFrame, n_bins: int = 3, strategy: str = "quantile", labels: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """One rule for each feature: feature, edges (n_bins + 1 or fewer), labels.
 
-    Quantiles are exact unless `accuracy` asks for approximate ones, whose memory
-    doesn't grow with the distinct values. A constant feature has one bin with
-    infinite edges. Nulls and NaNs are left out.
+    Quantiles are exact unless `accuracy` asks for approximate ones. A constant feature
+    has one bin with infinite edges. Nulls and NaNs are left out; without any value
+    there is nothing to fit, which is an error. Rules are made at once: they are one
+    row for each feature, which is kept in the driver up to KEPT_RULES of them.
     """
     if n_bins < 2:
         raise ValueError("at least two bins are needed")
@@ -31,40 +34,80 @@ def fit(long: DataFrame, n_bins: int = 3, strategy: str = "quantile", labels: li
     names = labels or dims.levels(n_bins)
     if len(names) != n_bins:
         raise ValueError("as many labels as bins are needed")
-    rows = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    grouped = rows.groupBy("feature")
+    rows = long.select("feature", F.col("value").cast("double").alias("value")).filter("value is not null and not isnan(value)")
     low, high = F.min("value"), F.max("value")
-    if strategy == "quantile":
-        at = [i / n_bins for i in range(n_bins + 1)]
-        edges = F.percentile_approx("value", at, accuracy) if accuracy else F.percentile("value", F.array(*map(F.lit, at)))
-        rules = grouped.agg(edges.alias("edges"), low.alias("low"), high.alias("high"))
+    at = [i / n_bins for i in range(n_bins + 1)]
+    if strategy == "quantile" and accuracy:
+        rules = rows.groupBy("feature").agg(F.percentile_approx("value", at, accuracy).alias("edges"), low.alias("low"), high.alias("high"))
+    elif strategy == "quantile":
+        rules = quantiles(rows, at).select("feature", F.col("q").alias("edges"), F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(n_bins)).alias("high"))
     elif strategy == "uniform":
         step = (high - low) / n_bins
-        rules = grouped.agg(F.array(*(low + step * i for i in range(n_bins)), high).alias("edges"), low.alias("low"), high.alias("high"))
+        rules = rows.groupBy("feature").agg(F.array(*(low + step * i for i in range(n_bins)), high).alias("edges"), low.alias("low"), high.alias("high"))
     else:
-        # values are counted first, so a group holds each distinct value once
-        counted = rows.groupBy("feature", "value").agg(F.count("*").alias("n"))
-        rules = counted.groupBy("feature").applyInPandas(lambda p: _kmeans(p, n_bins), "feature string, edges array<double>, low double, high double")
+        rules = kmeans(rows, n_bins)
     spread = F.filter(F.col("edges"), lambda e, i: (i == 0) | (e - F.get(F.col("edges"), i - 1) > TINY))
     whole = F.array(F.lit(float("-inf")), F.lit(float("inf")))
     edges = F.when(F.col("low") == F.col("high"), whole).otherwise(spread)
-    return rules.select("feature", edges.alias("edges"), F.array(*map(F.lit, names)).alias("labels"))
-
-
-def _kmeans(rows: pd.DataFrame, n_bins: int) -> pd.DataFrame:
-    """Lloyd's algorithm in one dimension, from the centres of uniform bins."""
-    x, n = (rows.sort_values("value")[k].to_numpy(float) for k in ("value", "n"))
-    edges = np.linspace(x[0], x[-1], n_bins + 1)
-    centres = (edges[1:] + edges[:-1]) / 2
-    for _ in range(300):
-        own = np.searchsorted((centres[1:] + centres[:-1]) / 2, x, "right")
-        weight = np.bincount(own, n, n_bins)
-        moved = np.where(weight > 0, np.bincount(own, n * x, n_bins) / np.maximum(weight, 1), centres)
-        if np.allclose(moved, centres, rtol=0, atol=1e-12):
-            break
-        centres = np.sort(moved)
-    inner = (centres[1:] + centres[:-1]) / 2
-    return pd.DataFrame({"feature": [rows["feature"].iloc[0]], "edges": [[x[0], *inner, x[-1]]], "low": [x[0]], "high": [x[-1]]})
+    rules = rules.select("feature", edges.alias("edges"), F.array(*map(F.lit, names)).alias("labels"))
+    made = rules.limit(KEPT_RULES + 1).collect()
+    if not made:
+        raise ValueError("there are no values to fit to")
+    return rules if len(made) > KEPT_RULES else long.sparkSession.createDataFrame(made, rules.schema)
+
+
+def quantiles(rows: DataFrame, at: list[float]) -> DataFrame:
+    """feature, q: exact quantiles of each feature's values, interpolated between the two nearest.
+
+    Equal values are counted first. The distinct ones are ranked within ranges (cut by
+    approximate quantiles), and the counts of lower ranges are added, so no task ranks
+    or holds a whole feature.
+    """
+    counted = rows.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    cuts = rows.groupBy("feature").agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 20 * RANGES).alias("cuts"))
+    met = counted.join(cuts, "feature").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    own = W.partitionBy("feature")
+    sizes = met.groupBy("feature", "range").agg(F.sum("n").alias("size"))
+    starts = sizes.select("feature", "range", (F.sum("size").over(own.orderBy("range")) - F.col("size")).alias("start"), F.sum("size").over(own).alias("all"))
+    upto = F.sum("n").over(W.partitionBy("feature", "range").orderBy("value"))
+    ranks = met.withColumn("upto", upto).join(starts, ["feature", "range"]).withColumn("upto", F.col("upto") + F.col("start"))
+    place = [F.lit(q) * (F.col("all") - 1) for q in at]
+    first = lambda r: F.min(F.when(F.col("upto") > r, F.col("value")))
+    both = ranks.groupBy("feature").agg(F.array(*(first(F.floor(h)) for h in place)).alias("lo"), F.array(*(first(F.ceil(h)) for h in place)).alias("hi"), F.max(F.array(*(h - F.floor(h) for h in place))).alias("part"))
+    return both.select("feature", F.transform("lo", lambda v, i: F.when(v == F.get("hi", i), v).otherwise(v + (F.get("hi", i) - v) * F.get("part", i))).alias("q"))
+
+
+def kmeans(rows: DataFrame, n_bins: int, rounds: int = 300, tolerance: float = 1e-4) -> DataFrame:
+    """feature, edges, low, high: Lloyd's algorithm in one dimension, from the centres of uniform bins.
+
+    Each round is one aggregation (sum and count by feature and nearest centre); the
+    driver holds the centres. A feature is done when its centres move by a share
+    `tolerance` of its variance (squared) at most.
+    """
+    counted = rows.groupBy("feature", "value").agg(F.count("*").alias("n")).persist()
+    try:
+        spread = counted.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("value") * F.col("value")) / F.sum("n") - F.pow(F.sum(F.col("n") * F.col("value")) / F.sum("n"), 2)).alias("variance")).collect()
+        edges = {r.feature: np.linspace(r.low, r.high, n_bins + 1) for r in spread}
+        centres = {f: (e[1:] + e[:-1]) / 2 for f, e in edges.items()}
+        limit = {r.feature: tolerance * max(r.variance, 0.0) for r in spread}
+        left = set(centres)
+        for _ in range(rounds):
+            if not left:
+                break
+            now = rows.sparkSession.createDataFrame([(f, ((centres[f][1:] + centres[f][:-1]) / 2).tolist()) for f in sorted(left)], "feature string, inner array<double>")
+            own = F.size(F.filter("inner", lambda e: e <= F.col("value")))
+            sums = counted.join(now, "feature").groupBy("feature", own.alias("c")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("value")).alias("s")).collect()
+            moved = {f: centres[f].copy() for f in left}
+            for r in sums:
+                moved[r.feature][r.c] = r.s / r.n
+            for f in list(left):
+                if ((moved[f] - centres[f]) ** 2).sum() <= limit[f]:
+                    left.remove(f)
+                centres[f] = np.sort(moved[f])
+    finally:
+        counted.unpersist()
+    made = [(r.feature, [r.low, *((centres[r.feature][1:] + centres[r.feature][:-1]) / 2).tolist(), r.high], r.low, r.high) for r in spread]
+    return rows.sparkSession.createDataFrame(made, "feature string, edges array<double>, low double, high double")
 
 
 def bin_index(value: Column, edges: Column) -> Column:

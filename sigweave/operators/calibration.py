@@ -29,6 +29,14 @@ def temperature_grid(predictions: DataFrame, temperatures: list[float]) -> DataF
 
 def fit_temperature(predictions: DataFrame, low: float = 0.1, high: float = 10.0, points: int = 12, rounds: int = 5) -> float:
     """The temperature of least loss: a grid in each of some jobs, about the best point of the one before."""
+    predictions = predictions.select("y", "logits").persist()
+    try:
+        return _best_temperature(predictions, low, high, points, rounds)
+    finally:
+        predictions.unpersist()
+
+
+def _best_temperature(predictions: DataFrame, low: float, high: float, points: int, rounds: int) -> float:
     for _ in range(rounds):
         grid = [low + (high - low) * i / (points - 1) for i in range(points)]
         best = temperature_grid(predictions, grid).agg(F.min_by("temperature", F.struct("nll", "temperature"))).first()[0]
@@ -114,10 +122,58 @@ def histogram(df: DataFrame, value: str, n_bins: int = 30) -> DataFrame:
     return every.join(counts, "bin", "left").fillna(0, ["n"])
 
 
+class Calibrator:
+    """A calibration by name: `temperature` scales logits, `isotonic` maps the largest probability; others are an error.
+
+    `fit` reads labelled predictions (y, logits, probs); `transform` replaces probs, and
+    leaves rows without logits (temperature) or probabilities (isotonic) null.
+    """
+
+    def __init__(self, method: str = "temperature", corrected: bool = True) -> None:
+        if method not in ("temperature", "isotonic"):
+            raise ValueError(f"unknown calibration method {method!r}")
+        self.method, self.corrected = method, corrected
+        self.temperature: float | None = None
+        self.steps: list[tuple[float, float]] | None = None
+
+    def fit(self, predictions: DataFrame) -> Calibrator:
+        if self.method == "temperature":
+            self.temperature = fit_temperature(predictions)
+        else:
+            model = fit_isotonic(predictions)
+            self.steps = list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True))
+        return self
+
+    def transform(self, predictions: DataFrame) -> DataFrame:
+        if self.temperature is None and self.steps is None:
+            raise ValueError("the calibrator isn't fitted")
+        if self.method == "temperature":
+            return predictions.withColumn("probs", softmax(F.col("logits"), self.temperature))
+        return (isotonic_corrected if self.corrected else isotonic_legacy)(predictions, stepped(confidence(F.col("probs")), self.steps))
+
+    def fit_transform(self, predictions: DataFrame) -> DataFrame:
+        return self.fit(predictions).transform(predictions)
+
+    def params(self, spark) -> DataFrame:  # noqa: ANN001
+        """method, temperature, boundaries, values in one row, to be written as JSON."""
+        steps = self.steps or []
+        return spark.createDataFrame([(self.method, self.temperature, [x for x, _ in steps], [y for _, y in steps])], "method string, temperature double, boundaries array<double>, values array<double>")
+
+
+def stepped(x: Column, steps: list[tuple[float, float]]) -> Column:
+    """The line through (boundary, value) points at x, flat beyond the ends."""
+    pairs = F.array(*(F.struct(F.lit(float(b)).alias("b"), F.lit(float(v)).alias("v")) for b, v in steps))
+    below, above = F.filter(pairs, lambda s: s["b"] <= x), F.filter(pairs, lambda s: s["b"] > x)
+    lo, hi = F.get(below, F.size(below) - 1), F.get(above, F.lit(0))
+    line = lo["v"] + (hi["v"] - lo["v"]) * (x - lo["b"]) / (hi["b"] - lo["b"])
+    return F.when(x.isNotNull(), F.when(F.size(below) == 0, hi["v"]).when(F.size(above) == 0, lo["v"]).otherwise(line))
+
+
 def pseudo_probabilities(pred: Column, n_classes: int, top: float = 0.7) -> Column:
-    """Of a hard prediction: `top` for its class, 0.1 for the others, normalised."""
-    raw = F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: F.when(k == pred, top).otherwise(0.1))
-    return F.transform(raw, lambda p: p / (top + 0.1 * (n_classes - 1)))
+    """Of a hard prediction: `top` for its class, an even share for the others, normalised."""
+    even = 1 / n_classes
+    raw = F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: F.when(k == pred, top).otherwise(even))
+    return F.transform(raw, lambda p: p / (top + even * (n_classes - 1)))
 
 
 def logits_of(probs: Column) -> Column:

@@ -37,6 +37,11 @@ def summary(classes: DataFrame) -> DataFrame:
     return classes.agg((F.sum("tp") / total).alias("accuracy"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / total).alias("weighted_f1"))
 
 
+def decided_only(predictions: DataFrame, column: str = "pred_class", unknown: str = "unknown") -> DataFrame:
+    """The predictions that name a class: nulls and `unknown` go before accuracy is measured."""
+    return predictions.filter(F.col(column).isNotNull() & (F.col(column) != unknown))
+
+
 def votes(df: DataFrame, key: str, label: str, order: str) -> DataFrame:
     """key, label, n, first, share: how often each label was given, and its share of the key's."""
     counts = df.groupBy(key, label).agg(F.count("*").alias("n"), F.min(order).alias("first"))

@@ -14,18 +14,57 @@ def draw(key: str, seed: int | str = 42) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")))
 
 
-def ranked(df: DataFrame, key: str, seed: int | str = 42) -> DataFrame:
-    """Adds rank (from 0) in the order of the draw, and n.
+def ranked(df: DataFrame, key: str, seed: int | str = 42, by: str | None = None) -> DataFrame:
+    """Adds rank (from 0) in the order of the draw, and n; of each class apart if `by` is given.
 
     Rows are ranked within buckets of the hash, and the counts of lower buckets are
-    added; the counts are BUCKETS rows.
+    added; the counts are BUCKETS rows for each class.
     """
     rows = df.withColumn("__d", draw(key, seed)).withColumn("__b", F.conv(F.substring("__d", 1, 2), 16, 10).cast("int"))
-    counts = rows.groupBy("__b").agg(F.count("*").alias("__c"))
-    low = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("__b", F.coalesce(F.sum("__c").over(low), F.lit(0)).alias("__s"), F.sum("__c").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n"))
-    inner = F.row_number().over(W.partitionBy("__b").orderBy("__d", key)) - 1
-    return rows.join(F.broadcast(starts), "__b").withColumn("rank", inner + F.col("__s")).drop("__d", "__b", "__s")
+    classes = [] if by is None else [by]
+    counts = rows.groupBy(*classes, "__b").agg(F.count("*").alias("__c"))
+    own = W.partitionBy(*classes)
+    low = own.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(*classes, "__b", F.coalesce(F.sum("__c").over(low), F.lit(0)).alias("__s"), F.sum("__c").over(own).alias("n"))
+    inner = F.row_number().over(W.partitionBy(*classes, "__b").orderBy("__d", key)) - 1
+    if by is None:
+        met = rows.join(F.broadcast(starts), "__b")  # BUCKETS rows
+    else:
+        renamed = starts.withColumnsRenamed({by: "__by", "__b": "__bb"})
+        met = rows.join(renamed, rows[by].eqNullSafe(renamed["__by"]) & (rows["__b"] == renamed["__bb"])).drop("__by", "__bb")
+    return met.withColumn("rank", inner + F.col("__s")).drop("__d", "__b", "__s")
+
+
+#: Values that one task sorts at most when a rank is looked for, and the parts that a span of values is cut into.
+SORTED, CUTS = 100_000, 256
+
+
+def value_at(df: DataFrame, column: str, rank: int):  # noqa: ANN201
+    """The value at a rank (from 0) of the column's order; None beyond the end.
+
+    The span of values is cut by approximate quantiles and the part that holds the rank
+    is looked at again, until it is small or all its values are equal.
+    """
+    rows = df.select(F.col(column).alias("v")).filter("v is not null")
+    while True:
+        n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+        if not 0 <= rank < n:
+            return None
+        if low == high:
+            return low
+        if n <= SORTED:
+            return rows.orderBy("v").offset(rank).limit(1).first().v
+        cuts = sorted(set(rows.agg(F.percentile_approx("v", [k / CUTS for k in range(1, CUTS)], 10_000)).first()[0]))
+        part = F.lit(0)
+        for c in cuts:
+            part = part + (F.col("v") > F.lit(c)).cast("int")
+        sizes = {r.p: r.n for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+        at, below = 0, 0
+        while below + sizes.get(at, 0) <= rank:
+            below += sizes.get(at, 0)
+            at += 1
+        rank -= below
+        rows = rows.filter((F.col("v") > F.lit(cuts[at - 1])) if at == len(cuts) else (F.col("v") <= F.lit(cuts[at])) & ((F.col("v") > F.lit(cuts[at - 1])) if at else F.lit(True)))
 
 
 def split(df: DataFrame, key: str, test: float = 0.2, val: float = 0.1, seed: int | str = 42) -> DataFrame:
@@ -39,29 +78,24 @@ def split(df: DataFrame, key: str, test: float = 0.2, val: float = 0.1, seed: in
 
 def holdout(df: DataFrame, order: str, share: float = 0.8) -> DataFrame:
     """Adds split by position: the first `share` of the rows train, the others test."""
-    n = df.count()
-    cut = df.orderBy(order).select(order).offset(int(n * share)).limit(1).collect()
-    return df.withColumn("split", F.when(F.col(order) < F.lit(cut[0][0]), "train").otherwise("test") if cut else F.lit("train"))
+    cut = value_at(df, order, int(df.count() * share))
+    return df.withColumn("split", F.lit("train") if cut is None else F.when(F.col(order) < F.lit(cut), "train").otherwise("test"))
 
 
 def folds(df: DataFrame, key: str, k: int = 5, label: str | None = None, seed: int | str = 42) -> DataFrame:
     """Adds fold, by turns within each class, or over all rows without one."""
-    if label is None:
-        return ranked(df, key, seed).withColumn("fold", F.pmod("rank", F.lit(k)).cast("int")).drop("rank", "n")
-    return df.withColumn("fold", F.pmod(F.row_number().over(W.partitionBy(label).orderBy(draw(key, seed), key)) - 1, F.lit(k)).cast("int"))
+    return ranked(df, key, seed, label).withColumn("fold", F.pmod("rank", F.lit(k)).cast("int")).drop("rank", "n")
 
 
 def balanced(df: DataFrame, key: str, label: str, least: int = 50, seed: int | str = 42) -> DataFrame:
     """As many rows of each class as the smallest has, or `least` if that is more; smaller classes stay whole."""
     size = df.groupBy(label).count().agg(F.greatest(F.min("count"), F.lit(least)).alias("__size"))
-    order = F.row_number().over(W.partitionBy(label).orderBy(draw(key, seed), key))
-    return df.withColumn("__k", order).crossJoin(F.broadcast(size)).filter("__k <= __size").drop("__k", "__size")
+    return ranked(df, key, seed, label).crossJoin(F.broadcast(size)).filter("rank < __size").drop("rank", "n", "__size")
 
 
 def per_class(df: DataFrame, key: str, label: str, n: int, seed: int | str = 42) -> DataFrame:
     """At most n rows of each class, with their number in the draw as shot."""
-    order = F.row_number().over(W.partitionBy(label).orderBy(draw(key, seed), key))
-    return df.withColumn("shot", order).filter(F.col("shot") <= n)
+    return ranked(df, key, seed, label).filter(F.col("rank") < n).withColumn("shot", (F.col("rank") + 1).cast("int")).drop("rank", "n")
 
 
 def choice(options: list[str], key: str, seed: int | str = 42) -> Column:
@@ -70,6 +104,26 @@ def choice(options: list[str], key: str, seed: int | str = 42) -> Column:
     return F.get(F.array(*map(F.lit, options)), F.pmod(number, F.lit(len(options))).cast("int"))
 
 
+def paired(sequences: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:
+    """Sequences with their labels, by a key that both have: what stands by place in two lists is never relied on. Rows without a partner go, as a shorter list ends a pairing."""
+    return sequences.join(labels, key)
+
+
+def concatenated(*parts: DataFrame) -> DataFrame:
+    """The rows of all parts, columns by name; a column that a part lacks is null there."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def label_ids(df: DataFrame, label: str) -> DataFrame:
+    """label, label_id: the distinct labels in the order of their bytes, numbered from 0; nulls have none."""
+    names = df.select(F.col(label).alias("label")).filter("label is not null").distinct()
+    every = names.agg(F.array_sort(F.collect_list("label")).alias("all"))  # as many rows as there are classes
+    return every.select(F.posexplode("all").alias("label_id", "label")).select("label", "label_id")
+
+
 def argmax(values: Column) -> Column:
     """Place of the largest value, the first of equal ones, from 0."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

@@ -169,11 +169,28 @@ def filtered(clips: DataFrame, fs: float, low: float = 0.5, high: float = 100.0,
     return clips.withColumn("samples", kernel("samples"))
 
 
+#: Samples of a channel that meet those of other channels at a time.
+PART = 4096
+
+
+def sample_parts(clips: DataFrame, keep: list[str], column: str = "samples") -> DataFrame:
+    """keep..., part, v: the samples in parts of PART."""
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(column) - 1) / PART), F.lit(0)).cast("int")), lambda k: F.slice(F.col(column), k * PART + 1, F.lit(PART)))
+    return clips.select(*keep, F.posexplode(parts).alias("part", "v"))
+
+
+def joined_parts(parts: DataFrame, keep: list[str], name: str) -> DataFrame:
+    """keep..., name: the parts one after the other again."""
+    return parts.groupBy(*keep).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "v"))), lambda x: x["v"])).alias(name))
+
+
 def average_reference(clips: DataFrame, key: str) -> DataFrame:
-    """samples less the mean over the channels of the recording, sample by sample."""
-    long = clips.select(key, "ch_idx", F.posexplode("samples").alias("i", "v"))
-    mean = long.groupBy(key, "i").agg(F.avg("v").alias("m")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("__mean"))
-    return clips.join(mean, key).withColumn("samples", F.zip_with("samples", "__mean", lambda v, m: v - m)).drop("__mean")
+    """samples less the mean over the channels of the recording, sample by sample; of channels of unequal length those that have the sample count."""
+    met = sample_parts(clips, [key, "ch_idx"]).groupBy(key, "part").agg(F.collect_list("v").alias("all"))
+    longest = F.array_max(F.transform("all", F.size))
+    mean = F.when(longest > 0, F.transform(F.sequence(F.lit(0), longest - 1), lambda i: F.aggregate("all", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, v: F.struct((a["s"] + F.coalesce(F.get(v, i), F.lit(0.0))).alias("s"), (a["n"] + F.get(v, i).isNotNull().cast("int")).alias("n")), lambda a: a["s"] / a["n"]))).otherwise(F.array().cast("array<double>"))
+    whole = joined_parts(met.select(key, "part", mean.alias("v")), [key], "__mean")
+    return clips.join(whole, key).withColumn("samples", F.zip_with("samples", F.slice("__mean", F.lit(1), F.size("samples")), lambda v, m: v - m)).drop("__mean")
 
 
 def channel_stats(clips: DataFrame) -> DataFrame:
@@ -193,17 +210,172 @@ def bad_channels(clips: DataFrame, key: str, limit: float = 3.0) -> DataFrame:
     return out.withColumn("bad", F.coalesce(F.col("variance_z") > limit, F.lit(False)) | F.coalesce(F.col("abs_z") > limit, F.lit(False)))
 
 
-def interpolated(clips: DataFrame, key: str, positions: DataFrame) -> DataFrame:
-    """samples of bad channels replaced by the others', weighted by the inverse square of the distance (`positions`: channel, px, py, pz)."""
-    at = clips.join(F.broadcast(positions), "channel")
-    good = at.filter("not bad").select(key, *(F.col(c).alias(f"g_{c}") for c in ("px", "py", "pz")), F.col("samples").alias("g"))
-    near = at.filter("bad").select(key, "channel", "px", "py", "pz").join(good, key)
-    near = near.withColumn("w", 1 / F.greatest(F.pow(F.col("px") - F.col("g_px"), 2) + F.pow(F.col("py") - F.col("g_py"), 2) + F.pow(F.col("pz") - F.col("g_pz"), 2), F.lit(1e-12)))
-    long = near.select(key, "channel", "w", F.posexplode("g").alias("i", "v")).groupBy(key, "channel", "i").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
-    made = long.groupBy(key, "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("__new"))
+def positions(channels: list[str]) -> dict[str, tuple[float, float, float]]:
+    """Places of named electrodes of the 10-20 system on a unit sphere: rows lie 18 degrees apart from ear to ear, numbers 18 degrees from the middle. Unknown names are left out."""
+    rows = {"Fp": 72, "AF": 54, "F": 36, "FT": 18, "FC": 18, "T": 0, "C": 0, "TP": -18, "CP": -18, "P": -36, "PO": -54, "O": -72}
+    out = {}
+    for name in channels:
+        row = name.rstrip("0123456789z")
+        number = name[len(row) :]
+        if row in rows and (number == "z" or number.isdigit()):
+            n = 0 if number == "z" else int(number)
+            side = -1 if n % 2 else 1
+            front, out_by = np.radians(rows[row]), side * np.radians(18 * ((n + 1) // 2))
+            out[name] = (float(np.cos(front) * np.sin(out_by)), float(np.sin(front)), float(np.cos(front) * np.cos(out_by)))
+    return out
+
+
+def positions_frame(spark, channels: list[str]) -> DataFrame:  # noqa: ANN001
+    """channel, px, py, pz."""
+    return spark.createDataFrame([(c, *xyz) for c, xyz in positions(channels).items()], "channel string, px double, py double, pz double")
+
+
+def spline_weights(good: np.ndarray, bad: np.ndarray, stiffness: int = 4, terms: int = 50, smooth: float = 1e-5) -> np.ndarray:
+    """Weights (bad by good) of a spherical spline through the good places, from unit vectors; each row sums to one."""
+
+    def bend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = np.arange(1, terms + 1)
+        series = np.concatenate([[0], (2 * n + 1) / (n * (n + 1.0)) ** stiffness / (4 * np.pi)])
+        return np.polynomial.legendre.legval(np.clip(a @ b.T, -1, 1), series)
+
+    n = len(good)
+    system = np.ones((n + 1, n + 1))
+    system[:n, :n] = bend(good, good) + smooth * np.eye(n)
+    system[n, n] = 0
+    return np.hstack([bend(bad, good), np.ones((len(bad), 1))]) @ np.linalg.pinv(system)[:, :n]
+
+
+def interpolated(clips: DataFrame, key: str, places: DataFrame) -> DataFrame:
+    """samples of bad channels replaced by a spherical spline through the others of the recording (`places`: channel, px, py, pz; column bad).
+
+    A recording's weights come from its channels' places alone; samples meet in parts.
+    Channels without a place, and recordings without a good one, stay as they are.
+    """
+    at = clips.select(key, "channel", "bad").join(F.broadcast(places), "channel")
+    lists = at.groupBy(key).agg(*(F.array_sort(F.collect_list(F.when(F.col("bad") == flag, F.struct("channel", "px", "py", "pz")))).alias(n) for n, flag in (("bads", True), ("goods", False))))
+    kind = "array<struct<bad:string,good:string,w:double>>"
+
+    @F.pandas_udf(kind)
+    def weights(bads: pd.Series, goods: pd.Series) -> pd.Series:
+        out = []
+        for one, two in zip(bads, goods, strict=True):
+            xyz = [np.array([[c["px"], c["py"], c["pz"]] for c in part], float).reshape(-1, 3) for part in (two, one)]
+            xyz = [v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in xyz]
+            w = spline_weights(*xyz) if len(xyz[0]) and len(xyz[1]) else np.zeros((0, 0))
+            out.append([{"bad": one[i]["channel"], "good": two[j]["channel"], "w": float(w[i, j])} for i in range(w.shape[0]) for j in range(w.shape[1])])
+        return pd.Series(out)
+
+    pairs = lists.filter("size(bads) > 0").select(key, F.inline(weights("bads", "goods")))
+    parts = sample_parts(clips.withColumnRenamed("channel", "good"), [key, "good"])
+    met = pairs.join(parts, [key, "good"]).groupBy(key, "bad", "part").agg(F.collect_list(F.struct("w", "v")).alias("all"))
+    shortest = F.array_min(F.transform("all", lambda x: F.size(x["v"])))
+    total = F.transform(F.sequence(F.lit(0), shortest - 1), lambda i: F.aggregate("all", F.lit(0.0), lambda s, x: s + x["w"] * F.get(x["v"], i)))
+    made = joined_parts(met.filter(shortest > 0).select(key, F.col("bad").alias("channel"), "part", total.alias("v")), [key, "channel"], "__new")
     return clips.join(made, [key, "channel"], "left").withColumn("samples", F.coalesce("__new", "samples")).drop("__new")
 
 
+def components_of(x: np.ndarray, n: int, seed: int = 42, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """(unmixing, mixing) of `n` independent components of channels (rows), by fixed-point steps with a symmetric decorrelation."""
+    x = x - x.mean(1, keepdims=True)
+    values, vectors = np.linalg.eigh(x @ x.T / max(x.shape[1], 1))
+    order = np.argsort(-values)[: min(n, int((values > 1e-12 * max(values.max(), 1e-300)).sum()))]
+    white = (vectors[:, order] / np.sqrt(values[order])).T
+    z = white @ x
+
+    def apart(w: np.ndarray) -> np.ndarray:
+        u, _, v = np.linalg.svd(w, full_matrices=False)
+        return u @ v
+
+    w = apart(np.random.default_rng(seed).standard_normal((len(z), len(z))))
+    for _ in range(rounds):
+        g = np.tanh(w @ z)
+        new = apart(g @ z.T / z.shape[1] - (1 - g**2).mean(1)[:, None] * w)
+        moved = np.abs(np.abs((new * w).sum(1)) - 1).max() if len(w) else 0.0
+        w = new
+        if moved < 1e-6:
+            break
+    return w @ white, np.linalg.pinv(w @ white)
+
+
+def without_artifacts(clips: DataFrame, key: str, fs: float, eye: list[str], n_components: int = 20, seed: int = 42, limit: float = 3.0) -> DataFrame:
+    """samples without the independent components that follow an eye channel.
+
+    A component goes if its correlation with a channel of `eye`, over 1 to 40 Hz, lies
+    `limit` deviations or more from that of the others. The eye channels themselves stay as they
+    are, and so does a recording without one. A recording's channels must meet, so one
+    task holds one recording at a time.
+    """
+    names = clips.columns
+    work = filtered(clips, fs, 1.0, 40.0, None).select(key, "channel", F.col("samples").alias("__low"))
+
+    def clean(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ch_idx", "channel"]).reset_index(drop=True)
+        own = ~rows["channel"].isin(eye)
+        n = min(map(len, rows["samples"]), default=0)
+        if own.any() and not own.all() and n > 1:
+            raw = np.stack([np.asarray(v[:n], float) for v in rows.loc[own, "samples"]])
+            low = np.stack([np.asarray(v[:n], float) for v in rows["__low"]])
+            unmix, mix = components_of(low[own.to_numpy()], n_components, seed)
+            sources = unmix @ (low[own.to_numpy()] - low[own.to_numpy()].mean(1, keepdims=True))
+            bad = np.zeros(len(sources), bool)
+            for line in low[~own.to_numpy()]:
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    r = np.nan_to_num([np.corrcoef(s, line)[0, 1] for s in sources])
+                bad |= np.abs(r - r.mean()) >= limit * max(r.std(), 1e-12) if len(r) > 2 else np.abs(r) > 0.9
+            mean = raw.mean(1, keepdims=True)
+            left = raw - mix[:, bad] @ (unmix[bad] @ (raw - mean))
+            rows.loc[own, "samples"] = pd.Series(list(left), index=rows.index[own])
+        return rows[names]
+
+    return clips.join(work, [key, "channel"]).groupBy(key).applyInPandas(clean, clips.schema)
+
+
+def preprocessed(clips: DataFrame, key: str, fs: float, low: float = 0.5, high: float = 100.0, notch: float | None = 50.0, places: DataFrame | None = None, eye: list[str] | None = None, bad_limit: float = 3.0) -> dict[str, DataFrame]:
+    """Every stage of the usual preparation: raw, filtered, interpolated (with `places`), ica_cleaned (with `eye` channels), final (average reference). Nothing runs until a stage is used."""
+    stages = {"raw": clips, "filtered": filtered(clips, fs, low, high, notch)}
+    now = stages["filtered"]
+    if places is not None:
+        now = stages["interpolated"] = interpolated(bad_channels(now, key, bad_limit), key, places).select(clips.columns)
+    if eye:
+        now = stages["ica_cleaned"] = without_artifacts(now, key, fs, eye)
+    stages["final"] = average_reference(now, key).select(clips.columns)
+    return stages
+
+
+def picked(clips: DataFrame, channels: list[str]) -> DataFrame:
+    """The rows of those of the channels that are there; ch_idx keeps their order."""
+    return clips.filter(F.col("channel").isin(channels))
+
+
+def all_features(clips: DataFrame, fs: float, key: str, channels: list[str] | None = None, include_spectral: bool = True, include_connectivity: bool = False, method: str = "coh", normalize: bool = True, nperseg: int | None = None) -> DataFrame:
+    """key, kind, feature, f_idx, value: band powers always (log and z-scored by feature if `normalize`), spectral features and connectivity of channel pairs if asked for.
+
+    `clips` has key, channel, ch_idx, samples. The spectrum is made once for both kinds
+    that need it. `method` is coh or plv; others are an error.
+    """
+    if method not in ("coh", "plv"):
+        raise ValueError(f"unknown method {method!r}")
+    clips = picked(clips, channels) if channels is not None else clips
+    size = nperseg or int(2 * fs)
+    spectra = psd(clips, fs, size, size // 2)
+    power = band_power(spectra, fs, size, [key, "channel", "ch_idx"])
+    power = power.select(key, F.concat_ws("_", "band", "channel").alias("feature"), (F.col("ch_idx") * 100 + F.col("band_idx")).alias("f_idx"), F.col("power").alias("value"))
+    if normalize:
+        power = zscore(power, ["feature"]).select(key, "feature", "f_idx", F.col("z").alias("value"))
+    parts = [power.select(key, F.lit("band_power").alias("kind"), "feature", F.col("f_idx").cast("long").alias("f_idx"), "value")]
+    if include_spectral:
+        found = spectral_features(spectra, fs, size, [key, "channel", "ch_idx"])
+        each = F.array(*(F.struct(F.concat_ws("_", F.lit(n), F.col("channel")).alias("feature"), (F.lit(1_000_000) + F.col("ch_idx") * 100 + i).cast("long").alias("f_idx"), F.col(c).alias("value")) for i, (n, c) in enumerate((("entropy", "entropy"), ("peak_freq", "peak_frequency"), ("centroid", "centroid")))))
+        parts.append(found.select(key, F.lit("spectral").alias("kind"), F.inline(each)))
+    if include_connectivity:
+        met = connectivity(channel_pairs(clips, key), fs, method, size, size // 2)
+        parts.append(met.select(key, F.lit("connectivity").alias("kind"), F.concat_ws("_", F.lit("conn"), "a", "b").alias("feature"), (F.lit(2_000_000) + F.col("a_idx") * 1000 + F.col("b_idx")).cast("long").alias("f_idx"), "value"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def quality(clips: DataFrame, markers: DataFrame, key: str, channels: int = 64, rate: float = 1000.0, classes: int = 4, events: int = 100) -> DataFrame:
     """key and five flags: channel count, sampling rate (column fs), class count, number of events, no flat channel."""
     a = channel_stats(clips).groupBy(key).agg((F.count("*") == channels).alias("has_channels"), (F.max("fs") == rate).alias("has_rate"), (F.min("variance") >= 1e-12).alias("no_flat_channel"))

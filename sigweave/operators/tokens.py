@@ -88,6 +88,12 @@ def contextual(text: Column, label: Column | None = None) -> Column:
     return F.concat_ws(" ", *([task] if task is not None else []), text, F.concat(F.lit("<PATTERN:"), pattern(text), F.lit(">")))
 
 
+def special_tokens() -> Column:
+    """Map of name to token: the structural tokens by name, then the tasks' tokens by id (as text)."""
+    pairs = {t.strip("<>"): t for t in dims.SPECIAL_TOKENS} | {str(x.id): x.token for x in dims.MOTOR_LABELS}
+    return F.create_map(*(F.lit(v) for pair in pairs.items() for v in pair))
+
+
 def full_vocabulary(names: DataFrame, n_bins: int = 3) -> DataFrame:
     """token: all features with all levels, and the structure tokens; distinct."""
     spark = names.sparkSession

@@ -76,6 +76,31 @@ class Experiment:
     def __post_init__(self) -> None:
         check(0 < self.test_size < 1 and 0 < self.val_size < 1, "split sizes must be in (0, 1)")
         check(self.test_size + self.val_size < 1, "splits must leave something to train on")
+        check(self.calibration in ("temperature", "isotonic", "none"), "unknown calibration")
+
+
+@dataclass(frozen=True)
+class Generator:
+    """How token sequences are varied; noise_level is kept and used by nothing."""
+
+    probability: float = 0.1
+    noise_level: float = 0.05
+    seed: int = 42
+
+    def __post_init__(self) -> None:
+        check(0 <= self.probability <= 1, "probability must be in [0, 1]")
+
+
+@dataclass(frozen=True)
+class Segmenter:
+    """Seconds about an event, and the span that its baseline is taken from."""
+
+    tmin: float = -1.0
+    tmax: float = 4.0
+    baseline: tuple[float, float] | None = (-1.0, 0.0)
+
+    def __post_init__(self) -> None:
+        check(self.tmin < self.tmax, "tmin must lie before tmax")
 
 
 @dataclass(frozen=True)
@@ -84,6 +109,8 @@ class Config:
     features: Features = field(default_factory=Features)
     model: Model = field(default_factory=Model)
     experiment: Experiment = field(default_factory=Experiment)
+    generator: Generator = field(default_factory=Generator)
+    segmenter: Segmenter = field(default_factory=Segmenter)
     version: str = "1.0"
 
     def changed(self, **sections: dict) -> Config:
@@ -112,7 +139,7 @@ class Config:
             said = json.loads(text)
         else:
             raise ValueError(f"unknown kind of file: {path}")
-        kinds = {"data": Data, "features": Features, "model": Model, "experiment": Experiment}
+        kinds = {"data": Data, "features": Features, "model": Model, "experiment": Experiment, "generator": Generator, "segmenter": Segmenter}
         made = {}
         for name, kind in kinds.items():
             known = {f.name for f in fields(kind)}

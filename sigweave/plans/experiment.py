@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -13,16 +13,36 @@ from pyspark.sql import functions as F
 from sigweave.operators import binning, calibration, metrics, sampling, segment, spectral, tokens
 from sigweave.plans.config import Config
 
+#: Cells that the linear classifier hashes tokens to.
+CELLS = 1 << 14
+
 
 def window_features(recordings: DataFrame, fs: float, config: Config) -> DataFrame:
-    """window_id, feature, f_idx, value of rows (trial_id, channel, ch_idx, samples): band powers of full windows."""
+    """window_id, feature, f_idx, value of rows (trial_id, channel, ch_idx, samples): log band powers of full windows, and spectral features if the config says so."""
     length = int(config.data.segment_length * fs)
     step = max(1, int(length * (1 - config.data.overlap)))
     clips = segment.sliding(recordings.select("trial_id", "channel", "ch_idx", "samples"), length, step)
     clips = clips.withColumn("window_id", F.concat_ws("#", "trial_id", "window_idx"))
-    size = min(int(2 * fs), length)
-    power = spectral.band_power(spectral.psd(clips, fs, size, size // 2), fs, size, ["window_id", "channel", "ch_idx"])
-    return power.select("window_id", F.concat_ws("_", "band", "channel").alias("feature"), (F.col("ch_idx") * 100 + F.col("band_idx")).alias("f_idx"), F.log1p("power").alias("value"))
+    found = spectral.all_features(clips, fs, "window_id", include_spectral=config.features.include_spectral, normalize=False, nperseg=min(int(2 * fs), length))
+    value = F.when(F.col("kind") == "band_power", F.log1p("value")).otherwise(F.col("value"))
+    return found.select("window_id", "feature", "f_idx", value.alias("value"))
+
+
+def hashed(lists: DataFrame) -> DataFrame:
+    return HashingTF(numFeatures=CELLS, inputCol="tokens", outputCol="features").transform(lists)
+
+
+def predicted(model: LogisticRegressionModel, lists: DataFrame, keep: list[str]) -> DataFrame:
+    """keep..., logits, probs of rows with tokens."""
+    out = model.transform(hashed(lists)).select(*keep, vector_to_array("rawPrediction").alias("logits"))
+    return out.withColumn("probs", calibration.softmax(F.col("logits")))
+
+
+def measured(predictions: DataFrame, n_classes: int) -> DataFrame:
+    """One row: accuracy, F1 and calibration measures of labelled predictions."""
+    decided = calibration.decided(predictions, [str(k) for k in range(n_classes)])
+    scores = metrics.summary(metrics.per_class(metrics.confusion(decided, n_classes)))
+    return scores.crossJoin(calibration.calibration_summary(predictions))
 
 
 @dataclass
@@ -32,6 +52,10 @@ class Result:
     encoded: DataFrame
     predictions: DataFrame
     report: DataFrame
+    model: LogisticRegressionModel
+    calibrator: calibration.Calibrator | None
+    #: window_id, split, y, tokens.
+    lists: DataFrame
 
 
 def run(recordings: DataFrame, labels: DataFrame, fs: float, config: Config, n_classes: int) -> Result:
@@ -46,12 +70,13 @@ def run(recordings: DataFrame, labels: DataFrame, fs: float, config: Config, n_c
     vocab = tokens.vocabulary(rows.filter("split = 'train'").select("token") if config.features.fit_on == "train" else rows.select("token"), config.features.min_frequency, config.features.max_vocab_size)
     encoded = tokens.encode(rows.select("window_id", "f_idx", "token"), vocab, "window_id", "f_idx", config.model.max_length)
     lists = rows.groupBy("window_id").agg(tokens.ordered("token", "f_idx").alias("tokens")).join(parts, "window_id")
-    hashed = HashingTF(numFeatures=1 << 14, inputCol="tokens", outputCol="features").transform(lists.withColumn("label", F.col("y").cast("double")))
-    model = LogisticRegression(family="multinomial", maxIter=50).fit(hashed.filter("split = 'train'"))
-    out = model.transform(hashed).select("window_id", "split", F.col("y").cast("int").alias("y"), vector_to_array("rawPrediction").alias("logits"))
-    t = calibration.fit_temperature(out.filter("split = 'val'")) if config.experiment.calibration == "temperature" else 1.0
-    out = out.withColumn("probs", calibration.softmax(F.col("logits"), t))
-    test = out.filter("split = 'test'")
-    scores = metrics.summary(metrics.per_class(metrics.confusion(calibration.decided(test, [str(k) for k in range(n_classes)]), n_classes)))
-    report = scores.crossJoin(calibration.calibration_summary(test)).withColumns({"temperature": F.lit(float(t)), "experiment": F.lit(config.experiment.experiment_name), "model_type": F.lit(config.model.model_type), "timestamp": F.current_timestamp()})
-    return Result(rules, vocab, encoded, out, report)
+    train = hashed(lists.filter("split = 'train'").withColumn("label", F.col("y").cast("double")))
+    model = LogisticRegression(family="multinomial", maxIter=50).fit(train)
+    out = predicted(model, lists, ["window_id", "split", F.col("y").cast("int").alias("y")])
+    calibrator = None
+    if config.experiment.calibration != "none":
+        calibrator = calibration.Calibrator(config.experiment.calibration).fit(out.filter("split = 'val'"))
+        out = calibrator.transform(out)
+    report = measured(out.filter("split = 'test'"), n_classes)
+    report = report.withColumns({"temperature": F.lit(calibrator.temperature if calibrator else None).cast("double"), "experiment": F.lit(config.experiment.experiment_name), "model_type": F.lit(config.model.model_type), "timestamp": F.current_timestamp()})
+    return Result(rules, vocab, encoded, out, report, model, calibrator, lists.select("window_id", "split", "y", "tokens"))

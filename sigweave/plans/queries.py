@@ -308,19 +308,44 @@ def channel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectral.channel_pairs(channel_clips(spark, sf_dir), "epoch").select("epoch", "a", "b")
 
 
-@query()
+SQL_PHASE = f"""{SQL_CH}, smp AS (SELECT vec_id, i.i AS i, embedding[i.i + 1]::DOUBLE AS v FROM embeddings, range(64) i(i)),
+ft AS (SELECT vec_id, k.k AS k, sum(v * cos(2 * pi() * i * k.k / 64)) AS re, -sum(v * sin(2 * pi() * i * k.k / 64)) AS im FROM smp, range(33) k(k) GROUP BY ALL),
+an AS (SELECT vec_id, i.i AS i, sum(CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * (re * cos(2 * pi() * i.i * k / 64) - im * sin(2 * pi() * i.i * k / 64))) AS x,
+  sum(CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * (re * sin(2 * pi() * i.i * k / 64) + im * cos(2 * pi() * i.i * k / 64))) AS y FROM ft, range(64) i(i) GROUP BY ALL),
+ph AS (SELECT vec_id // 4 AS epoch, vec_id % 4 AS ci, {CHANNELS}[vec_id % 4 + 1] AS channel, i, atan2(y, x) AS f FROM an)"""
+
+
+@query(f"""WITH {SQL_PHASE} SELECT a.epoch, a.channel AS a, b.channel AS b, round(sqrt(pow(avg(cos(a.f - b.f)), 2) + pow(avg(sin(a.f - b.f)), 2)), 6) + 0.0 AS plv
+FROM ph a JOIN ph b ON a.epoch = b.epoch AND a.i = b.i AND a.ci < b.ci GROUP BY a.epoch, a.channel, b.channel""")
 def plv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = spectral.channel_pairs(channel_clips(spark, sf_dir), "epoch")
     return spectral.connectivity(pairs, FS, "plv").select("epoch", "a", "b", rounded("value").alias("plv"))
 
 
-@query()
+SQL_SEGMENTS = f"""seg AS (SELECT vec_id, g.g AS g, i.i AS i, embedding[g.g * 8 + i.i + 1]::DOUBLE AS v, avg(embedding[g.g * 8 + i.i + 1]::DOUBLE) OVER (PARTITION BY vec_id, g.g) AS m FROM embeddings, range(7) g(g), range(16) i(i)),
+fs AS (SELECT vec_id, g, k.k AS k, sum((v - m) * (0.5 - 0.5 * cos(2 * pi() * i / 16)) * cos(2 * pi() * i * k.k / 16)) AS re, -sum((v - m) * (0.5 - 0.5 * cos(2 * pi() * i / 16)) * sin(2 * pi() * i * k.k / 16)) AS im FROM seg, range(9) k(k) GROUP BY ALL),
+fc AS (SELECT *, vec_id // 4 AS epoch, vec_id % 4 AS ci, {CHANNELS}[vec_id % 4 + 1] AS channel FROM fs),
+cs AS (SELECT a.epoch, a.channel AS a, b.channel AS b, a.k, (pow(sum(a.re * b.re + a.im * b.im), 2) + pow(sum(a.re * b.im - a.im * b.re), 2)) / (sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im)) AS c
+  FROM fc a JOIN fc b ON a.epoch = b.epoch AND a.g = b.g AND a.k = b.k AND a.ci < b.ci GROUP BY ALL)"""
+
+
+@query(f"WITH {SQL_SEGMENTS} SELECT epoch, a, b, round(avg(c), 6) + 0.0 AS coherence FROM cs WHERE k * 4 BETWEEN 8 AND 30 GROUP BY ALL")
 def coherence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = spectral.channel_pairs(channel_clips(spark, sf_dir), "epoch")
     return spectral.connectivity(pairs, FS, "coh", 16, 8).select("epoch", "a", "b", rounded("value").alias("coherence"))
 
 
-@query()
+def sql_taps(edge: float) -> str:
+    sinc = f"CASE WHEN t.t = 0 THEN 1 ELSE sin(pi() * {2 * edge / 64} * t.t) / (pi() * {2 * edge / 64} * t.t) END"
+    return f"SELECT t.t AS t, h / sum(h) OVER () AS h FROM (SELECT t.t AS t, {2 * edge / 64} * {sinc} * (0.54 - 0.46 * cos(2 * pi() * (t.t + 31) / 62)) AS h FROM range(-31, 32) t(t)) t"
+
+
+SQL_FILTERED = f"""taps AS (SELECT a.t, a.h - b.h AS h FROM ({sql_taps(20.0)}) a JOIN ({sql_taps(1.0)}) b USING (t)),
+pad AS (SELECT vec_id, i.i AS i, embedding[CASE WHEN i.i < 0 THEN -i.i WHEN i.i > 63 THEN 126 - i.i ELSE i.i END + 1]::DOUBLE AS v FROM embeddings, range(-31, 95) i(i)),
+fil AS (SELECT vec_id, (pad.i - t)::INT AS i, sum(v * h) AS v FROM pad JOIN taps ON pad.i - t BETWEEN 0 AND 63 GROUP BY ALL)"""
+
+
+@query(f"WITH {SQL_FILTERED} SELECT vec_id, i, round(v, 6) + 0.0 AS v FROM fil")
 def band_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spectral.filtered(clips(spark, sf_dir), FS, 1.0, 20.0, None)
     return out.select("vec_id", F.posexplode("samples").alias("i", "v")).withColumn("v", rounded("v"))
@@ -345,8 +370,7 @@ def bad_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def interpolated_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    positions = spark.createDataFrame([("C3", -0.7, 0.0, 0.7), ("C4", 0.7, 0.0, 0.7), ("Cz", 0.0, 0.0, 1.0), ("FCz", 0.0, 0.4, 0.9)], "channel string, px double, py double, pz double")
-    out = spectral.interpolated(spectral.bad_channels(channel_clips(spark, sf_dir), "epoch", 1.6), "epoch", positions)
+    out = spectral.interpolated(spectral.bad_channels(channel_clips(spark, sf_dir), "epoch", 1.6), "epoch", spectral.positions_frame(spark, CHANNELS))
     return out.select("epoch", "channel", F.posexplode("samples").alias("i", "v")).withColumn("v", rounded("v"))
 
 
@@ -469,6 +493,24 @@ def temperature_grid_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.temperature_grid(predictions(spark, sf_dir), [i / 2 for i in range(1, 9)]).withColumn("nll", rounded("nll"))
 
 
+def sql_temperature(rounds: int = 5, points: int = 12) -> str:
+    """The grids of the fit one after the other: bounds, losses at the grid's points, and the best of them."""
+    parts = [f"{SQL_PRED}, lm AS (SELECT vec_id, y, k, logit - max(logit) OVER (PARTITION BY vec_id) AS z FROM lg), b0 AS (SELECT 0.1::DOUBLE AS lo, 10.0::DOUBLE AS hi)"]
+    for r in range(rounds):
+        parts.append(f"g{r} AS (SELECT lo, hi, lo + (hi - lo) * i.i / {points - 1} AS t FROM b{r}, range({points}) i(i)), e{r} AS (SELECT t, vec_id, sum(exp(z / t)) FILTER (k = y) / sum(exp(z / t)) AS p FROM lm, g{r} GROUP BY ALL)")
+        parts.append(f"n{r} AS (SELECT t, avg(-ln(p + 1e-15)) AS nll FROM e{r} GROUP BY 1), m{r} AS (SELECT arg_min(t, nll) AS t FROM n{r})")
+        parts.append(f"b{r + 1} AS (SELECT greatest(lo, t - (hi - lo) / {points - 1}) AS lo, least(hi, t + (hi - lo) / {points - 1}) AS hi FROM b{r}, m{r})")
+    return "WITH " + ", ".join(parts) + f" SELECT round(t, 6) AS temperature, (SELECT round(nll, 6) FROM n{rounds - 1} ORDER BY nll LIMIT 1) AS nll FROM m{rounds - 1}"
+
+
+@query(sql_temperature())
+def temperature_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted temperature and the loss under it."""
+    rows = predictions(spark, sf_dir)
+    t = calibration.fit_temperature(rows)
+    return calibration.temperature_grid(rows, [t]).select(F.round(F.lit(t), 6).alias("temperature"), rounded("nll").alias("nll"))
+
+
 @query()
 def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss and calibration of the predictions under the fitted temperature."""
@@ -483,6 +525,19 @@ def isotonic_apply_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.isotonic_legacy(rows, F.lit(0.37)).select("vec_id", F.posexplode("probs").alias("k", "p")).withColumn("p", rounded("p"))
 
 
+@query(f"""WITH {SQL_PRED}, pt AS (SELECT conf AS x, count(*) AS w, sum((pred = y)::INT) AS s FROM top GROUP BY 1),
+cu AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs, w, s FROM pt),
+av AS (SELECT a.i AS j, b.i AS k, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM cu a JOIN cu b ON b.i >= a.i),
+mn AS (SELECT j, k AS i, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM av),
+iso AS (SELECT cu.x, max(m) AS v FROM mn JOIN cu USING (i) GROUP BY cu.x)
+SELECT vec_id, round(v, 6) + 0.0 AS confidence FROM top JOIN iso ON conf = x""")
+def isotonic_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest probability of each prediction under a monotone fit."""
+    rows = predictions(spark, sf_dir)
+    out = calibration.Calibrator("isotonic").fit(rows)
+    return rows.select("vec_id", rounded(calibration.stepped(calibration.confidence(F.col("probs")), out.steps)).alias("confidence"))
+
+
 @query()
 def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted step function: boundary and value."""
@@ -629,7 +684,13 @@ def synthetic_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.synthetic_explanations(token_rows(spark, sf_dir), "vec_id").select("vec_id", "variation", "explanation")
 
 
-@query()
+SQL_LUCK = "('0x' || md5(concat(vec_id::VARCHAR, '-42-{}'))[1:8])::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(f"""WITH {SQL_TOKENS}, a AS (SELECT vec_id, string_split(toks, ' ') AS t, {SQL_LUCK.format("any")} AS luck, floor({SQL_LUCK.format("swap")} * (len(string_split(toks, ' ')) - 1))::INT AS at FROM tok),
+sw AS (SELECT vec_id, luck, t, i.i AS i, CASE WHEN len(t) > 4 AND i.i = at THEN t[at + 2] WHEN len(t) > 4 AND i.i = at + 1 THEN t[at + 1] ELSE t[i.i + 1] END AS w FROM a, range(20) i(i)),
+so AS (SELECT vec_id, luck, t, i, CASE WHEN ('0x' || md5(concat(vec_id::VARCHAR, '-42-soft-', i::VARCHAR))[1:8])::BIGINT / 4294967296.0::DOUBLE >= 0.1 THEN w WHEN contains(w, '_HIGH') THEN replace(w, '_HIGH', '_MEDIUM') WHEN contains(w, '_LOW') THEN replace(w, '_LOW', '_MEDIUM') ELSE w END AS w FROM sw)
+SELECT vec_id, CASE WHEN any_value(luck) <= 0.5 THEN string_agg(w, ' ' ORDER BY i) ELSE array_to_string(any_value(t), ' ') END AS tokens FROM so GROUP BY vec_id""")
 def augmented_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(spark, sf_dir).select("vec_id", F.array_join(prompts.augmented(F.col("tokens"), "vec_id", 0.5), " ").alias("tokens"))
 
@@ -685,3 +746,120 @@ def task_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     return table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce(F.concat(F.lit("quality_"), F.col("quality").cast("string")), F.lit("unknown")).alias("label"))
+
+
+# --- further operators --------------------------------------------------------------------------
+
+
+@query(f"WITH {SQL_TOKENS} SELECT vec_id, upper(band) || '_' || upper(level) || '_' || channel AS token FROM binned")
+def band_level_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = binning.fit_transform(embedding_features(spark, sf_dir))
+    part = F.split("feature", "_")
+    return rows.select("vec_id", tokens.band_token(F.get(part, F.lit(0)), F.col("level"), F.get(part, F.lit(1))).alias("token"))
+
+
+@query(f"""WITH {SQL_WHY} SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN '<BOS> Classify EEG motor imagery: ' || toks || ' <SEP> Prediction:'
+  ELSE '<BOS> Explain ' || name || ' prediction: ' || toks || ' <SEP> Analysis: The EEG pattern indicates ' || name || ' because' END AS text FROM why""")
+def prompt_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explanations; rows without a label (here each second one) fall back to inference."""
+    rows = token_rows(spark, sf_dir).withColumn("label", F.when(F.col("vec_id") % 2 == 1, F.col("label")))
+    return prompts.encoded(rows, "explanation").select("vec_id", "text")
+
+
+@query(f"""WITH {SQL_PRED} SELECT vec_id, k.k::INT AS k, round(CASE WHEN k.k = pred THEN 0.7 ELSE 0.2 END / 1.5, 6) AS p, round(ln(CASE WHEN k.k = pred THEN 0.7 ELSE 0.2 END / 1.5 + 1e-8), 6) AS logit FROM top, range(5) k(k)""")
+def hard_label_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and logits made up for predictions that are classes only."""
+    rows = predictions(spark, sf_dir).select("vec_id", calibration.pseudo_probabilities(sampling.argmax(F.col("probs")), CLASSES).alias("p"))
+    both = F.zip_with("p", calibration.logits_of(F.col("p")), lambda p, x: F.struct(p.alias("p"), x.alias("logit")))
+    return rows.select("vec_id", F.posexplode(both).alias("k", "x")).select("vec_id", "k", rounded("x.p").alias("p"), rounded("x.logit").alias("logit"))
+
+
+@query(r"""WITH a AS (SELECT coalesce(nullif(lower(regexp_extract(list_last(string_split('x Prediction:' || text, 'Prediction:')), '^\s*(\S+)', 1)), ''), 'unknown') AS answer FROM conversations WHERE text IS NOT NULL),
+l AS (SELECT CASE answer """ + SYNONYM_CASES + """ ELSE 'unknown' END AS label FROM a) SELECT label, count(*) AS n FROM l WHERE label != 'unknown' GROUP BY 1""")
+def valid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each class is answered, of the answers that name one."""
+    rows = metrics.decided_only(parsed_answers(spark, sf_dir), "label")
+    return rows.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source AS label, (row_number() OVER (ORDER BY source) - 1)::INT AS label_id FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")
+def label_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.label_ids(table(spark, sf_dir, "documents"), "source")
+
+
+@query(f"SELECT vec_id, {[x.token for x in dims.MOTOR_LABELS]}[label % 4 + 1] AS token, '<CLS>' AS first FROM embeddings")
+def special_token_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 4 + 1).cast("string").alias("id"), tokens.special_tokens().alias("m"))
+    return rows.select("vec_id", F.element_at("m", F.col("id")).alias("token"), F.element_at("m", F.lit("CLS")).alias("first"))
+
+
+@query("SELECT d.doc_id, lang, quality FROM documents d JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id")
+def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return sampling.paired(table(spark, sf_dir, "documents").select("doc_id", "lang"), labels, ["doc_id"])
+
+
+@query("SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, s_acctbal, NULL FROM supplier")
+def concatenated_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = table(spark, sf_dir, "customer").selectExpr("c_name AS name", "c_acctbal AS balance", "c_mktsegment AS segment")
+    return sampling.concatenated(one, table(spark, sf_dir, "supplier").selectExpr("s_acctbal AS balance", "s_name AS name"))
+
+
+@query(f"""WITH {SQL_LINES}, {sql_edges(3)} SELECT feature, (len(e) - 1)::INT AS n_bins, round(e[1], 6) AS low, round(e[len(e)], 6) AS high, array_to_string(['LOW', 'MEDIUM', 'HIGH'][1:len(e) - 1], ' ') AS labels FROM rules""")
+def binning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = binning.summary(binning.fit(line_features(spark, sf_dir)))
+    return out.select("feature", "n_bins", rounded("low").alias("low"), rounded("high").alias("high"), F.array_join("labels", " ").alias("labels"))
+
+
+@query(f"""WITH {SQL_PRED}, s AS (SELECT min(conf) AS lo, max(conf) AS hi FROM top), b AS (SELECT least(floor((conf - lo) / (hi - lo) * 30), 29)::INT AS bin, count(*) AS n FROM top, s GROUP BY 1)
+SELECT i::INT AS bin, coalesce(n, 0) AS n FROM range(30) t(i) LEFT JOIN b ON bin = i""")
+def confidence_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = predictions(spark, sf_dir).select(calibration.confidence(F.col("probs")).alias("confidence"))
+    return calibration.histogram(rows, "confidence")
+
+
+@query("SELECT event_type, strftime(max(ts), '%Y%m%d_%H%M%S') AS last_run FROM events GROUP BY 1")
+def run_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.max(F.expr("cast(ts as timestamp_ntz)")).alias("t"))
+    return rows.select("event_type", F.date_format("t", "yyyyMMdd_HHmmss").alias("last_run"))
+
+
+@query(f"""WITH {SQL_FILTERED}, f AS (SELECT vec_id // 4 AS epoch, {CHANNELS}[vec_id % 4 + 1] AS channel, i, v FROM fil)
+SELECT epoch, channel, i, round(v - avg(v) OVER (PARTITION BY epoch, i), 6) + 0.0 AS v FROM f""")
+def preprocessed_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage of the preparation: filter and average reference."""
+    out = spectral.preprocessed(channel_clips(spark, sf_dir), "epoch", FS, 1.0, 20.0, None)["final"]
+    return out.select("epoch", "channel", F.posexplode("samples").alias("i", "v")).withColumn("v", rounded("v"))
+
+
+@query()
+def preprocessed_ica(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, FCz standing in for an eye channel; independent components are beyond SQL."""
+    stages = spectral.preprocessed(channel_clips(spark, sf_dir), "epoch", FS, 1.0, 20.0, None, spectral.positions_frame(spark, CHANNELS), ["FCz"], 1.6)
+    return stages["final"].select("epoch", "channel", F.posexplode("samples").alias("i", "v")).withColumn("v", rounded("v"))
+
+
+SQL_BAND_PART = SQL_BAND.removeprefix(SQL_PSD).removeprefix(",").strip()
+
+
+@query(f"""WITH {SQL_PSD}, {SQL_BAND_PART}, ch AS (SELECT DISTINCT vec_id, vec_id // 4 AS epoch, vec_id % 4 AS ci, {CHANNELS}[vec_id % 4 + 1] AS channel FROM psd WHERE vec_id % 4 != 1),
+lv AS (SELECT epoch, band || '_' || channel AS feature, ln(1 + power) AS v FROM bp JOIN ch USING (vec_id)), st AS (SELECT feature, avg(v) AS m, stddev_pop(v) AS d FROM lv GROUP BY 1),
+n AS (SELECT vec_id, freq, p, p / sum(p) OVER (PARTITION BY vec_id) AS s FROM psd WHERE k > 0),
+sp AS (SELECT vec_id, sum(CASE WHEN s > 0 THEN -s * ln(s) ELSE 0 END) AS entropy, arg_max(freq, round(p, 12)) AS peak_freq, sum(freq * s) AS centroid FROM n GROUP BY 1),
+wide AS (SELECT epoch, channel, entropy, peak_freq, centroid FROM sp JOIN ch USING (vec_id))
+SELECT epoch, 'band_power' AS kind, feature, round((v - m) / CASE WHEN d = 0 THEN 1 ELSE d END, 5) + 0.0 AS value FROM lv JOIN st USING (feature)
+UNION ALL SELECT epoch, 'spectral', 'entropy_' || channel, round(entropy, 5) + 0.0 FROM wide UNION ALL SELECT epoch, 'spectral', 'peak_freq_' || channel, round(peak_freq, 5) + 0.0 FROM wide
+UNION ALL SELECT epoch, 'spectral', 'centroid_' || channel, round(centroid, 5) + 0.0 FROM wide
+UNION ALL SELECT a.epoch, 'connectivity', 'conn_' || a.channel || '_' || b.channel, 1.0 FROM ch a JOIN ch b ON a.epoch = b.epoch AND a.ci < b.ci""")
+def all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of feature of three picked channels; a clip is one segment long here, so all coherence is 1."""
+    out = spectral.all_features(channel_clips(spark, sf_dir), FS, "epoch", ["C3", "Cz", "FCz"], True, True, "coh", True, NPERSEG)
+    return out.select("epoch", "kind", "feature", rounded("value", 5).alias("value"))
+
+
+@query("""WITH n AS (SELECT count(DISTINCT c_nationkey) AS n FROM customer) SELECT b || '_' || c_nationkey AS feature, (row_number() OVER (ORDER BY c_nationkey, bi) - 1)::INT AS f_idx
+FROM (SELECT DISTINCT c_nationkey FROM customer), (SELECT unnest(""" + str(BANDS) + """) AS b, unnest(range(5)) AS bi)""")
+def feature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in order; the channels are the nations of customers."""
+    nations = [str(r[0]) for r in table(spark, sf_dir, "customer").select("c_nationkey").distinct().orderBy("c_nationkey").limit(100).collect()]  # there are 25
+    return tokens.feature_names(spark, nations)

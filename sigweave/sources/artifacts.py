@@ -46,6 +46,29 @@ def save_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def save_predictions(predictions: DataFrame, path: str) -> None:
+    """One object to a line, written by as many tasks as there are."""
+    predictions.write.mode("overwrite").json(path)
+
+
+def save_tokenizer(rules: DataFrame, vocab: DataFrame, settings: dict, path: str) -> None:
+    """A fitted tokenizer as a folder: rules, vocabulary, and its settings (texts) as a map. Nothing is pickled."""
+    save_rules(rules, f"{path}/rules")
+    save_vocabulary(vocab, f"{path}/vocabulary")
+    pairs = [(str(k), str(v)) for k, v in settings.items()]
+    rules.sparkSession.createDataFrame(pairs, "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+
+
+def load_tokenizer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    settings = spark.read.schema("name string, value string").json(f"{path}/settings").collect()  # a few settings
+    return load_rules(spark, f"{path}/rules"), load_vocabulary(spark, f"{path}/vocabulary"), {r.name: r.value for r in settings}
+
+
+def save_tokenized(lists: DataFrame, path: str) -> None:
+    """Token sequences with labels and feature vectors, as Parquet."""
+    lists.write.mode("overwrite").parquet(path)
+
+
 def wide(rows: DataFrame, key: str, name: str, value: str, columns: list[str], limit: int = 10_000) -> DataFrame:
     """One row for each key and one column for each of the named values."""
     if len(columns) > limit:

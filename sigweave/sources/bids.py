@@ -15,16 +15,17 @@ SESSIONS = ["session1", "session2", "session3"]
 
 
 def participants(spark: SparkSession, root: str, subjects: list[str] | None = None) -> DataFrame:
-    """subject_id, age, sex, height, weight; `n/a` is null. An empty or missing list of subjects keeps all."""
+    """file_order, subject_id, age, sex, height, weight; `n/a` is null. An empty or missing list of subjects keeps all."""
     raw = spark.read.option("header", True).option("sep", "\t").option("nullValue", "n/a").option("enforceSchema", False).csv(f"{root}/participants.tsv")
     have = {c: F.col(c) if c in raw.columns else F.lit(None) for c in ("participant_id", "age", "sex", "Height", "Weight")}
-    rows = raw.select(have["participant_id"].alias("subject_id"), have["age"].try_cast("double").cast("int").alias("age"), F.lower(have["sex"].cast("string")).alias("sex"), have["Height"].try_cast("double").alias("height"), have["Weight"].try_cast("double").alias("weight"))
+    raw = raw.withColumn("__at", F.monotonically_increasing_id())  # grows along the file, which one task reads
+    rows = raw.select(F.col("__at").alias("file_order"), have["participant_id"].alias("subject_id"), have["age"].try_cast("double").cast("int").alias("age"), F.lower(have["sex"].cast("string")).alias("sex"), have["Height"].try_cast("double").alias("height"), have["Weight"].try_cast("double").alias("weight"))
     return rows.filter(F.col("subject_id").isin(subjects)) if subjects else rows
 
 
 def first_subjects(rows: DataFrame, n: int) -> DataFrame:
-    """The first n subjects in the order of their ids."""
-    return rows.orderBy("subject_id").limit(n)
+    """The first n subjects in the order of the file, or of their ids if that isn't known."""
+    return rows.orderBy("file_order" if "file_order" in rows.columns else "subject_id").limit(n)
 
 
 def sidecars(spark: SparkSession, root: str) -> DataFrame:

@@ -51,8 +51,207 @@ def test_bad_parameters(spark):
         spectral.psd(spark.createDataFrame([([1.0],)], "samples array<double>"), 1.0, 4, 4)
 
 
-def test_empty_frame(spark):
-    assert binning.fit_transform(long(spark, [])).count() == 0
+def test_nothing_to_fit_to_is_an_error(spark):
+    with pytest.raises(ValueError, match="no values"):
+        binning.fit(long(spark, [None, float("nan")]))
+    rules = binning.fit(long(spark, [1, 2, 3]))
+    assert binning.transform(long(spark, []), rules).count() == 0
+
+
+def test_exact_quantiles_over_ranges(spark):
+    rng = np.random.default_rng(2)
+    a, b = np.round(rng.normal(size=3000), 2), rng.integers(0, 3, 500).astype(float)
+    frame = long(spark, a, "a").union(long(spark, b, "b")).union(long(spark, [7.0], "c"))
+    out = {r.feature: r.q for r in binning.quantiles(frame, [0.0, 0.2, 1 / 3, 0.5, 0.9, 1.0]).collect()}
+    for name, x in (("a", a), ("b", b), ("c", [7.0])):
+        assert np.allclose(out[name], np.quantile(x, [0, 0.2, 1 / 3, 0.5, 0.9, 1]), atol=1e-12)
+
+
+def test_kmeans_equals_a_plain_version(spark):
+    x = np.random.default_rng(3).gamma(2.0, size=400)
+    edges = np.linspace(x.min(), x.max(), 4)
+    centres = (edges[1:] + edges[:-1]) / 2
+    for _ in range(300):
+        own = np.searchsorted((centres[1:] + centres[:-1]) / 2, x, "right")
+        moved = np.array([x[own == k].mean() for k in range(3)])
+        done = ((moved - centres) ** 2).sum() <= 1e-4 * x.var()
+        centres = moved
+        if done:
+            break
+    got = binning.fit(long(spark, x), strategy="kmeans").first().edges
+    assert np.allclose(got, [x.min(), *((centres[1:] + centres[:-1]) / 2), x.max()])
+
+
+def test_value_at_a_rank(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "SORTED", 20)
+    frame = spark.range(1000).select((F.col("id") * 7 % 503).alias("v"))
+    every = sorted(k * 7 % 503 for k in range(1000))
+    assert [sampling.value_at(frame, "v", r) for r in (0, 13, 500, 999)] == [every[r] for r in (0, 13, 500, 999)]
+    assert sampling.value_at(frame, "v", 1000) is None and sampling.value_at(frame.limit(0), "v", 0) is None
+    assert sampling.value_at(frame.select(F.lit(3).alias("v")), "v", 700) == 3
+
+
+def test_ranks_within_classes(spark):
+    frame = spark.range(600).select("id", F.when(F.col("id") % 3 == 0, "x").when(F.col("id") % 3 == 1, "y").alias("label"))
+    rows = sampling.ranked(frame, "id", by="label").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.label, []).append(r.rank)
+        assert r.n == 200
+    assert all(sorted(v) == list(range(200)) for v in by.values()) and len(by) == 3
+    assert sampling.per_class(frame, "id", "label", 4).count() == 12
+
+
+def test_pairs_unions_and_label_ids(spark):
+    one, two = spark.createDataFrame([(1, "a"), (2, "b")], "k int, t string"), spark.createDataFrame([(2, 5), (3, 6)], "k int, y int")
+    assert [(r.k, r.t, r.y) for r in sampling.paired(one, two, ["k"]).collect()] == [(2, "b", 5)]
+    assert sorted((r.k, r.t, r.y) for r in sampling.concatenated(one, two).filter("k < 3").collect() if r.t) == [(1, "a", None), (2, "b", None)]
+    labels = spark.createDataFrame([("b",), ("Z",), (None,), ("b",)], "l string")
+    assert [(r.label, r.label_id) for r in sampling.label_ids(labels, "l").collect()] == [("Z", 0), ("b", 1)]
+
+
+def test_calibrators(spark):
+    with pytest.raises(ValueError, match="method"):
+        calibration.Calibrator("other")
+    rng = np.random.default_rng(5)
+    rows = [(int(k), (rng.normal(size=3) + 3 * (np.arange(3) == k) * (rng.random() < 0.8)).tolist()) for k in rng.integers(0, 3, 300)]
+    frame = spark.createDataFrame(rows, "y int, logits array<double>").withColumn("probs", calibration.softmax(F.col("logits")))
+    with pytest.raises(ValueError, match="fitted"):
+        calibration.Calibrator().transform(frame)
+    for method in ("temperature", "isotonic"):
+        made = calibration.Calibrator(method)
+        out = made.fit_transform(frame)
+        assert out.count() == 300 and made.params(spark).first().method == method
+        assert calibration.scores(out).first().nll <= calibration.scores(frame).first().nll + (1e-6 if method == "temperature" else 1)
+    model = calibration.fit_isotonic(frame)
+    steps = list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True))
+    xs = [0.0, 0.4, 0.55, 0.9, 1.0]
+    got = [r.v for r in spark.createDataFrame([(x,) for x in xs], "x double").select(calibration.stepped(F.col("x"), steps).alias("v")).collect()]
+    assert np.allclose(got, np.interp(xs, *zip(*steps, strict=True)))
+    hard = spark.createDataFrame([(1,)], "p int").select(calibration.pseudo_probabilities(F.col("p"), 4).alias("v")).first().v
+    assert np.allclose(hard, np.array([0.25, 0.7, 0.25, 0.25]) / 1.45)
+
+
+def recording(spark, n=512, fs=128.0, bad=None):
+    rng = np.random.default_rng(7)
+    t = np.arange(n) / fs
+    shared = np.sin(2 * np.pi * 10 * t)
+    names = ["C3", "Cz", "C4", "FC3", "FCz", "FC4", "CP3", "CPz", "CP4"]
+    xyz = spectral.positions(names)
+    rows = []
+    for k, c in enumerate(names):
+        x, y, _ = xyz[c]
+        signal = shared * (1 + x) + y * np.cos(2 * np.pi * 6 * t) + 0.01 * rng.normal(size=n)
+        rows.append((1, c, k, (signal * (40 if c == bad else 1)).tolist()))
+    return spark.createDataFrame(rows, "trial int, channel string, ch_idx int, samples array<double>"), {r[1]: np.array(r[3]) for r in rows}
+
+
+def test_splines_follow_a_smooth_field(spark):
+    clips, plain = recording(spark, bad="Cz")
+    clean, _ = recording(spark)
+    want = {r.channel: np.array(r.samples) for r in clean.collect()}["Cz"]
+    flagged = clips.withColumn("bad", F.col("channel") == "Cz")
+    out = {r.channel: np.array(r.samples) for r in spectral.interpolated(flagged, "trial", spectral.positions_frame(spark, list(plain))).collect()}
+    assert np.corrcoef(out["Cz"], want)[0, 1] > 0.99 and np.abs(out["Cz"] - want).max() < 0.3 and np.allclose(out["C3"], plain["C3"])
+    places = np.array([spectral.positions([c])[c] for c in plain if c != "Cz"])
+    w = spectral.spline_weights(places, np.array([spectral.positions(["Cz"])["Cz"]]))
+    assert np.allclose(w.sum(1), 1) and np.allclose(out["Cz"], w[0] @ np.stack([v for c, v in plain.items() if c != "Cz"]))
+
+
+def test_eye_components_go(spark):
+    rng = np.random.default_rng(8)
+    n, fs = 1024, 128.0
+    t = np.arange(n) / fs
+    blink = (np.sin(2 * np.pi * 2 * t) > 0.95).astype(float) * 5
+    brain = [np.sin(2 * np.pi * 10 * t), np.sign(np.sin(2 * np.pi * 7 * t)), rng.laplace(size=n)]
+    rows = [(1, f"c{k}", k, (sum((0.3 + ((k + j) % 3)) * b for j, b in enumerate(brain)) + (0.5 + k) * blink).tolist()) for k in range(6)] + [(1, "eye", 6, (blink * 3).tolist())]
+    clips = spark.createDataFrame(rows, "trial int, channel string, ch_idx int, samples array<double>")
+    out = {r.channel: np.array(r.samples) for r in spectral.without_artifacts(clips, "trial", fs, ["eye"], 4, limit=1.5).collect()}
+    for k in range(1, 6):
+        assert abs(np.corrcoef(out[f"c{k}"], blink)[0, 1]) < 0.3 < abs(np.corrcoef(rows[k][3], blink)[0, 1])
+    assert np.allclose(out["eye"], rows[6][3])
+    same = spectral.without_artifacts(clips, "trial", fs, ["none"])
+    assert all(np.allclose(r.samples, rows[r.ch_idx][3]) for r in same.collect())
+
+
+def test_stages_of_the_preparation(spark):
+    clips, _ = recording(spark, bad="Cz")
+    stages = spectral.preprocessed(clips, "trial", 128.0, 1.0, 40.0, 50.0, spectral.positions_frame(spark, [r.channel for r in clips.collect()]), ["C3"], 2.0)
+    assert list(stages) == ["raw", "filtered", "interpolated", "ica_cleaned", "final"]
+    last = np.stack([np.array(r.samples) for r in stages["final"].collect()])
+    assert np.abs(last.sum(0)).max() < 1e-9 and stages["final"].columns == clips.columns
+    assert list(spectral.preprocessed(clips, "trial", 128.0)) == ["raw", "filtered", "final"]
+    # the notch takes out the mains' hum and leaves what is far from it
+    t = np.arange(2048) / 256.0
+    hum = spark.createDataFrame([(1, (np.sin(2 * np.pi * 50 * t) + np.sin(2 * np.pi * 10 * t)).tolist())], "id int, samples array<double>")
+    power = lambda x, f: np.abs(np.fft.rfft(x)[int(f * len(x) / 256)])
+    one, two = (np.array(spectral.filtered(hum, 256.0, 1.0, 100.0, n).first().samples)[512:1536] for n in (None, 50.0))
+    assert power(two, 50) < 0.5 * power(one, 50) and power(two, 10) > 0.9 * power(one, 10)
+
+
+def test_all_features(spark):
+    clips, _ = recording(spark)
+    out = spectral.all_features(clips, 128.0, "trial", ["C3", "C4", "nowhere"], include_connectivity=True, method="plv")
+    assert {r.kind: r.n for r in out.groupBy("kind").agg(F.count("*").alias("n")).collect()} == {"band_power": 10, "spectral": 6, "connectivity": 1}
+    assert {r.feature for r in out.filter("kind != 'band_power'").collect()} == {f"{n}_{c}" for n in ("entropy", "peak_freq", "centroid") for c in ("C3", "C4")} | {"conn_C3_C4"}
+    with pytest.raises(ValueError, match="method"):
+        spectral.all_features(clips, 128.0, "trial", method="pli")
+
+
+def test_runs_are_read_back_and_evaluated(spark, tmp_path):
+    from sigweave.plans import runs
+
+    rng = np.random.default_rng(11)
+    rows, labels = [], []
+    t = np.arange(64 * 24) / 64
+    for k in range(6):
+        y = k % 2
+        for i, c in enumerate(("C3", "C4")):
+            rows.append((f"t{k}", c, i, (np.sin(2 * np.pi * (10 if y else 20) * t) * (2 + i) + 0.1 * rng.normal(size=len(t))).tolist()))
+        labels.append((f"t{k}", y))
+    recordings = spark.createDataFrame(rows, "trial_id string, channel string, ch_idx int, samples array<double>")
+    settings = config.Config().changed(data={"segment_length": 2.0}, features={"include_spectral": True}, experiment={"calibration": "isotonic"})
+    result = experiment.run(recordings, spark.createDataFrame(labels, "trial_id string, y int"), 64.0, settings, 2)
+    assert result.rules.filter("feature = 'entropy_C3'").count() == 1
+    path = str(tmp_path / "run1")
+    runs.save(result, settings, path, ["closed", "open"])
+    assert all((tmp_path / "run1" / p).is_dir() for p in ("logs", "plots", "models")) and config.Config.load(f"{path}/config.yaml") == settings
+    back = runs.load(spark, path)
+    assert back.args["labels"] == ["closed", "open"] and back.vocabulary.count() == result.vocabulary.count() and back.rules.count() == result.rules.count()
+    test = spark.read.schema("tokens array<string>, label string").json(f"{path}/test_data.json")
+    predictions, report = runs.evaluate(back, test.union(spark.createDataFrame([(["a"], "other")], test.schema)), "temperature")
+    assert predictions.count() == test.count() and report.first().accuracy > 0.8 and report.first().run_id.startswith("eval_2")
+    assert runs.latest(spark, str(tmp_path)).endswith("run1")
+    again = runs.execute(spark, settings, str(tmp_path / "eval"), "eval", model_path=path)
+    assert again.first().accuracy > 0.8
+    assert runs.execute(spark, settings, str(tmp_path / "dry"), dry_run=True) is None and (tmp_path / "dry" / "config.yaml").exists()
+    for bad in ({"mode": "other"}, {"mode": "eval"}):
+        with pytest.raises(ValueError):
+            runs.execute(spark, settings, str(tmp_path / "x"), **bad)
+    spark.createDataFrame([("gpt9", 1, 2, ["a"], 3, "quantile")], runs.ARGS).coalesce(1).write.mode("overwrite").json(f"{path}/args.json")
+    with pytest.raises(ValueError, match="model type"):
+        runs.load(spark, path)
+    assert "bins: 3" in runs.described(settings)
+
+
+def test_tokenizer_artifact(spark, tmp_path):
+    rules = binning.fit(long(spark, [1, 2, 3, 4]).union(long(spark, [5, 5], "flat")))
+    vocab = tokens.vocabulary(spark.createDataFrame([("a",), ("b",)], "token string"))
+    artifacts.save_tokenizer(rules, vocab, {"n_bins": 3, "strategy": "quantile"}, str(tmp_path / "t"))
+    got_rules, got_vocab, settings = artifacts.load_tokenizer(spark, str(tmp_path / "t"))
+    assert {r.feature: r.edges for r in got_rules.collect()} == {r.feature: r.edges for r in rules.collect()}
+    assert sorted(map(tuple, got_vocab.collect())) == sorted(map(tuple, vocab.collect())) and settings == {"n_bins": "3", "strategy": "quantile"}
+
+
+def test_subjects_keep_the_file_order(spark, tmp_path):
+    (tmp_path / "participants.tsv").write_text("participant_id\tage\nsub-9\t3\nsub-1\t4\nsub-5\t5\n")
+    people = bids.participants(spark, str(tmp_path))
+    assert [r.subject_id for r in bids.first_subjects(people, 2).collect()] == ["sub-9", "sub-1"]
+
+
+def test_special_tokens(spark):
+    m = spark.range(1).select(tokens.special_tokens().alias("m")).first().m
+    assert len(m) == 11 and m["PAD"] == "<PAD>" and m["3"] == "<FEET>"
 
 
 def test_five_bins_lose_their_prefix_in_structured_tokens(spark):
