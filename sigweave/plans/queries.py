@@ -687,8 +687,8 @@ def synthetic_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_LUCK = "('0x' || md5(concat(vec_id::VARCHAR, '-42-{}'))[1:8])::BIGINT / 4294967296.0::DOUBLE"
 
 
-@query(f"""WITH {SQL_TOKENS}, a AS (SELECT vec_id, string_split(toks, ' ') AS t, {SQL_LUCK.format("any")} AS luck, floor({SQL_LUCK.format("swap")} * (len(string_split(toks, ' ')) - 1))::INT AS at FROM tok),
-sw AS (SELECT vec_id, luck, t, i.i AS i, CASE WHEN len(t) > 4 AND i.i = at THEN t[at + 2] WHEN len(t) > 4 AND i.i = at + 1 THEN t[at + 1] ELSE t[i.i + 1] END AS w FROM a, range(20) i(i)),
+@query(f"""WITH {SQL_TOKENS}, a AS (SELECT vec_id, string_split(toks, ' ') AS t, {SQL_LUCK.format("any")} AS luck, floor({SQL_LUCK.format("swap")} * (len(string_split(toks, ' ')) - 1))::INT AS place FROM tok),
+sw AS (SELECT vec_id, luck, t, i.i AS i, CASE WHEN len(t) > 4 AND i.i = place THEN t[place + 2] WHEN len(t) > 4 AND i.i = place + 1 THEN t[place + 1] ELSE t[i.i + 1] END AS w FROM a, range(20) i(i)),
 so AS (SELECT vec_id, luck, t, i, CASE WHEN ('0x' || md5(concat(vec_id::VARCHAR, '-42-soft-', i::VARCHAR))[1:8])::BIGINT / 4294967296.0::DOUBLE >= 0.1 THEN w WHEN contains(w, '_HIGH') THEN replace(w, '_HIGH', '_MEDIUM') WHEN contains(w, '_LOW') THEN replace(w, '_LOW', '_MEDIUM') ELSE w END AS w FROM sw)
 SELECT vec_id, CASE WHEN any_value(luck) <= 0.5 THEN string_agg(w, ' ' ORDER BY i) ELSE array_to_string(any_value(t), ' ') END AS tokens FROM so GROUP BY vec_id""")
 def augmented_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
