@@ -216,10 +216,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "good", "words", "stats", "source", "lang", "n_chars"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches)
-        model = None
-        if len(rows):
-            rows = rows.sort_by([("doc_id", "ascending"), ("n_chars", "ascending")]).combine_chunks()
+        parts, model = [b for b in batches if b.num_rows], None
+        if parts:
+            rows = pa.Table.from_batches(parts).sort_by([("doc_id", "ascending"), ("n_chars", "ascending")]).combine_chunks()
             words = [w.values.to_numpy().view(np.uint64) for w in rows["words"]]
             model = co_trained(rows["good"].to_numpy(), words, np.array(rows["stats"].to_pylist()), meta_values(*(rows[k].to_pylist() for k in ("source", "lang", "n_chars"))))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
