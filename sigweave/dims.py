@@ -63,6 +63,7 @@ MOTOR_LABELS = [
         "Central motor cortex patterns indicate tongue motor imagery task.",
     )),
 ]
+# Names and sentences of the training examples.
 TASKS = ["memory", "mathematic", "music", "eyesopen", "eyesclosed"]
 INSTRUCTIONS = [
     "Analyze the following EEG motor imagery data and classify the intended movement:",
@@ -87,6 +88,21 @@ OBSERVATIONS = [
     (("c3", "left"), "- Left motor cortex activation present"),
     (("c4", "right"), "- Right motor cortex activation present"),
 ]
+REASONS = {
+    "beta_hands": "beta band suppression in motor cortex indicates hand movement preparation",
+    "beta": "beta band activity suggests motor planning",
+    "alpha": "alpha rhythm modulation shows attention to motor task",
+    "left": "left hemisphere motor cortex activation for right hand control",
+    "right": "right hemisphere motor cortex activation for left hand control",
+}
+CONTRASTS = {
+    "left_right": "hemispheric lateralization (left vs right motor cortex)",
+    "right_left": "hemispheric lateralization (right vs left motor cortex)",
+    "none": "distinct spatial and spectral patterns",
+}
+STEPS = ("Step 1: Analyze EEG features", "\nStep 2: Interpret spatial patterns", "\nStep 3: Classification")
+ASK = "Please classify this EEG motor imagery pattern: "
+ANSWER = "Based on the EEG patterns, this represents "
 
 
 def levels(n_bins: int) -> list[str]:

@@ -61,9 +61,9 @@ def explanation(tokens: Column, label: Column) -> Column:
     """A sentence from what the tokens hold; only its first letter is a capital."""
     text = F.lower(joined(tokens))
     parts = [
-        F.when(has(text, "beta"), F.when(label.isin(1, 2), "beta band suppression in motor cortex indicates hand movement preparation").otherwise("beta band activity suggests motor planning")),
-        F.when(has(text, "alpha"), "alpha rhythm modulation shows attention to motor task"),
-        F.when(has(text, "left") & (label == 2), "left hemisphere motor cortex activation for right hand control").when(has(text, "right") & (label == 1), "right hemisphere motor cortex activation for left hand control"),
+        F.when(has(text, "beta"), F.when(label.isin(1, 2), dims.REASONS["beta_hands"]).otherwise(dims.REASONS["beta"])),
+        F.when(has(text, "alpha"), dims.REASONS["alpha"]),
+        F.when(has(text, "left") & (label == 2), dims.REASONS["left"]).when(has(text, "right") & (label == 1), dims.REASONS["right"]),
     ]
     said = F.concat_ws(". ", *parts)
     said = F.when(said == "", F.concat(F.lit("EEG patterns consistent with "), task_name(label), F.lit(" motor imagery"))).otherwise(said)
@@ -73,10 +73,10 @@ def explanation(tokens: Column, label: Column) -> Column:
 def messages(tokens: Column, label: Column | None = None) -> Column:
     """Turns of a conversation: system, user, and the assistant's if there is a label."""
     turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    ask = [turn("system", F.lit(dims.SYSTEM)), turn("user", F.concat(F.lit("Please classify this EEG motor imagery pattern: "), joined(tokens)))]
+    ask = [turn("system", F.lit(dims.SYSTEM)), turn("user", F.concat(F.lit(dims.ASK), joined(tokens)))]
     if label is None:
         return F.array(*ask)
-    answer = F.concat(F.lit("Based on the EEG patterns, this represents "), task_name(label), F.lit(". "), explanation(tokens, label))
+    answer = F.concat(F.lit(dims.ANSWER), task_name(label), F.lit(". "), explanation(tokens, label))
     return F.when(label.isNull(), F.array(*ask)).otherwise(F.array(*ask, turn("assistant", answer)))
 
 
@@ -141,7 +141,7 @@ def chain_of_thought(df: DataFrame) -> DataFrame:
     spatial = F.lit(None).cast("string")
     for x in dims.MOTOR_LABELS:
         spatial = F.when(label == x.id, x.spatial).otherwise(spatial)
-    steps = F.concat_ws("\n", F.lit("Step 1: Analyze EEG features"), *(F.when(has(text, *words), said) for words, said in dims.OBSERVATIONS), F.lit("\nStep 2: Interpret spatial patterns"), spatial, F.lit("\nStep 3: Classification"), F.concat(F.lit("- Pattern consistent with "), short, F.lit(" motor imagery")))
+    steps = F.concat_ws("\n", F.lit(dims.STEPS[0]), *(F.when(has(text, *words), said) for words, said in dims.OBSERVATIONS), F.lit(dims.STEPS[1]), spatial, F.lit(dims.STEPS[2]), F.concat(F.lit("- Pattern consistent with "), short, F.lit(" motor imagery")))
     return df.withColumn("reasoning", steps).withColumn("conclusion", F.concat(F.lit("Therefore, this represents "), short, F.lit(" motor imagery.")))
 
 
@@ -149,11 +149,11 @@ def differences(a: Column, b: Column, label_a: Column, label_b: Column) -> Colum
     """What tells two token sequences apart: sides of two hand tasks, then bands of only one of them (in order of name)."""
     one, two = F.lower(joined(a)), F.lower(joined(b))
     hands = label_a.isin(1, 2) & label_b.isin(1, 2)
-    sides = F.when(hands & has(one, "left") & has(two, "right"), "hemispheric lateralization (left vs right motor cortex)").when(hands & has(one, "right") & has(two, "left"), "hemispheric lateralization (right vs left motor cortex)")
+    sides = F.when(hands & has(one, "left") & has(two, "right"), dims.CONTRASTS["left_right"]).when(hands & has(one, "right") & has(two, "left"), dims.CONTRASTS["right_left"])
     bands = lambda t: F.filter(F.array(*map(F.lit, ("alpha", "beta", "gamma", "theta"))), lambda x: F.contains(t, x))
     only = lambda x, y, which: F.when(F.size(F.array_except(bands(x), bands(y))) > 0, F.concat(F.lit("unique "), F.array_join(F.array_sort(F.array_except(bands(x), bands(y))), ", "), F.lit(f" activity in {which} task")))
     said = F.concat_ws(", ", sides, only(one, two, "first"), only(two, one, "second"))
-    return F.when(said == "", "distinct spatial and spectral patterns").otherwise(said)
+    return F.when(said == "", dims.CONTRASTS["none"]).otherwise(said)
 
 
 def contrastive(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
