@@ -161,6 +161,18 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST
     return own.join(known, ["id", "id2"]).filter(place != F.col("first")).select("doc_id", "pos")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores behind it as make it new."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def count_names(columns: list[str]) -> tuple[str, str]:
+    """What `dedup_lines` calls its counts beside these columns: n_lines and n_removed, or names near them if they are taken."""
+    return free_name("n_lines", columns), free_name("n_removed", columns)
+
+
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The documents without repeated lines, and n_lines, n_removed.
 
@@ -168,16 +180,16 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least_chars: int = LEAST_CH
     the lines of `repeated_lines`, the rest is joined by line ends again. A null text
     stays null and has no line; an empty one has one. Rows that repeat a doc_id count
     as one document, so one doesn't take the other's lines; a row without doc_id stays
-    as it is and takes no other's lines. Columns n_lines or n_removed that `docs` has
-    already would clash: they are an error.
+    as it is and takes no other's lines. A column n_lines or n_removed that `docs` has
+    already stays; the count then has the name that `count_names` gives.
     """
-    if taken := {"n_lines", "n_removed"} & set(docs.columns):
-        raise ValueError(f"rename these columns first: {sorted(taken)}")
+    names = count_names(docs.columns)
+    own_id, gone = free_name("__id", docs.columns), free_name("__removed", docs.columns)
     removed = repeated_lines(docs, edits, least_chars).groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
-    removed = removed.select(F.col("doc_id").alias("__id"), F.col("pos").alias("__removed"))
-    out = docs.join(removed, docs["doc_id"].cast("long") == removed["__id"], "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), F.col("__removed"))
+    removed = removed.select(F.col("doc_id").alias(own_id), F.col("pos").alias(gone))
+    out = docs.join(removed, docs["doc_id"].cast("long") == removed[own_id], "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), F.col(gone))
     kept = let(F.split("text", "\n"), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))), "n_removed": F.coalesce(F.size("__removed"), F.lit(0))}
-    text = F.when(F.col("__removed").isNotNull(), kept).otherwise(F.col("text")).alias("text")
+    counts = {names[0]: F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))), names[1]: F.coalesce(F.size(gone), F.lit(0))}
+    text = F.when(F.col(gone).isNotNull(), kept).otherwise(F.col("text")).alias("text")
     return out.select(*(text if c == "text" else docs[c] for c in docs.columns), *(v.alias(k) for k, v in counts.items()))

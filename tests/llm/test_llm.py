@@ -35,15 +35,16 @@ def docs(spark, sf_dir):
 def test_hashed_words_do_not_depend_on_chunks():
     texts = ["", None, "A b\tc\n é🙂", " lead", "x" * 50, "one two " * 40, "tail "]
     whole = {}
-    for chunk in (1 << 21, 16):
+    usual = words.CHUNK
+    for chunk in (usual, 16):
         words.CHUNK = chunk
         found = []
         for _, h, at in words.hashed_words(pa.array(texts)):
             found += [tuple(h[at[k] : at[k + 1]]) for k in range(len(at) - 1)]
         assert [len(f) for f in found] == [len(plain_words(t)) for t in texts]
         whole[chunk] = found
-    words.CHUNK = 1 << 21
-    assert whole[16] == whole[1 << 21]
+    words.CHUNK = usual
+    assert whole[16] == whole[usual]
 
 
 def test_components(spark):
@@ -156,8 +157,9 @@ def test_line_dedup(spark):
         want = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone)
         assert out[i].text == want and out[i].n_removed == sum(g[0] == i for g in gone)
     assert out[0].key == "k" and gone and (0, 7) in gone
-    with pytest.raises(ValueError, match="n_lines"):
-        line_dedup.dedup_lines(frame.withColumn("n_lines", F.lit(1)))
+    clash = line_dedup.dedup_lines(frame.withColumns({"N_lines": F.lit(-1), "n_removed": F.lit(-2), "__removed": F.lit(-3)}).limit(3))
+    assert clash.columns[-5:] == ["N_lines", "n_removed", "__removed", "n_lines_", "n_removed_"]
+    assert all((r["N_lines"], r["n_removed"], r["__removed"]) == (-1, -2, -3) and r["n_lines_"] == 8 for r in clash.collect())
     again = line_dedup.dedup_lines(docs_of(spark, [(None, "a b"), (None, "a b"), (1, "c d"), (1, "c d"), (2, "c d")])).collect()
     assert sorted((str(r.doc_id), r.text) for r in again) == [("1", "c d"), ("1", "c d"), ("2", ""), ("None", "a b"), ("None", "a b")]
     assert line_dedup.dedup_lines(frame.limit(0)).count() == 0
@@ -376,6 +378,7 @@ def test_bpe_equals_the_library(spark):
     assert own.decode(cut) == library.decode(cut.tolist(), skip_special_tokens=False)
     frame = docs_of(spark, [(1, texts[0]), (2, None), (None, "x"), (1, texts[0])])
     out = bpe.encoded(frame, path)
+    assert bpe.encoded(frame.limit(0), path, decode=True).count() == 0
     assert sorted((r.doc_id or 0, r.decoded) for r in bpe.decoded(out, path).collect()) == sorted([(1, texts[0]), (2, ""), (0, "x"), (1, texts[0])])
 
 
@@ -442,6 +445,10 @@ def test_quality_counts_and_rules(spark):
         inside = {j for k in range(len(w) - 2) if windows[tuple(w[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
         lines = [x for x in (t or "").split("\n") if plain_words(x)]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(inside))
+    again = spark.createDataFrame([(1, "a b", 5, True), (1, "a b", 5, True), (None, "c", 5, True)], "doc_id int, text string, n_words int, kept boolean")
+    none = spark.createDataFrame([], "doc_id int, quality int")
+    assert sorted((str(r.doc_id), r.n_words, r.kept) for r in quality_rules.judged(again, none).collect()) == [("1", 2, False), ("1", 2, False), ("None", 1, False)]
+    assert quality_rules.judged(again.limit(0), none).count() == 0
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = quality_rules.judged(docs, labels).join(labels, "doc_id").filter("not base_failed")
     assert out.filter("kept = (quality = 1)").count() >= 0.95 * out.count()
@@ -799,10 +806,12 @@ def test_pipeline_stages_with_odd_rows(spark, sf_dir, docs):
     import corpus_pipeline
 
     odd = spark.createDataFrame([(-1, None, None, None, None), (-2, "", "en", "src0", 0), (None, "some words of a text without an id here", "en", "src0", 39), (-3, "a b c " * 30_000 + "\n" + "z" * 50_000, "en", "src1", 1), (-4, "one\ntwo three\none", "en", None, 9), (-4, "one\ntwo three\none", "en", None, 9)], docs.schema)
-    for frame in (docs.limit(30).union(odd), docs.limit(0)):
+    clash = {c: F.lit(-5) for c in ("n_lines", "n_removed", "good", "key", "id", "comp", "rep", "kept", "score", "item_id", "words", "n_tokens", "ids")}
+    for frame in (docs.limit(30).union(odd), docs.limit(0), docs.limit(20).union(odd).withColumns(clash)):
         for name, stage in corpus_pipeline.STAGES:
             after = stage(spark, frame, sf_dir)
             if name == "tokens":
                 assert after.filter("n_tokens is null or ids is null").count() == 0 and after.count() <= frame.count()
             else:
-                assert after.columns == docs.columns and after.count() <= frame.count()
+                assert after.columns == frame.columns and after.count() <= frame.count()
+                assert "good" not in frame.columns or after.filter("n_removed != -5 or id != -5").count() == 0
