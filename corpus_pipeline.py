@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sigweave.llm.bpe import encoded
 from sigweave.llm.decontaminate import drop_leaks
-from sigweave.llm.line_dedup import dedup_lines
+from sigweave.llm.line_dedup import count_names, dedup_lines
 from sigweave.llm.near_dup import drop_near_duplicates
 from sigweave.llm.quality_model import drop_rejected
 from sigweave.llm.shared import stored
@@ -29,8 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents that had no word before stay, as do null texts and rows without doc_id;
     rows that repeat a doc_id lose the same lines.
     """
-    left = dedup_lines(docs).filter(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
-    changed = F.col("n_removed") > 0
+    changed = F.col(count_names(docs.columns)[1]) > 0
+    left = dedup_lines(docs).filter(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
