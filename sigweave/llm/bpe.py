@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import codecs
+import gc
 import json
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from sigweave.llm.shared import bounded_batches
 #: Fixed: the pattern by which byte-level BPE files of this kind split a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces, states and token pairs that a worker keeps; beyond, it starts anew.
-KEPT_PIECES, KEPT_STATES, KEPT_PAIRS = 200_000, 200_000, 200_000
+KEPT_PIECES, KEPT_STATES, KEPT_PAIRS = 100_000, 160_000, 100_000
 #: Characters and ids that are in work at a time.
 WORK = 1 << 16
 
@@ -272,6 +273,19 @@ class Bpe:
         return "".join(self.decode_stream(iter((ids,))))
 
 
+    def forget(self) -> None:
+        """Drops what was kept of the texts met; the vocabulary stays."""
+        machine = self.pieces.transducer
+        self.pieces.clear()
+        self.pieces.older.clear()
+        machine.pairs.clear()
+        for state in machine.states.values():
+            state.clear()
+        machine.states.clear()
+        machine.root = State(machine.root.places, machine)
+        gc.collect()  # states refer to each other
+
+
 _loaded: dict[str, Bpe] = {}
 
 
@@ -292,19 +306,25 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", decode: bool = Fals
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            found, said = [], []
-            for text in batch.column(1).to_pylist():
-                parts: list[bytes] = []
-                if decode:  # each part is decoded as it comes
-                    said.append("".join(bpe.decode_stream(np.frombuffer(parts[-1], "<u4") for x in bpe.encode_stream(text or "") if not parts.append(x))))
-                else:
-                    parts += bpe.encode_stream(text or "")
-                found.append(b"".join(parts))
-            columns = {key: batch.column(0), "n_tokens": pa.array([len(x) // 4 for x in found], pa.int64()), "ids": pa.array(found, pa.binary())}
-            if decode:
-                columns["decoded"] = pa.array(said, pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
+        try:
+            for batch in batches:
+                yield encoded_batch(bpe, batch)
+        finally:
+            bpe.forget()  # the worker may next serve a stage that needs its memory
+
+    def encoded_batch(bpe: Bpe, batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, said = [], []
+        for text in batch.column(1).to_pylist():
+            parts: list[bytes] = []
+            if decode:  # each part is decoded as it comes
+                said.append("".join(bpe.decode_stream(np.frombuffer(parts[-1], "<u4") for x in bpe.encode_stream(text or "") if not parts.append(x))))
+            else:
+                parts += bpe.encode_stream(text or "")
+            found.append(b"".join(parts))
+        columns = {key: batch.column(0), "n_tokens": pa.array([len(x) // 4 for x in found], pa.int64()), "ids": pa.array(found, pa.binary())}
+        if decode:
+            columns["decoded"] = pa.array(said, pa.string())
+        return pa.RecordBatch.from_pydict(columns)
 
     return docs.select(F.col(key).cast("long").alias(key), "text").mapInArrow(made, f"{key} long, n_tokens long, ids binary" + ", decoded string" * decode)
 

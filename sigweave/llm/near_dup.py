@@ -37,7 +37,7 @@ class Circle:
     """The two permutations; `signature` takes the distinct shingle hashes of a document."""
 
     def __init__(self, seed: int = 1) -> None:
-        second = np.random.Generator(np.random.PCG64(seed)).permutation(1 << CELLS_LOG2).astype(np.int32)
+        second = np.random.Generator(np.random.PCG64(seed)).permutation(np.arange(1 << CELLS_LOG2, dtype=np.int32))
         n = BANDS * ROWS
         self.shifted = sliding_window_view(np.concatenate([second, second[:n]]), n)
 

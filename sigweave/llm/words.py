@@ -16,7 +16,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes hashed at a time; longer texts are cut at white space.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
