@@ -26,6 +26,8 @@ LABELLED = 4000
 STEPS, ADDED, FLOOR = 4, 0.01, 1e-8
 #: Symbols after which sums are scaled, for each word and language; longer words are cut into such parts in training alone.
 PART = 16
+#: Parts of words of a language that are counted at a time.
+COUNTED = 20_000
 #: Words whose scores a worker keeps; beyond, it starts anew.
 KEPT_WORDS = 300_000
 UNDECIDED = "und"
@@ -133,7 +135,7 @@ class Lattice:
 
     def expected(self, words: list[list[int]], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected number of each piece in the words (of PART symbols at most) under one language's probabilities."""
-        total = np.zeros(self.n_pieces)
+        pieces, weights = [np.empty(0, np.int32)], [np.empty(0)]
         for places, code in self.groups(words):
             m, n = code.shape
             alpha, beta = np.zeros((n + 1, m)), np.zeros((n + 1, m))
@@ -146,8 +148,9 @@ class Lattice:
             for start in range(n - 1, -1, -1):
                 for size, row, piece in found[start]:
                     beta[start, row] += beta[start + size, row] * p[piece]
-                    total += np.bincount(piece, alpha[start, row] * p[piece] * beta[start + size, row] * share[row], self.n_pieces)
-        return total
+                    pieces.append(piece)
+                    weights.append(alpha[start, row] * p[piece] * beta[start + size, row] * share[row])
+        return np.bincount(np.concatenate(pieces), np.concatenate(weights), self.n_pieces)
 
 
 @dataclass
@@ -186,20 +189,31 @@ def train(docs: DataFrame, path: str) -> Languages | None:
     lattice = Lattice.of(vocabulary(path))
     p = np.full((lattice.n_pieces, len(names)), 1.0 / lattice.n_pieces)
     p[0] = 0
+    index = {name: k for k, name in enumerate(names)}
     for _ in range(STEPS):
         begun = docs.sparkSession.sparkContext.broadcast((lattice, p))
 
         def of(batches: Iterator[pa.RecordBatch], begun=begun) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             lattice, p = begun.value
             total = np.zeros_like(p)
+            parts: list[tuple[list, list]] = [([], []) for _ in names]
+
+            def count(k: int) -> None:
+                codes, n = parts[k]
+                total[:, k] += lattice.expected(codes, np.array(n, float), p[:, k])
+                codes.clear()
+                n.clear()
+
             for batch in batches:
-                langs, n = np.array(batch.column(0).to_pylist()), batch.column(2).to_numpy().astype(float)
-                codes = [lattice.codes(w) for w in batch.column(1).to_pylist()]
-                for k, name in enumerate(names):
-                    own = np.flatnonzero(langs == name)
-                    parts = [(codes[i][at : at + PART], n[i]) for i in own for at in range(0, len(codes[i]), PART)]
-                    if parts:
-                        total[:, k] += lattice.expected([c for c, _ in parts], np.array([x for _, x in parts]), p[:, k])
+                for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    k, code = index[lang], lattice.codes(word)
+                    for at in range(0, len(code), PART):
+                        parts[k][0].append(code[at : at + PART])
+                        parts[k][1].append(n)
+                    if len(parts[k][0]) >= COUNTED:
+                        count(k)
+            for k in range(len(names)):
+                count(k)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total.ravel()[some])], ["cell", "n"])
 
