@@ -97,6 +97,34 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigweave.llm.merkle import verified
+
+    return verified(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sigweave.llm.whitening import fit, identity_error, whitened
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    model = fit(rows)
+    return whitened(rows, model, error=identity_error(rows, model) if model else None)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sigweave.llm.secrets import KINDS, as_text, found
+
+    out = found(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+    def count(i: int):  # noqa: ANN202
+        return F.size(F.filter("base", lambda x: x["kind"] == i)).cast("long")
+
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
+    return out.select("doc_id", *counts, F.size("added").cast("long").alias("n_added"), F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.concat("base", "added")).alias("spans"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -119,6 +147,23 @@ both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id AS id, doc_id AS reach FROM documents UNION SELECT r.id, b FROM r JOIN both_ways ON reach = a),
 m AS (SELECT id, min(reach) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op11_merkle_manifest": r"""WITH RECURSIVE f AS (SELECT doc_id, source, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+  || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS said, list_transform(range(0, 8 * length(doc_id::VARCHAR)), lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::BIGINT, 1)) ELSE 0 END) AS bits FROM documents),
+leaves AS (SELECT doc_id, source, sha256(said || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(said || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS low,
+  coalesce(xor(list_reduce(bits, lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295), 4294967295) % 5 = 0, false) AS marked FROM f),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM leaves),
+up AS (SELECT 0 AS lvl, s, r AS p, leaf AS h, count(*) OVER (PARTITION BY s) AS n FROM placed
+  UNION ALL SELECT lvl, s, p, h, count(*) OVER (PARTITION BY s) FROM (SELECT lvl + 1 AS lvl, s, p // 16 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h FROM up WHERE n > 1 GROUP BY 1, 2, 3)),
+tops AS (SELECT s, h, lvl FROM up WHERE n = 1),
+over AS (SELECT 0 AS lvl, s - 1 AS p, h, count(*) OVER () AS n FROM tops
+  UNION ALL SELECT lvl, p, h, count(*) OVER () FROM (SELECT lvl + 1 AS lvl, p // 16 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h FROM over WHERE n > 1 GROUP BY 1, 2)),
+runs AS (SELECT s, lvl, p // 16 AS q, string_agg(h, '' ORDER BY p) AS hs FROM (SELECT s, lvl, p, h, n FROM up UNION ALL SELECT 0, lvl, p, h, n FROM over) WHERE n > 1 GROUP BY 1, 2, 3),
+walk AS (SELECT s, r, 0 AS lvl, r AS p, CASE WHEN marked THEN low ELSE leaf END AS h, '' AS proof FROM placed
+  UNION ALL SELECT w.s, r, w.lvl + 1, p // 16, sha256(hs[:64 * (p % 16)] || h || hs[64 * (p % 16) + 65:]), proof || hs[:64 * (p % 16)] || hs[64 * (p % 16) + 65:] FROM walk w JOIN runs ON runs.s = w.s AND runs.lvl = w.lvl AND q = p // 16),
+climb AS (SELECT s, r, 0 AS lvl, s - 1 AS p, w.h, proof FROM walk w JOIN tops USING (s, lvl)
+  UNION ALL SELECT w.s, r, w.lvl + 1, p // 16, sha256(hs[:64 * (p % 16)] || h || hs[64 * (p % 16) + 65:]), proof || hs[:64 * (p % 16)] || hs[64 * (p % 16) + 65:] FROM climb w JOIN runs ON runs.s = 0 AND runs.lvl = w.lvl AND q = p // 16),
+root AS (SELECT lvl, h AS root FROM over WHERE n = 1)
+SELECT doc_id, leaf, tops.h AS subroot, root, sha256(proof) AS proof_sha256, c.h AS folded_root, c.h = root AS verified FROM placed JOIN tops USING (s) JOIN climb c USING (s, r) JOIN root ON root.lvl = c.lvl""",
 }
 
 
