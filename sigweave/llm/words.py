@@ -1,11 +1,13 @@
 """Words of texts as 64-bit hashes, for a whole Arrow batch at a time.
 
-A word is `[^\\x20\\x09-\\x0D]+`. The hash of a word is a polynomial of its bytes
-modulo 2**64, taken from prefix sums, so no Python loop runs over words.
+A word is `[^\\x20\\x09-\\x0D]+`. Words take in eight bytes a step, all at once, and mix
+all bits after each; the few very long ones are hashed apart by BLAKE2b. So a word's
+hash doesn't hang on sums over its letters, which words of a regular make-up may share.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,19 +19,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes hashed at a time; longer texts are cut at white space.
 CHUNK = 1 << 19
-BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, at least n + 1 of them."""
-    if len(_powers.get("up", ())) <= n:
-        size = max(n + 1, CHUNK + 1)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+#: What a step multiplies with and adds: odd, without a pattern.
+STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed one by one.
+LONG = 256
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -41,7 +34,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def _hashes(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of `data`, and their starts; a word ends at white space and at each border."""
-    up, down = _tables(len(data))
     inside = ~SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -51,10 +43,25 @@ def _hashes(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last[:-1] &= ~inside[1:]
     last[cuts - 1] = inside[cuts - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mixed(h + (ends - starts).astype(np.uint64)), starts
+    sizes = ends - starts
+    # the eight bytes from any place on, as a number
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = mixed(sizes.astype(np.uint64) * STEP)
+    now = np.flatnonzero(sizes <= LONG)
+    at = 0
+    while len(now):
+        left = sizes[now] - at
+        block = eight[starts[now] + at]
+        short = left < 8
+        block[short] &= (np.uint64(1) << (np.uint64(8) * left[short].astype(np.uint64))) - np.uint64(1)
+        h[now] = mixed((h[now] ^ block) * STEP + STEP)
+        at += 8
+        now = now[left > 8]
+    for i in np.flatnonzero(sizes > LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h, starts
 
 
 def hashed_words(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
