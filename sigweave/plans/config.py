@@ -156,6 +156,6 @@ def presets() -> dict[str, Config]:
         "llm_long": named("llm_long_sequences", "longer sequences", model={"max_length": 1024}, features={"max_vocab_size": 15_000}),
         "llm_fine": named("llm_fine_binning", "finer discretization", features={"n_bins": 5}),
         "cnn_baseline": named("cnn_baseline", "convolutional baseline", model={"model_type": "cnn"}),
-        "svm_baseline": named("svm_baseline", "linear baseline", model={"model_type": "svm"}),
+        "svm_baseline": named("svm_baseline", "kernel baseline", model={"model_type": "svm"}),
         "quick_test": named("quick_test", "small and quick", data={"n_subjects": 3, "tasks": ("memory", "mathematic")}, model={"epochs": 2}),
     }

@@ -1,21 +1,16 @@
-"""An experiment over recordings: windows, features, bins, tokens, splits, a linear classifier, calibration and a report."""
+"""An experiment over recordings: windows, features, bins, tokens, splits, a classifier, calibration and a report."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigweave.operators import binning, calibration, metrics, sampling, segment, spectral, tokens
+from sigweave.plans import classifiers
 from sigweave.plans.config import Config
 
-#: Cells that the linear classifier hashes tokens to.
-CELLS = 1 << 14
-
 
 def window_features(recordings: DataFrame, fs: float, config: Config) -> DataFrame:
     """window_id, feature, f_idx, value of rows (trial_id, channel, ch_idx, samples): log band powers of full windows, and spectral features if the config says so."""
@@ -28,14 +23,9 @@ def window_features(recordings: DataFrame, fs: float, config: Config) -> DataFra
     return found.select("window_id", "feature", "f_idx", value.alias("value"))
 
 
-def hashed(lists: DataFrame) -> DataFrame:
-    return HashingTF(numFeatures=CELLS, inputCol="tokens", outputCol="features").transform(lists)
-
-
-def predicted(model: LogisticRegressionModel, lists: DataFrame, keep: list[str]) -> DataFrame:
+def predicted(model: classifiers.Classifier, lists: DataFrame, keep: list[str | Column]) -> DataFrame:
     """keep..., logits, probs of rows with tokens."""
-    out = model.transform(hashed(lists)).select(*keep, vector_to_array("rawPrediction").alias("logits"))
-    return out.withColumn("probs", calibration.softmax(F.col("logits")))
+    return model.logits(lists).select(*keep, "logits").withColumn("probs", calibration.softmax(F.col("logits")))
 
 
 def measured(predictions: DataFrame, n_classes: int) -> DataFrame:
@@ -52,7 +42,7 @@ class Result:
     encoded: DataFrame
     predictions: DataFrame
     report: DataFrame
-    model: LogisticRegressionModel
+    model: classifiers.Classifier
     calibrator: calibration.Calibrator | None
     #: window_id, split, y, tokens.
     lists: DataFrame
@@ -70,8 +60,7 @@ def run(recordings: DataFrame, labels: DataFrame, fs: float, config: Config, n_c
     vocab = tokens.vocabulary(rows.filter("split = 'train'").select("token") if config.features.fit_on == "train" else rows.select("token"), config.features.min_frequency, config.features.max_vocab_size)
     encoded = tokens.encode(rows.select("window_id", "f_idx", "token"), vocab, "window_id", "f_idx", config.model.max_length)
     lists = rows.groupBy("window_id").agg(tokens.ordered("token", "f_idx").alias("tokens")).join(parts, "window_id")
-    train = hashed(lists.filter("split = 'train'").withColumn("label", F.col("y").cast("double")))
-    model = LogisticRegression(family="multinomial", maxIter=50).fit(train)
+    model = classifiers.fit(lists.filter("split = 'train'"), vocab, config, n_classes)
     out = predicted(model, lists, ["window_id", "split", F.col("y").cast("int").alias("y")])
     calibrator = None
     if config.experiment.calibration != "none":

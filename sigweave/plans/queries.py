@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigweave import dims
-from sigweave.operators import binning, calibration, metrics, prompts, sampling, segment, spectral, tokens
+from sigweave.operators import binning, calibration, kernel, metrics, prompts, sampling, segment, spectral, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -863,3 +863,23 @@ def feature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in order; the channels are the nations of customers."""
     nations = [str(r[0]) for r in table(spark, sf_dir, "customer").select("c_nationkey").distinct().orderBy("c_nationkey").limit(100).collect()]  # there are 25
     return tokens.feature_names(spark, nations)
+
+
+# --- kernel features --------------------------------------------------------------------
+
+COSINES = 24
+
+
+@query(
+    f"""WITH g AS (SELECT 1 / (64 * var_pop(v)) AS gamma FROM (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings)),
+u AS (SELECT j, d, (('0x' || substr(md5('42:' || j || ':' || d || ':0'), 1, 8))::BIGINT + 0.5) / 4294967296 AS u0, (('0x' || substr(md5('42:' || j || ':' || d || ':1'), 1, 8))::BIGINT + 0.5) / 4294967296 AS u1
+  FROM range({COSINES}) a(j), range(64) b(d)),
+w AS (SELECT j, list(sqrt(-2 * ln(u0)) * cos(2 * pi() * u1) * sqrt(2 * gamma) ORDER BY d) AS w, 2 * pi() * (('0x' || substr(md5('42:' || j || ':b'), 1, 8))::BIGINT + 0.5) / 4294967296 AS b FROM u, g GROUP BY j)
+SELECT vec_id, j, round(sqrt(2.0 / {COSINES}) * cos(list_dot_product(embedding::DOUBLE[], w) + b), 6) + 0.0 AS value FROM embeddings, w"""
+)
+def fourier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a kernel machine sees of each embedding: cosines of hashed projections, the kernel's width found from all entries."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    made = kernel.FourierMap(64, kernel.scale_gamma(rows, "x", 64), COSINES)
+    out = rows.select("vec_id", F.posexplode(made.features(F.col("x"))).alias("j", "value"))
+    return out.select("vec_id", F.col("j").cast("long").alias("j"), rounded("value").alias("value"))

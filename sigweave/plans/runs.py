@@ -12,18 +12,15 @@ import logging
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigweave.operators import calibration
-from sigweave.plans import experiment
+from sigweave.plans import classifiers, experiment
 from sigweave.plans.config import Config, presets
 from sigweave.sources import artifacts, bids
 
 MODES = ("train", "eval", "full")
-#: All kinds of model are stood in for by the linear classifier.
-MODEL_TYPES = ("llm", "cnn", "svm")
 ARGS = "model_type string, max_length int, n_classes int, labels array<string>, n_bins int, strategy string"
 log = logging.getLogger("sigweave")
 
@@ -60,7 +57,7 @@ def save(result: experiment.Result, config: Config, path: str, labels: list[str]
     spark.createDataFrame([args], ARGS).coalesce(1).write.mode("overwrite").json(f"{root}/args.json")
     artifacts.save_vocabulary(result.vocabulary, f"{root}/vocabulary.json")
     artifacts.save_rules(result.rules, f"{root}/binning_rules.json")
-    result.model.write().overwrite().save(f"{root}/models/model")
+    result.model.save(f"{root}/models")
     artifacts.save_report(result.report, f"{root}/report.json")
     artifacts.save_predictions(result.predictions, f"{root}/predictions.json")
     if result.calibrator:
@@ -74,15 +71,15 @@ class Run:
     args: dict
     vocabulary: DataFrame
     rules: DataFrame
-    model: LogisticRegressionModel
+    model: classifiers.Classifier
 
 
 def load(spark: SparkSession, path: str) -> Run:
     """Arguments, vocabulary, rules and model of a run; an unknown kind of model is an error."""
     args = spark.read.schema(ARGS).json(f"{path}/args.json").first().asDict()
-    if args["model_type"] not in MODEL_TYPES:
-        raise ValueError(f"unknown model type {args['model_type']!r}")
-    return Run(args, artifacts.load_vocabulary(spark, f"{path}/vocabulary.json"), artifacts.load_rules(spark, f"{path}/binning_rules.json"), LogisticRegressionModel.load(f"{path}/models/model"))
+    vocabulary = artifacts.load_vocabulary(spark, f"{path}/vocabulary.json")
+    model = classifiers.load(args["model_type"], f"{path}/models", vocabulary)
+    return Run(args, vocabulary, artifacts.load_rules(spark, f"{path}/binning_rules.json"), model)
 
 
 def evaluate(run: Run, test: DataFrame, method: str | None = None) -> tuple[DataFrame, DataFrame]:

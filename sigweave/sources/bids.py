@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigweave.sources import brainvision
+
 PARTICIPANTS = "participant_id string, age string, sex string, Height string, Weight string"
 SIDECAR = "EEGChannelCount int, SamplingFrequency double, RecordingDuration double"
 SESSIONS = ["session1", "session2", "session3"]
@@ -48,57 +46,19 @@ def grid(subjects: DataFrame, sessions: list[str], tasks: list[str]) -> DataFram
     return rows.withColumn("trial_id", F.concat(F.col("subject_id"), F.lit("_ses-"), F.col("session"), F.lit("_task-"), F.col("task")))
 
 
-def header(text: str) -> dict[str, dict[str, str]]:
-    """Sections of a BrainVision header or marker file."""
-    out: dict[str, dict[str, str]] = {}
-    section = ""
-    for line in text.splitlines():
-        line = line.strip()
-        if line.startswith("[") and line.endswith("]"):
-            section = line[1:-1]
-        elif "=" in line and not line.startswith(";"):
-            k, v = line.split("=", 1)
-            out.setdefault(section, {})[k.strip()] = v.strip()
-    return out
-
-
-RECORDING = "trial_id string, channel string, ch_idx int, fs double, samples array<double>, error string"
-
-
-def recordings(spark: SparkSession, root: str) -> DataFrame:
+def recordings(spark: SparkSession, root: str, part_bytes: int = brainvision.PART_BYTES) -> DataFrame:
     """One row for each channel of each recording: trial_id, channel, ch_idx, fs, samples in the header's unit; what can't be read has an error and no samples.
 
-    Header and data of a recording meet in a join on the path without its suffix, so
-    each task holds the recordings dealt to it one at a time.
+    For recordings that fit in a row; longer ones are read as `brainvision.pieces`, whose
+    tasks and rows are bounded. A recording of which a part can't be read has no samples.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{vhdr,eeg}").option("recursiveFileLookup", True).load(root)
-    stem = F.regexp_replace("path", r"\.(vhdr|eeg)$", "")
-    heads = files.filter(F.col("path").endswith(".vhdr")).select(stem.alias("stem"), F.col("content").alias("head"))
-    data = files.filter(F.col("path").endswith(".eeg")).select(stem.alias("stem"), F.col("content").alias("data"))
-
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for stem_, head, raw in batch.itertuples(index=False):
-                trial = stem_.rsplit("/", 1)[-1].removesuffix("_eeg")
-                try:
-                    if raw is None:
-                        raise FileNotFoundError("no data")
-                    said = header(bytes(head).decode("utf-8", "replace"))
-                    common = said["Common Infos"]
-                    n = int(common["NumberOfChannels"])
-                    kind = {"INT_16": "<i2", "INT_32": "<i4", "IEEE_FLOAT_32": "<f4"}[said.get("Binary Infos", {}).get("BinaryFormat", "INT_16")]
-                    values = np.frombuffer(bytes(raw), kind)
-                    values = values[: len(values) // n * n]
-                    table = values.reshape(-1, n).T if common.get("DataOrientation", "MULTIPLEXED") == "MULTIPLEXED" else values.reshape(n, -1)
-                    fs, rows = 1e6 / float(common["SamplingInterval"]), []
-                    for k in range(n):
-                        name, _, scale, *_ = [*said["Channel Infos"][f"Ch{k + 1}"].split(","), "", "", ""]
-                        rows.append((trial, name, k, fs, table[k].astype(float) * float(scale or 1), None))
-                except Exception as e:  # noqa: BLE001  a recording that can't be read is reported as data
-                    rows = [(trial, None, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=["trial_id", "channel", "ch_idx", "fs", "samples", "error"]).astype({"ch_idx": "Int32"})
-
-    return heads.join(data, "stem", "left").select("stem", "head", "data").mapInPandas(made, RECORDING)
+    rows = brainvision.pieces(spark, root, part_bytes)
+    bad = rows.filter("error is not null").groupBy("trial_id").agg(F.min("error").alias("error"))
+    parts = F.array_sort(F.collect_list(F.struct("start", "samples")))
+    good = rows.filter("error is null").groupBy("trial_id", "channel", "ch_idx", "fs").agg(F.flatten(F.transform(parts, lambda x: x["samples"])).alias("samples"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("channel", "string"), ("ch_idx", "int"), ("fs", "double"), ("samples", "array<double>"))]
+    whole = good.join(bad.select("trial_id"), "trial_id", "left_anti").withColumn("error", F.lit(None).cast("string"))
+    return whole.unionByName(bad.select("trial_id", *none, "error"))
 
 
 def markers(spark: SparkSession, root: str) -> DataFrame:
