@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +55,71 @@ def confidence(probs: Column) -> Column:
     return F.array_max(probs)
 
 
-def fit_isotonic(predictions: DataFrame):  # noqa: ANN201
-    """A monotone map from the largest probability to how often its class is right."""
-    rows = predictions.select(confidence(F.col("probs")).alias("x"), (argmax(F.col("probs")) == F.col("y")).cast("double").alias("label"))
-    return IsotonicRegression(featuresCol="x").fit(VectorAssembler(inputCols=["x"], outputCol="v").transform(rows).select(F.col("v").alias("x"), "label"))
+def hits(predictions: DataFrame) -> DataFrame:
+    """x, total, n: of each largest probability, how often its class was right, and how often it was given."""
+    rows = predictions.select(confidence(F.col("probs")).alias("x"), (argmax(F.col("probs")) == F.col("y")).cast("double").alias("hit"))
+    return rows.filter("x is not null and hit is not null").groupBy("x").agg(F.sum("hit").alias("total"), F.count("*").cast("double").alias("n"))
+
+
+Block = tuple[float, float, float, float]
+
+
+def pooled(blocks: Iterable[Block]) -> list[Block]:
+    """Neighbouring blocks (low, high, total, n) put together until their means ascend."""
+    out: list[Block] = []
+    for low, high, total, n in blocks:
+        while out and out[-1][2] * n >= total * out[-1][3]:
+            low, total, n = out[-1][0], out[-1][2] + total, out[-1][3] + n
+            out.pop()
+        out.append((low, high, total, n))
+    return out
+
+
+#: Ranges of blocks that one task puts together at a time.
+MERGED = 8
+BLOCKS = "low double, high double, total double, n double"
+
+
+def isotonic_blocks(points: DataFrame) -> DataFrame:
+    """low, high, total, n of the blocks of the monotone fit of (x, total, n): a step function of ascending means.
+
+    Each range of x pools its own points, and groups of neighbouring ranges pool what these
+    left, until one is left: pooling first within ranges changes nothing. A task sees what
+    remains of MERGED ranges, and the last one the fitted steps themselves.
+    """
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        found = pooled((x, x, total, n) for b in batches for x, total, n in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int32()), *(pa.array(c, pa.float64()) for c in zip(*found, strict=True))], ["part", "low", "high", "total", "n"])
+
+    def together(parts: pd.DataFrame) -> pd.DataFrame:
+        found = pooled(parts.sort_values("low")[["low", "high", "total", "n"]].itertuples(index=False, name=None))
+        return pd.DataFrame(found, columns=["low", "high", "total", "n"]).assign(part=int(parts["part"].iloc[0]) // MERGED)
+
+    points = points.select("x", "total", "n")
+    ranges = points.repartitionByRange("x").sortWithinPartitions("x").mapInArrow(own, f"part int, {BLOCKS}")
+    last = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1  # ranges are numbered below this
+    while last > 0:
+        ranges = ranges.groupBy(F.floor(F.col("part") / MERGED)).applyInPandas(together, f"{BLOCKS}, part int").select("part", "low", "high", "total", "n")
+        last //= MERGED
+    return ranges.select("low", "high", "total", "n")
+
+
+@dataclass(frozen=True)
+class Isotonic:
+    """The points of a monotone map."""
+
+    boundaries: DenseVector
+    predictions: DenseVector
+
+
+def fit_isotonic(predictions: DataFrame) -> Isotonic:
+    """A monotone map from the largest probability to how often its class is right; its steps are kept in the driver."""
+    found = sorted((b.low, b.high, b.total / b.n) for b in isotonic_blocks(hits(predictions)).collect())
+    points = [(x, value) for low, high, value in found for x in ([low, high] if high > low else [low])]
+    return Isotonic(DenseVector([x for x, _ in points]), DenseVector([v for _, v in points]))
 
 
 def isotonic_legacy(predictions: DataFrame, calibrated: Column) -> DataFrame:
@@ -149,7 +216,8 @@ class Calibrator:
             raise ValueError("the calibrator isn't fitted")
         if self.method == "temperature":
             return predictions.withColumn("probs", softmax(F.col("logits"), self.temperature))
-        return (isotonic_corrected if self.corrected else isotonic_legacy)(predictions, stepped(confidence(F.col("probs")), self.steps))
+        known = predictions.withColumn("__calibrated", stepped(confidence(F.col("probs")), self.steps))
+        return (isotonic_corrected if self.corrected else isotonic_legacy)(known, F.col("__calibrated")).drop("__calibrated")
 
     def fit_transform(self, predictions: DataFrame) -> DataFrame:
         return self.fit(predictions).transform(predictions)
@@ -161,12 +229,30 @@ class Calibrator:
 
 
 def stepped(x: Column, steps: list[tuple[float, float]]) -> Column:
-    """The line through (boundary, value) points at x, flat beyond the ends."""
-    pairs = F.array(*(F.struct(F.lit(float(b)).alias("b"), F.lit(float(v)).alias("v")) for b, v in steps))
-    below, above = F.filter(pairs, lambda s: s["b"] <= x), F.filter(pairs, lambda s: s["b"] > x)
-    lo, hi = F.get(below, F.size(below) - 1), F.get(above, F.lit(0))
-    line = lo["v"] + (hi["v"] - lo["v"]) * (x - lo["b"]) / (hi["b"] - lo["b"])
-    return F.when(x.isNotNull(), F.when(F.size(below) == 0, hi["v"]).when(F.size(above) == 0, lo["v"]).otherwise(line))
+    """The line through (boundary, value) points at x, flat beyond the ends; null without points or x.
+
+    The points are two literals, however many there are, and the place of x is found by halving.
+    """
+    if not steps:
+        return F.lit(None).cast("double")
+    n = len(steps)
+    at, values = (F.lit(np.array(c, float)) for c in zip(*steps, strict=True))
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+
+    def halved(s: Column, _: Column) -> Column:
+        right = F.get(at, middle(s)) <= s["x"]
+        return F.struct(F.when(right, middle(s) + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(middle(s)).alias("hi"), s["x"].alias("x"))
+
+    whole = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"), x.cast("double").alias("x"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), whole, halved)
+
+    def line(s: Column) -> Column:
+        below, above = s["lo"] - 1, s["lo"]
+        share = (s["x"] - F.get(at, below)) / (F.get(at, above) - F.get(at, below))
+        inner = F.get(values, below) + (F.get(values, above) - F.get(values, below)) * share
+        return F.when(s["x"].isNotNull(), F.when(above == 0, F.get(values, F.lit(0))).when(above == n, F.get(values, F.lit(n - 1))).otherwise(inner))
+
+    return F.get(F.transform(F.array(found), line), F.lit(0))
 
 
 def pseudo_probabilities(pred: Column, n_classes: int, top: float = 0.7) -> Column:

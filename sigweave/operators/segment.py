@@ -16,6 +16,26 @@ def sliding(clips: DataFrame, length: int, step: int) -> DataFrame:
     return rows.select(*others, "window_idx", "start", F.slice("samples", F.col("start") + 1, F.lit(length)).alias("samples"))
 
 
+def windows_of(at: Column, length: int, step: int) -> Column:
+    """Numbers of the windows that sample `at` (from 0) lies in: those that start at a multiple of the step, `length` samples or fewer before it."""
+    if length < 1 or step < 1:
+        raise ValueError("length and step must be positive")
+    first, last = F.greatest(F.ceil((at - (length - 1)) / step), F.lit(0)), F.floor(at / step)
+    return F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))
+
+
+def counted_windows(samples: DataFrame, key: list[str], at: str, value: str, length: int, step: int) -> DataFrame:
+    """key, window_idx, start, samples of each full window of rows (key, at, value), `at` being the sample's number.
+
+    What `sliding` gives for an array, without one: a row goes to the few windows that its
+    number says, so a task holds windows and not a series.
+    """
+    rows = samples.select(*key, F.col(at).alias("__at"), F.col(value).alias("__v"), F.explode(windows_of(F.col(at), length, step)).alias("window_idx"))
+    parts = rows.groupBy(*key, "window_idx").agg(F.array_sort(F.collect_list(F.struct("__at", "__v"))).alias("__w"))
+    full = parts.filter(F.size("__w") == length)
+    return full.select(*key, F.col("window_idx").cast("int").alias("window_idx"), (F.col("window_idx") * step).alias("start"), F.transform("__w", lambda x: x["__v"]).alias("samples"))
+
+
 def epochs(samples: DataFrame, markers: DataFrame, key: str, tmin: float, tmax: float) -> DataFrame:
     """Samples (key, t, v) within tmin and tmax seconds of a marker (key, marker_id, at) of the recording; rel is the time from it.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigweave import dims
-from sigweave.operators import binning, calibration, kernel, metrics, prompts, sampling, segment, spectral, tokens
+from sigweave.operators import binning, calibration, kernel, metrics, prompts, ranks, sampling, segment, spectral, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,7 +137,7 @@ def channel_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def user_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, event_id, event_type, t (seconds), v, seq (place within the user's)."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("us"), F.col("value").alias("v"))
-    return rows.withColumn("t", F.col("us") / 1e6).withColumn("seq", F.row_number().over(W.partitionBy("user_id").orderBy("us", "event_id")) - 1)
+    return ranks.numbered(rows.withColumn("t", F.col("us") / 1e6), ["user_id"], ["us", "event_id"])
 
 
 SQL_EVENTS = """ev AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS us, epoch_us(ts) / 1e6 AS t, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - 1 AS seq FROM events)"""
@@ -388,8 +388,7 @@ def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SQL_EVENTS}, n AS (SELECT user_id, count(*) AS n FROM ev GROUP BY 1), s AS (SELECT user_id, unnest(range(0, n - 7, 4)) AS start FROM n WHERE n >= 8)
 SELECT user_id, (start / 4)::INT AS window_idx, round(avg(v), 6) + 0.0 AS mean_v, count(*) AS n FROM s JOIN ev USING (user_id) WHERE seq >= start AND seq < start + 8 GROUP BY user_id, start""")
 def sliding_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = user_samples(spark, sf_dir).groupBy("user_id").agg(tokens.ordered("v", "seq").alias("samples"))
-    out = segment.sliding(long, 8, 4)
+    out = segment.counted_windows(user_samples(spark, sf_dir), ["user_id"], "seq", "v", 8, 4)
     return out.select("user_id", "window_idx", rounded(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x) / F.size("samples")).alias("mean_v"), F.size("samples").cast("long").alias("n"))
 
 
@@ -525,11 +524,14 @@ def isotonic_apply_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.isotonic_legacy(rows, F.lit(0.37)).select("vec_id", F.posexplode("probs").alias("k", "p")).withColumn("p", rounded("p"))
 
 
-@query(f"""WITH {SQL_PRED}, pt AS (SELECT conf AS x, count(*) AS w, sum((pred = y)::INT) AS s FROM top GROUP BY 1),
+SQL_ISOTONIC = f"""WITH {SQL_PRED}, pt AS (SELECT conf AS x, count(*) AS w, sum((pred = y)::INT) AS s FROM top GROUP BY 1),
 cu AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs, w, s FROM pt),
 av AS (SELECT a.i AS j, b.i AS k, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM cu a JOIN cu b ON b.i >= a.i),
 mn AS (SELECT j, k AS i, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM av),
-iso AS (SELECT cu.x, max(m) AS v FROM mn JOIN cu USING (i) GROUP BY cu.x)
+iso AS (SELECT cu.x, max(m) AS v FROM mn JOIN cu USING (i) GROUP BY cu.x)"""
+
+
+@query(f"""{SQL_ISOTONIC}
 SELECT vec_id, round(v, 6) + 0.0 AS confidence FROM top JOIN iso ON conf = x""")
 def isotonic_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest probability of each prediction under a monotone fit."""
@@ -538,12 +540,13 @@ def isotonic_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", rounded(calibration.stepped(calibration.confidence(F.col("probs")), out.steps)).alias("confidence"))
 
 
-@query()
+@query(f"""{SQL_ISOTONIC}, ends AS (SELECT v, min(x) AS lo, max(x) AS hi FROM iso GROUP BY v)
+SELECT round(lo, 6) + 0.0 AS boundary, round(v, 6) + 0.0 AS value FROM ends UNION ALL SELECT round(hi, 6) + 0.0, round(v, 6) + 0.0 FROM ends WHERE hi > lo""")
 def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fitted step function: boundary and value."""
-    model = calibration.fit_isotonic(predictions(spark, sf_dir))
-    pairs = list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True))
-    return spark.createDataFrame(pairs, "boundary double, value double")
+    """The fitted step function: boundary and value, of each block its ends."""
+    blocks = calibration.isotonic_blocks(calibration.hits(predictions(spark, sf_dir)))
+    ends = blocks.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("boundary"), (F.col("total") / F.col("n")).alias("value"))
+    return ends.select(rounded("boundary").alias("boundary"), rounded("value").alias("value"))
 
 
 def sql_bins(n: int) -> str:
