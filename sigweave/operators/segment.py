@@ -69,3 +69,16 @@ def kept_epochs(rows: DataFrame, epoch: list[str], channel: str, limit: float |
 def epoch_info(rows: DataFrame, label: str, epoch: str, t: str) -> DataFrame:
     """Counts by class: epochs, samples, first and last time."""
     return rows.groupBy(label).agg(F.count_distinct(epoch).alias("n_epochs"), F.count("*").alias("n_samples"), F.min(t).alias("t_first"), F.max(t).alias("t_last"))
+
+
+def epoch_table(rows: DataFrame, epoch: str, channel: str, rel: str, v: str, label: str, channels: list[str], times: list[float], limit: int = 10_000) -> DataFrame:
+    """One row for each epoch: a column for each channel and time, in this order and named as in C3_0.250s, and `label`.
+
+    Rows are (epoch, label, channel, rel, v); times are told apart by milliseconds. A sample that
+    isn't there is null. An epoch's label is its least.
+    """
+    if len(channels) * len(times) > limit:
+        raise ValueError(f"{len(channels) * len(times)} columns; at most {limit}")
+    same = lambda c, t: (F.col(channel) == c) & (F.round(F.col(rel) * 1000) == round(t * 1000))
+    columns = [F.max(F.when(same(c, t), F.col(v))).alias(f"{c}_{t:.3f}s") for c in channels for t in times]
+    return rows.groupBy(epoch).agg(*columns, F.min(label).alias("label"))

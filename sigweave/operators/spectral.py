@@ -6,6 +6,7 @@ Clips come one to a row as (any key columns, samples array<double>).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -137,45 +138,106 @@ def phase(x: np.ndarray) -> np.ndarray:
     return np.angle(np.fft.ifft(np.fft.fft(x) * keep))
 
 
-def filtered(clips: DataFrame, fs: float, low: float = 0.5, high: float = 100.0, notch: float | None = 50.0) -> DataFrame:
-    """samples, band-passed and notched by a zero-phase windowed sinc of odd length; edges are reflected."""
+@lru_cache(maxsize=64)
+def filter_taps(fs: float, low: float, high: float, notch: float | None, n: int) -> tuple[np.ndarray, ...]:
+    """The filters to apply one after the other, of `n` taps each: a band-pass, and a band-stop about the notch if it lies in the band that samples can show."""
 
-    def taps(edge: float, n: int) -> np.ndarray:
+    def below(edge: float) -> np.ndarray:
         t = np.arange(n) - n // 2
         h = 2 * edge / fs * np.sinc(2 * edge / fs * t) * np.hamming(n)
         return h / h.sum()
 
+    unit = np.zeros(n)
+    unit[n // 2] = 1
+    passed = (below(high) if high < fs / 2 else unit) - below(low)
+    return (passed, unit - (below(notch + 1) - below(notch - 1))) if notch and notch + 1 < fs / 2 else (passed,)
+
+
+def taps_wanted(fs: float, low: float) -> int:
+    """Taps of a filter, an odd number; shorter recordings have as many as they have samples, or one less."""
+    return int(3.3 * fs / max(low, 0.5)) | 1
+
+
+def convolved(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where h lies on x whole, the sums of products: by FFTs of overlapping blocks if h is long."""
+    n, out = len(h), len(x) - len(h) + 1
+    if n < 64:
+        return np.convolve(x, h, "valid")
+    size = 1 << (min(4 * n, len(x) + n) - 1).bit_length()
+    step, spectrum = size - n + 1, np.fft.rfft(h, size)
+    blocks = [np.fft.irfft(np.fft.rfft(x[at : at + size], size) * spectrum, size)[n - 1 : n - 1 + step] for at in range(0, out, step)]
+    return np.concatenate(blocks)[:out]
+
+
+def filtered(clips: DataFrame, fs: float, low: float = 0.5, high: float = 100.0, notch: float | None = 50.0) -> DataFrame:
+    """samples, band-passed and notched by a zero-phase windowed sinc of odd length; edges are reflected. For arrays that fit in a row; see `filtered_parts`."""
+
     @F.pandas_udf("array<double>")
     def kernel(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for xs in batches:
             out = []
             for x in xs:
                 x = np.asarray(x, float)
-                n = min(int(3.3 * fs / max(low, 0.5)) | 1, 2 * ((len(x) - 1) // 2) + 1)
-                if n < 3:
-                    out.append(x)
-                    continue
-                unit = np.zeros(n)
-                unit[n // 2] = 1
-                h = (taps(high, n) if high < fs / 2 else unit) - taps(low, n)
-                pad = np.pad(x, n // 2, mode="reflect")
-                y = np.convolve(pad, h, "valid")
-                if notch and notch + 1 < fs / 2:
-                    stop = unit - (taps(notch + 1, n) - taps(notch - 1, n))
-                    y = np.convolve(np.pad(y, n // 2, mode="reflect"), stop, "valid")
-                out.append(y)
+                n = min(taps_wanted(fs, low), 2 * ((len(x) - 1) // 2) + 1)
+                for h in filter_taps(fs, low, high, notch, n) if n >= 3 else ():
+                    x = convolved(np.pad(x, n // 2, mode="reflect"), h)
+                out.append(x)
             yield pd.Series(out)
 
     return clips.withColumn("samples", kernel("samples"))
 
 
+def filtered_parts(parts: DataFrame, keep: list[str], fs: float, low: float = 0.5, high: float = 100.0, notch: float | None = 50.0) -> DataFrame:
+    """What `filtered` gives, for recordings in parts (keep..., part, v): parts of one width, the last of a recording may be shorter.
+
+    A part sends its neighbours the samples that lie within half a filter of them, so a task
+    holds a part and its surroundings, whatever the recording's length. Reflection is made
+    where a recording begins and ends. The second filter is another such step.
+    """
+    full = taps_wanted(fs, low)
+    sizes = parts.groupBy(*keep).agg(F.sum(F.size("v").cast("long")).alias("__total"), F.max(F.size("v")).alias("__width"))
+    sizes = sizes.withColumn("__taps", F.least(F.lit(full), 2 * F.floor((F.col("__total") - 1) / 2) + 1).cast("int")).withColumn("__half", F.floor(F.col("__taps") / 2))
+    renamed = sizes.withColumnsRenamed({k: f"__{k}" for k in keep})
+    same = reduce(lambda a, b: a & b, (parts[k].eqNullSafe(renamed[f"__{k}"]) for k in keep))
+    rows = parts.join(renamed, same).select(*keep, "part", "v", "__total", "__width", "__taps", "__half")
+    for number in range(len(filter_taps(fs, low, high, notch, 3))):
+        rows = _filter_step(rows, keep, fs, low, high, notch, number)
+    return rows.select(*keep, "part", "v")
+
+
+def _filter_step(rows: DataFrame, keep: list[str], fs: float, low: float, high: float, notch: float | None, number: int) -> DataFrame:
+    width, half, total = F.col("__width").cast("long"), F.col("__half"), F.col("__total")
+    reach = F.ceil(half / width)
+    sent = rows.withColumn("__to", F.explode(F.sequence(F.greatest(F.col("part") - reach, F.lit(0)), F.least(F.col("part") + reach, F.floor((total - 1) / width)))))
+    begin, to = F.col("part") * width, F.col("__to") * width
+    first = F.greatest(begin, to - half)
+    count = F.least(begin + F.size("v"), to + width + half) - first
+    cut = F.slice("v", (first - begin + 1).cast("int"), F.greatest(count, F.lit(0)).cast("int"))
+    sent = sent.filter((count > 0) & (first >= begin)).select(*keep, F.col("__to").alias("part"), F.struct(first.alias("at"), cut.alias("v")).alias("__x"), "__total", "__width", "__taps", "__half")
+    met = sent.groupBy(*keep, "part").agg(F.flatten(F.transform(F.array_sort(F.collect_list("__x")), lambda x: x["v"])).alias("v"), *(F.first(c).alias(c) for c in ("__total", "__width", "__taps", "__half")))
+    begin = F.col("part") * width
+    own = F.least(width, total - begin)
+    left, right = F.greatest(half - begin, F.lit(0)), F.greatest(begin + own + half - total, F.lit(0))
+
+    @F.pandas_udf("array<double>")
+    def kernel(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for xs, lefts, rights, taps in batches:
+            out = []
+            for x, a, b, n in zip(xs, lefts, rights, taps, strict=True):
+                x = np.asarray(x, float)
+                out.append(convolved(np.concatenate([x[1 : a + 1][::-1], x, x[len(x) - 1 - b : len(x) - 1][::-1]]), filter_taps(fs, low, high, notch, int(n))[number]) if n >= 3 else x)
+            yield pd.Series(out)
+
+    return met.withColumn("v", kernel("v", left.cast("int"), right.cast("int"), "__taps"))
+
+
 #: Samples of a channel that meet those of other channels at a time.
 PART = 4096
 
 
-def sample_parts(clips: DataFrame, keep: list[str], column: str = "samples") -> DataFrame:
-    """keep..., part, v: the samples in parts of PART."""
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(column) - 1) / PART), F.lit(0)).cast("int")), lambda k: F.slice(F.col(column), k * PART + 1, F.lit(PART)))
+def sample_parts(clips: DataFrame, keep: list[str], column: str = "samples", width: int = PART) -> DataFrame:
+    """keep..., part, v: the samples in parts of `width`."""
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(column) - 1) / width), F.lit(0)).cast("int")), lambda k: F.slice(F.col(column), k * width + 1, F.lit(width)))
     return clips.select(*keep, F.posexplode(parts).alias("part", "v"))
 
 

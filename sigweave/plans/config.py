@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field, fields, replace
+from datetime import datetime
 from pathlib import Path
 
 from sigweave import dims
@@ -72,6 +73,8 @@ class Experiment:
     val_size: float = 0.1
     calibration: str = "temperature"
     seed: int = 42
+    output_dir: str = "outputs"
+    run_name: str | None = None
 
     def __post_init__(self) -> None:
         check(0 < self.test_size < 1 and 0 < self.val_size < 1, "split sizes must be in (0, 1)")
@@ -81,14 +84,16 @@ class Experiment:
 
 @dataclass(frozen=True)
 class Generator:
-    """How token sequences are varied; noise_level is kept and used by nothing."""
+    """How token sequences of the training part are varied: `copies` varied ones of each; noise_level is kept and used by nothing."""
 
     probability: float = 0.1
+    copies: int = 0
     noise_level: float = 0.05
     seed: int = 42
 
     def __post_init__(self) -> None:
         check(0 <= self.probability <= 1, "probability must be in [0, 1]")
+        check(self.copies >= 0, "copies can't be negative")
 
 
 @dataclass(frozen=True)
@@ -117,6 +122,13 @@ class Config:
         """A copy with some fields of some sections changed."""
         return replace(self, **{k: replace(getattr(self, k), **v) for k, v in sections.items()})
 
+    def named(self, now: datetime | None = None) -> Config:
+        """The configuration with a run's name: its own, or the experiment's with the time."""
+        if self.experiment.run_name:
+            return self
+        stamp = (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
+        return self.changed(experiment={"run_name": f"{self.experiment.experiment_name}_{stamp}"})
+
     def save(self, path: str) -> None:
         said = asdict(self)
         if Path(path).suffix in (".yaml", ".yml"):

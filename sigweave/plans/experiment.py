@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigweave.operators import binning, calibration, metrics, sampling, segment, spectral, tokens
+from sigweave.operators import binning, calibration, metrics, prompts, sampling, segment, spectral, tokens
 from sigweave.plans import classifiers
 from sigweave.plans.config import Config
 
@@ -35,6 +35,22 @@ def measured(predictions: DataFrame, n_classes: int) -> DataFrame:
     return scores.crossJoin(calibration.calibration_summary(predictions))
 
 
+def event_epochs(samples: DataFrame, markers: DataFrame, key: str, by: list[str], config: Config) -> DataFrame:
+    """Samples (key, t, v) about markers (key, marker_id, at) within the configuration's span, less the mean of its baseline if it names one; `by` tells epochs and channels apart."""
+    cut = config.segmenter
+    rows = segment.epochs(samples, markers, key, cut.tmin, cut.tmax)
+    return segment.baseline_corrected(rows, by, *cut.baseline) if cut.baseline else rows
+
+
+def with_variations(lists: DataFrame, key: str, config: Config) -> DataFrame:
+    """The rows (key, tokens, others) and as many varied copies of each as the configuration says."""
+    how = config.generator
+    out = lists
+    for k in range(how.copies):
+        out = out.unionByName(lists.withColumn("tokens", prompts.augmented(F.col("tokens"), key, how.probability, seed=how.seed + k)))
+    return out
+
+
 @dataclass
 class Result:
     rules: DataFrame
@@ -60,7 +76,7 @@ def run(recordings: DataFrame, labels: DataFrame, fs: float, config: Config, n_c
     vocab = tokens.vocabulary(rows.filter("split = 'train'").select("token") if config.features.fit_on == "train" else rows.select("token"), config.features.min_frequency, config.features.max_vocab_size)
     encoded = tokens.encode(rows.select("window_id", "f_idx", "token"), vocab, "window_id", "f_idx", config.model.max_length)
     lists = rows.groupBy("window_id").agg(tokens.ordered("token", "f_idx").alias("tokens")).join(parts, "window_id")
-    model = classifiers.fit(lists.filter("split = 'train'"), vocab, config, n_classes)
+    model = classifiers.fit(with_variations(lists.filter("split = 'train'"), "window_id", config), vocab, config, n_classes)
     out = predicted(model, lists, ["window_id", "split", F.col("y").cast("int").alias("y")])
     calibrator = None
     if config.experiment.calibration != "none":

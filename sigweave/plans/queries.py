@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigweave import dims
+from sigweave.sources import artifacts, bids, variants
 from sigweave.operators import binning, calibration, kernel, metrics, prompts, ranks, sampling, segment, spectral, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -345,6 +348,19 @@ pad AS (SELECT vec_id, i.i AS i, embedding[CASE WHEN i.i < 0 THEN -i.i WHEN i.i
 fil AS (SELECT vec_id, (pad.i - t)::INT AS i, sum(v * h) AS v FROM pad JOIN taps ON pad.i - t BETWEEN 0 AND 63 GROUP BY ALL)"""
 
 
+SQL_NOTCHED = f"""{SQL_FILTERED}, stop AS (SELECT a.t, CASE WHEN a.t = 0 THEN 1 ELSE 0 END - a.h + b.h AS h FROM ({sql_taps(11.0)}) a JOIN ({sql_taps(9.0)}) b USING (t)),
+again AS (SELECT vec_id, i.i AS i, v FROM range(-31, 95) i(i) JOIN fil ON fil.i = CASE WHEN i.i < 0 THEN -i.i WHEN i.i > 63 THEN 126 - i.i ELSE i.i END),
+nt AS (SELECT vec_id, (again.i - t)::INT AS i, sum(v * h) AS v FROM again JOIN stop ON again.i - t BETWEEN 0 AND 63 GROUP BY ALL)"""
+
+
+@query(f"WITH {SQL_NOTCHED} SELECT vec_id, i, round(v, 6) + 0.0 AS v FROM nt")
+def notched_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band-passed and notched at 10 Hz, in parts of 16 samples that send each other their surroundings."""
+    parts = spectral.sample_parts(clips(spark, sf_dir), ["vec_id"], width=16)
+    out = spectral.filtered_parts(parts, ["vec_id"], FS, 1.0, 20.0, 10.0)
+    return out.select("vec_id", "part", F.posexplode("v").alias("k", "v")).select("vec_id", (F.col("part") * 16 + F.col("k")).cast("int").alias("i"), rounded("v").alias("v"))
+
+
 @query(f"WITH {SQL_FILTERED} SELECT vec_id, i, round(v, 6) + 0.0 AS v FROM fil")
 def band_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spectral.filtered(clips(spark, sf_dir), FS, 1.0, 20.0, None)
@@ -718,6 +734,7 @@ def contrastive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.contrastive(token_rows(spark, sf_dir), "vec_id").select("task1", "task2", "contrast_explanation")
 
 
+ANSWERS = ("Memory", "math", "EyesClosed", "music", "nonsense", "OPEN")
 SYNONYM_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in prompts.SYNONYMS.items())
 
 
@@ -735,20 +752,21 @@ def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
 def subject_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "region").filter("r_name like 'A%'").select(F.col("r_regionkey").alias("n_regionkey"))
-    return table(spark, sf_dir, "nation").join(wanted, "n_regionkey", "left_semi").select("n_nationkey", "n_name")
+    return bids.of_subjects(table(spark, sf_dir, "nation"), wanted, "n_regionkey").select("n_nationkey", "n_name")
 
 
-@query(f"SELECT n_nationkey AS subject, s.i::INT AS session, t AS task FROM nation, range(1, 4) s(i), (SELECT unnest({dims.TASKS}) AS t)")
+@query(f"SELECT n_nationkey AS subject, 'session' || i AS session, t AS task, n_nationkey || '_ses-session' || i || '_task-' || t AS trial_id FROM nation, range(1, 4) s(i), (SELECT unnest({dims.TASKS}) AS t)")
 def task_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings to read: subjects (a table) with the fixed sessions and tasks."""
-    grid = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("subject"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("session"))
-    return grid.select("*", F.explode(F.array(*map(F.lit, dims.TASKS))).alias("task"))
+    grid = bids.grid(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("subject_id")), bids.SESSIONS, dims.TASKS)
+    return grid.withColumnRenamed("subject_id", "subject")
 
 
 @query("SELECT doc_id, coalesce('quality_' || l.quality::VARCHAR, 'unknown') AS label FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id)")
 def label_lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce(F.concat(F.lit("quality_"), F.col("quality").cast("string")), F.lit("unknown")).alias("label"))
+    met = table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
+    return met.select("doc_id", prompts.by_label(F.coalesce("quality", F.lit(-1)), {0: "quality_0", 1: "quality_1"}).alias("label"))
 
 
 # --- further operators --------------------------------------------------------------------------
@@ -777,12 +795,13 @@ def hard_label_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.posexplode(both).alias("k", "x")).select("vec_id", "k", rounded("x.p").alias("p"), rounded("x.logit").alias("logit"))
 
 
-@query(r"""WITH a AS (SELECT coalesce(nullif(lower(regexp_extract(list_last(string_split('x Prediction:' || text, 'Prediction:')), '^\s*(\S+)', 1)), ''), 'unknown') AS answer FROM conversations WHERE text IS NOT NULL),
-l AS (SELECT CASE answer """ + SYNONYM_CASES + """ ELSE 'unknown' END AS label FROM a) SELECT label, count(*) AS n FROM l WHERE label != 'unknown' GROUP BY 1""")
+@query(f"""WITH said AS (SELECT lower(CASE label % 6 {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ANSWERS))} END) AS answer FROM embeddings),
+l AS (SELECT CASE answer {SYNONYM_CASES} ELSE 'unknown' END AS label FROM said) SELECT label, count(*) AS n FROM l WHERE label != 'unknown' GROUP BY 1""")
 def valid_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each class is answered, of the answers that name one."""
-    rows = metrics.decided_only(parsed_answers(spark, sf_dir), "label")
-    return rows.groupBy("label").agg(F.count("*").alias("n"))
+    """How often each class is answered, of the answers that name one; every class of the embeddings says something of its own."""
+    text = F.concat(F.lit("<BOS> x Prediction: "), F.get(F.array(*map(F.lit, ANSWERS)), (F.col("label") % 6).cast("int")), F.lit(" and more"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", prompts.canonical(prompts.parsed_answer(text)).alias("label"))
+    return metrics.decided_only(rows, "label").groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT source AS label, (row_number() OVER (ORDER BY source) - 1)::INT AS label_id FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")
@@ -886,3 +905,65 @@ def fourier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = kernel.FourierMap(64, kernel.scale_gamma(rows, "x", 64), COSINES)
     out = rows.select("vec_id", F.posexplode(made.features(F.col("x"))).alias("j", "value"))
     return out.select("vec_id", F.col("j").cast("long").alias("j"), rounded("value").alias("value"))
+
+
+# --- semi-structured columns, artifacts and tables of epochs --------------------------------
+
+
+@query("""WITH j AS (SELECT event_type, CASE WHEN event_id % 7 = 0 THEN left(props, length(props) - 1) WHEN event_id % 7 = 1 THEN '{"deep": [' || props || '], "k": "' || event_id || '"}' ELSE props END AS props FROM events),
+f AS (SELECT event_type, json_valid(props) AS ok, CASE WHEN json_valid(props) THEN props END AS p FROM j)
+SELECT event_type, count(*) AS n, count(*) FILTER (NOT ok) AS n_malformed, sum(json_extract_string(p, '$.k')::BIGINT)::BIGINT AS total, sum(json_extract(p, '$.deep[0].k')::BIGINT)::BIGINT AS deep, count(p) FILTER (json_type(p, '$.k') = 'VARCHAR') AS n_texts FROM f GROUP BY 1""")
+def event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the events' properties by type of event; each seventh text is cut short, another one is nested."""
+    text = F.when(F.col("event_id") % 7 == 0, F.expr("left(props, length(props) - 1)")).when(F.col("event_id") % 7 == 1, F.concat(F.lit('{"deep": ['), "props", F.lit('], "k": "'), F.col("event_id").cast("string"), F.lit('"}'))).otherwise(F.col("props"))
+    rows = variants.parsed(table(spark, sf_dir, "events").select("event_type", text.alias("props")), "props")
+    rows = variants.fields(rows, "variant", {"k": ("$.k", "bigint"), "deep": ("$.deep[0].k", "bigint")})
+    kind = F.schema_of_variant(variants.field("variant", "$.k", "variant")) == "STRING"
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("malformed").alias("n_malformed"), F.sum("k").alias("total"), F.sum("deep").alias("deep"), F.count_if(kind).alias("n_texts"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder of `spark.checkpoint.dir`; in local mode without one, in a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {SQL_LINES}, {sql_edges(3)} SELECT feature, len(e) - 1 AS n_bins, round(list_sum(e), 4) + 0.0 AS total FROM rules""")
+def stored_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binning rules written as JSON and read back."""
+    path = scratch(spark, "rules")
+    artifacts.save_rules(binning.fit(line_features(spark, sf_dir)), path)
+    back = artifacts.load_rules(spark, path)
+    return back.select("feature", (F.size("edges") - 1).cast("long").alias("n_bins"), rounded(F.aggregate("edges", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query("SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents WHERE doc_id % 5 = 0")
+def stored_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test part of documents written with a folder a part; the other part isn't read."""
+    path = scratch(spark, "split")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
+    artifacts.save_splits(rows, path)
+    return artifacts.load_split(spark, path, "test")
+
+
+@query("SELECT event_type AS token, count(*) AS freq FROM events GROUP BY 1")
+def stored_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary written and read back, without its special tokens."""
+    path = scratch(spark, "vocabulary")
+    artifacts.save_vocabulary(tokens.vocabulary(table(spark, sf_dir, "events").select(F.col("event_type").alias("token"))), path)
+    return artifacts.load_vocabulary(spark, path).filter(~F.col("token").isin(dims.SPECIAL_TOKENS)).select("token", "freq")
+
+
+TIMES = [0.0, 0.25, 0.5]
+
+
+@query(f"""SELECT vec_id // 4 AS epoch, {", ".join(f'max(CASE WHEN vec_id % 4 = {i} THEN embedding[{int(t * 64) + 1}]::DOUBLE END) AS "{c}_{t:.3f}s"' for i, c in enumerate(CHANNELS) for t in TIMES)}, min(label % 4) AS label FROM embeddings GROUP BY 1""")
+def epoch_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of epochs: a column for each channel and time."""
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("epoch"), F.get(F.array(*map(F.lit, CHANNELS)), (F.col("vec_id") % 4).cast("int")).alias("channel"), (F.col("label") % 4).alias("y"), F.posexplode("embedding").alias("i", "v"))
+    rows = rows.select("epoch", "channel", "y", (F.col("i") / FS).alias("rel"), F.col("v").cast("double").alias("v"))
+    return segment.epoch_table(rows, "epoch", "channel", "rel", "v", "y", CHANNELS, TIMES)

@@ -101,8 +101,8 @@ def latest(spark: SparkSession, root: str) -> str | None:
     return found
 
 
-def execute(spark: SparkSession, config: Config, path: str, mode: str = "full", source: str | None = None, model_path: str | None = None, dry_run: bool = False) -> DataFrame | None:
-    """Trains on the BIDS folder `source`, evaluates a run, or both; returns the last report. A dry run only saves the configuration."""
+def execute(spark: SparkSession, config: Config, path: str, mode: str = "full", source: str | None = None, model_path: str | None = None, dry_run: bool = False, test_data: str | None = None) -> DataFrame | None:
+    """Trains on the BIDS folder `source`, evaluates a run, or both; returns the last report. A dry run only saves the configuration. `test_data` is evaluated on in place of what the run has kept."""
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "eval" and not model_path:
@@ -129,7 +129,7 @@ def execute(spark: SparkSession, config: Config, path: str, mode: str = "full",
         log.info("trained: %s", path)
     if mode != "train":
         run = load(spark, model_path or path)
-        test = spark.read.schema("tokens array<string>, label string").json(f"{model_path or path}/test_data.json")
+        test = artifacts.load_test_data(spark, test_data).select("tokens", "label") if test_data else spark.read.schema("tokens array<string>, label string").json(f"{model_path or path}/test_data.json")
         predictions, report = evaluate(run, test, None if config.experiment.calibration == "none" else config.experiment.calibration)
         artifacts.save_predictions(predictions, f"{path}/eval_predictions.json")
         artifacts.save_report(report, f"{path}/eval_report.json")
@@ -138,23 +138,52 @@ def execute(spark: SparkSession, config: Config, path: str, mode: str = "full",
     return report
 
 
-def main(argv: list[str] | None = None) -> int:
-    """The command line: a preset or a file of settings, a mode, and folders."""
+#: Settings that the command line may replace: section, field, type.
+OVERRIDES = {"epochs": ("model", int), "batch_size": ("model", int), "learning_rate": ("model", float), "n_subjects": ("data", int), "output_dir": ("experiment", str), "run_name": ("experiment", str)}
+
+
+def overridden(config: Config, values: dict) -> Config:
+    """The configuration with the settings of OVERRIDES that have a value, checked like any other."""
+    sections: dict[str, dict] = {}
+    for name, (section, _) in OVERRIDES.items():
+        if values.get(name) is not None:
+            sections.setdefault(section, {})[name] = values[name]
+    if "batch_size" in sections.get("model", {}):
+        sections["model"]["eval_batch_size"] = None
+    return config.changed(**sections)
+
+
+def parsed(argv: list[str] | None = None) -> argparse.Namespace:
+    """The command line; an option's words may be joined by dashes or underscores."""
     parser = argparse.ArgumentParser(description="Train and evaluate on a BIDS folder")
-    parser.add_argument("--preset", choices=sorted(presets()), default="quick_test")
-    parser.add_argument("--config", help="a YAML or JSON file instead of a preset")
-    parser.add_argument("--mode", choices=MODES, default="full")
-    parser.add_argument("--source")
-    parser.add_argument("--output", required=True)
-    parser.add_argument("--model-path")
-    parser.add_argument("--log-level", default="INFO")
-    parser.add_argument("--dry-run", action="store_true")
-    args = parser.parse_args(argv)
-    config = Config.load(args.config) if args.config else presets()[args.preset]
-    prepare(config, args.output)
-    start_logging(args.log_level, f"{args.output}/logs")
+
+    def option(name: str, **more: object) -> None:
+        parser.add_argument(*dict.fromkeys((f"--{name.replace('_', '-')}", f"--{name}")), dest=name, **more)
+
+    parser.add_argument("--preset", "--config", choices=sorted(presets()), default="quick_test")
+    option("config_file", help="a YAML or JSON file instead of a preset")
+    option("mode", choices=MODES, default="full")
+    option("source")
+    option("output", help="the run's folder; by default the run's name in the output directory")
+    option("model_path")
+    option("test_data_path", help="a JSON file of token sequences and labels to evaluate on")
+    option("log_level", default="INFO")
+    option("dry_run", action="store_true")
+    for name, (_, kind) in OVERRIDES.items():
+        option(name, type=kind)
+    return parser.parse_args(argv)
+
+
+def main(argv: list[str] | None = None) -> int:
+    """The command line: a preset or a file of settings, settings that replace its own, a mode, and folders."""
+    args = parsed(argv)
+    config = Config.load(args.config_file) if args.config_file else presets()[args.preset]
+    config = overridden(config, vars(args)).named()
+    path = args.output or f"{config.experiment.output_dir}/{config.experiment.run_name}"
+    prepare(config, path)
+    start_logging(args.log_level, f"{path}/logs")
     log.info(described(config))
-    execute(SparkSession.builder.getOrCreate(), config, args.output, args.mode, args.source, args.model_path, args.dry_run)
+    execute(SparkSession.builder.getOrCreate(), config, path, args.mode, args.source, args.model_path, args.dry_run, args.test_data_path)
     return 0
 
 

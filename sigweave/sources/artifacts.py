@@ -32,6 +32,11 @@ def save_splits(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def load_split(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """The rows of one part; the folders of others aren't read."""
+    return spark.read.parquet(path).filter(F.col("split") == split)
+
+
 def load_test_data(spark: SparkSession, path: str) -> DataFrame:
     """idx, tokens, label of a file {token_sequences, labels}; the shorter list decides."""
     if not path.endswith(".json"):

@@ -21,6 +21,11 @@ def participants(spark: SparkSession, root: str, subjects: list[str] | None = No
     return rows.filter(F.col("subject_id").isin(subjects)) if subjects else rows
 
 
+def of_subjects(rows: DataFrame, subjects: DataFrame, key: str = "subject_id") -> DataFrame:
+    """The rows of the subjects in a table, however many it has; a subject that stands twice counts once, a null one never."""
+    return rows.join(subjects.select(key), key, "left_semi").select(rows.columns)
+
+
 def first_subjects(rows: DataFrame, n: int) -> DataFrame:
     """The first n subjects in the order of the file, or of their ids if that isn't known."""
     return rows.orderBy("file_order" if "file_order" in rows.columns else "subject_id").limit(n)
