@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigweave import dims
+from sigweave.scratch import cut
 
 #: Edges that lie no farther than this behind the one before are dropped.
 TINY = 1e-8
@@ -80,34 +81,39 @@ def quantiles(rows: DataFrame, at: list[float]) -> DataFrame:
 def kmeans(rows: DataFrame, n_bins: int, rounds: int = 300, tolerance: float = 1e-4) -> DataFrame:
     """feature, edges, low, high: Lloyd's algorithm in one dimension, from the centres of uniform bins.
 
-    Each round is one aggregation (sum and count by feature and nearest centre); the
-    driver holds the centres. A feature is done when its centres move by a share
-    `tolerance` of its variance (squared) at most.
+    Each round is one aggregation (sum and count by feature and nearest centre) and one over
+    its centres, which stay a table: by way of the driver up to KEPT_RULES features, written
+    beyond. A feature leaves when its centres move by a share `tolerance` of its variance
+    (squared) at most. A centre that is nearest to no value stays where it is.
     """
     counted = rows.groupBy("feature", "value").agg(F.count("*").alias("n")).persist()
     try:
-        spread = counted.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("value") * F.col("value")) / F.sum("n") - F.pow(F.sum(F.col("n") * F.col("value")) / F.sum("n"), 2)).alias("variance")).collect()
-        edges = {r.feature: np.linspace(r.low, r.high, n_bins + 1) for r in spread}
-        centres = {f: (e[1:] + e[:-1]) / 2 for f, e in edges.items()}
-        limit = {r.feature: tolerance * max(r.variance, 0.0) for r in spread}
-        left = set(centres)
-        for _ in range(rounds):
-            if not left:
+        mean = F.sum(F.col("n") * F.col("value")) / F.sum("n")
+        spread = counted.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"), (F.sum(F.col("n") * F.col("value") * F.col("value")) / F.sum("n") - F.pow(mean, 2)).alias("variance"))
+        edge = lambda i: F.col("low") + i * ((F.col("high") - F.col("low")) / n_bins)
+        start = F.array(*((edge(i) + (edge(i + 1) if i + 1 < n_bins else F.col("high"))) / 2 for i in range(n_bins)))
+        active = spread.select("feature", "low", "high", (tolerance * F.greatest("variance", F.lit(0.0))).alias("limit"), start.alias("centres"), F.lit(False).alias("done"))
+        active, settled = cut(active, "centres", KEPT_RULES), None
+        between = F.transform(F.slice("centres", 1, n_bins - 1), lambda c, i: (c + F.get("centres", i + 1)) / 2)
+        for number in range(rounds + 1):
+            over = active if number == rounds else active.filter("done")
+            settled = over if settled is None else settled.union(over)
+            active = active.filter("not done")
+            if number == rounds or active.isEmpty():
                 break
-            now = rows.sparkSession.createDataFrame([(f, ((centres[f][1:] + centres[f][:-1]) / 2).tolist()) for f in sorted(left)], "feature string, inner array<double>")
+            few = active.limit(KEPT_RULES + 1).count() <= KEPT_RULES
+            now = active.select("feature", between.alias("inner"))
             own = F.size(F.filter("inner", lambda e: e <= F.col("value")))
-            sums = counted.join(now, "feature").groupBy("feature", own.alias("c")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("value")).alias("s")).collect()
-            moved = {f: centres[f].copy() for f in left}
-            for r in sums:
-                moved[r.feature][r.c] = r.s / r.n
-            for f in list(left):
-                if ((moved[f] - centres[f]) ** 2).sum() <= limit[f]:
-                    left.remove(f)
-                centres[f] = np.sort(moved[f])
+            sums = counted.join(F.broadcast(now) if few else now, "feature").groupBy("feature", own.alias("c")).agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("m"))
+            found = sums.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("c", "m"))).alias("m"))
+            new = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at("m", i), c))
+            shift = F.aggregate(F.zip_with("new", "centres", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+            moved = active.join(found, "feature").withColumn("new", new)
+            active = cut(moved.select("feature", "low", "high", "limit", F.array_sort("new").alias("centres"), (shift <= F.col("limit")).alias("done")), "centres", KEPT_RULES)
+        edges = F.concat(F.array("low"), between, F.array("high"))
+        return cut(settled.select("feature", edges.alias("edges"), "low", "high"), "rules", KEPT_RULES)
     finally:
         counted.unpersist()
-    made = [(r.feature, [r.low, *((centres[r.feature][1:] + centres[r.feature][:-1]) / 2).tolist(), r.high], r.low, r.high) for r in spread]
-    return rows.sparkSession.createDataFrame(made, "feature string, edges array<double>, low double, high double")
 
 
 def bin_index(value: Column, edges: Column) -> Column:

@@ -336,6 +336,12 @@ def interpolated(clips: DataFrame, key: str, places: DataFrame) -> DataFrame:
     return clips.join(made, [key, "channel"], "left").withColumn("samples", F.coalesce("__new", "samples")).drop("__new")
 
 
+def apart(w: np.ndarray) -> np.ndarray:
+    """The orthogonal matrix that is nearest to w."""
+    u, _, v = np.linalg.svd(w, full_matrices=False)
+    return u @ v
+
+
 def components_of(x: np.ndarray, n: int, seed: int = 42, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """(unmixing, mixing) of `n` independent components of channels (rows), by fixed-point steps with a symmetric decorrelation."""
     x = x - x.mean(1, keepdims=True)
@@ -343,11 +349,6 @@ def components_of(x: np.ndarray, n: int, seed: int = 42, rounds: int = 200) -> t
     order = np.argsort(-values)[: min(n, int((values > 1e-12 * max(values.max(), 1e-300)).sum()))]
     white = (vectors[:, order] / np.sqrt(values[order])).T
     z = white @ x
-
-    def apart(w: np.ndarray) -> np.ndarray:
-        u, _, v = np.linalg.svd(w, full_matrices=False)
-        return u @ v
-
     w = apart(np.random.default_rng(seed).standard_normal((len(z), len(z))))
     for _ in range(rounds):
         g = np.tanh(w @ z)
@@ -392,14 +393,16 @@ def without_artifacts(clips: DataFrame, key: str, fs: float, eye: list[str], n_c
     return clips.join(work, [key, "channel"]).groupBy(key).applyInPandas(clean, clips.schema)
 
 
-def preprocessed(clips: DataFrame, key: str, fs: float, low: float = 0.5, high: float = 100.0, notch: float | None = 50.0, places: DataFrame | None = None, eye: list[str] | None = None, bad_limit: float = 3.0) -> dict[str, DataFrame]:
-    """Every stage of the usual preparation: raw, filtered, interpolated (with `places`), ica_cleaned (with `eye` channels), final (average reference). Nothing runs until a stage is used."""
+def preprocessed(clips: DataFrame, key: str, fs: float, low: float = 0.5, high: float = 100.0, notch: float | None = 50.0, places: DataFrame | None = None, eye: list[str] | None = None, bad_limit: float = 3.0, in_parts: bool = False) -> dict[str, DataFrame]:
+    """Every stage of the usual preparation, independent components of long recordings `in_parts`: raw, filtered, interpolated (with `places`), ica_cleaned (with `eye` channels), final (average reference). Nothing runs until a stage is used."""
     stages = {"raw": clips, "filtered": filtered(clips, fs, low, high, notch)}
     now = stages["filtered"]
     if places is not None:
         now = stages["interpolated"] = interpolated(bad_channels(now, key, bad_limit), key, places).select(clips.columns)
     if eye:
-        now = stages["ica_cleaned"] = without_artifacts(now, key, fs, eye)
+        from sigweave.operators import components
+
+        now = stages["ica_cleaned"] = (components.without_artifacts if in_parts else without_artifacts)(now, key, fs, eye)
     stages["final"] = average_reference(now, key).select(clips.columns)
     return stages
 

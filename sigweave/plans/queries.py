@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sigweave import dims
+from sigweave import dims, scratch
 from sigweave.sources import artifacts, bids, variants
 from sigweave.operators import binning, calibration, kernel, metrics, prompts, ranks, sampling, segment, spectral, tokens
 
@@ -184,7 +182,18 @@ def bin_counts_five(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binning.fit_transform(line_features(spark, sf_dir), n_bins=5).groupBy("feature", "bin_idx", "level").agg(F.count("*").alias("n"))
 
 
-@query()
+SQL_KMEANS = f"""RECURSIVE {SQL_LINES}, val AS (SELECT feature, value, count(*) AS n FROM long GROUP BY ALL),
+sp AS (SELECT feature, min(value) AS lo, max(value) AS hi, 1e-4 * (sum(n * value * value) / sum(n) - pow(sum(n * value) / sum(n), 2)) AS lim FROM val GROUP BY 1),
+km AS (SELECT 0 AS round, feature, lim, list_transform([0, 1, 2], lambda i: lo + (hi - lo) * (i + 0.5) / 3) AS c, false AS done FROM sp
+  UNION ALL SELECT round + 1, feature, lim, list_sort(new), list_sum(list_transform([1, 2, 3], lambda i: pow(new[i] - c[i], 2))) <= lim
+  FROM (SELECT round, feature, lim, c, [coalesce(max(m) FILTER (i = 1), c[1]), coalesce(max(m) FILTER (i = 2), c[2]), coalesce(max(m) FILTER (i = 3), c[3])] AS new
+    FROM (SELECT round, feature, lim, c, 1 + (value >= (c[1] + c[2]) / 2)::INT + (value >= (c[2] + c[3]) / 2)::INT AS i, sum(n * value) / sum(n) AS m FROM km JOIN val USING (feature) WHERE NOT done AND round < 300 GROUP BY ALL) GROUP BY round, feature, lim, c)),
+fin AS (SELECT feature, arg_max(c, round) AS c FROM km GROUP BY 1),
+q AS (SELECT feature, [lo, (c[1] + c[2]) / 2, (c[2] + c[3]) / 2, hi] AS q FROM fin JOIN sp USING (feature)),
+rules AS (SELECT feature, q[1] = q[4] AS flat, list_filter(q, lambda x, i: i = 1 OR x - q[i-1] > 1e-8) AS e FROM q)"""
+
+
+@query(f"""WITH {SQL_KMEANS}, {sql_bin(3)} SELECT feature, bin_idx::INT AS bin_idx, level, count(*) AS n FROM binned GROUP BY ALL""")
 def bin_counts_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binning.fit_transform(line_features(spark, sf_dir), strategy="kmeans").groupBy("feature", "bin_idx", "level").agg(F.count("*").alias("n"))
 
@@ -922,20 +931,10 @@ def event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("malformed").alias("n_malformed"), F.sum("k").alias("total"), F.sum("deep").alias("deep"), F.count_if(kind).alias("n_texts"))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder of `spark.checkpoint.dir`; in local mode without one, in a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"""WITH {SQL_LINES}, {sql_edges(3)} SELECT feature, len(e) - 1 AS n_bins, round(list_sum(e), 4) + 0.0 AS total FROM rules""")
 def stored_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binning rules written as JSON and read back."""
-    path = scratch(spark, "rules")
+    path = scratch.folder(spark, "rules")
     artifacts.save_rules(binning.fit(line_features(spark, sf_dir)), path)
     back = artifacts.load_rules(spark, path)
     return back.select("feature", (F.size("edges") - 1).cast("long").alias("n_bins"), rounded(F.aggregate("edges", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
@@ -944,7 +943,7 @@ def stored_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents WHERE doc_id % 5 = 0")
 def stored_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The test part of documents written with a folder a part; the other part isn't read."""
-    path = scratch(spark, "split")
+    path = scratch.folder(spark, "split")
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
     artifacts.save_splits(rows, path)
     return artifacts.load_split(spark, path, "test")
@@ -953,7 +952,7 @@ def stored_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS token, count(*) AS freq FROM events GROUP BY 1")
 def stored_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vocabulary written and read back, without its special tokens."""
-    path = scratch(spark, "vocabulary")
+    path = scratch.folder(spark, "vocabulary")
     artifacts.save_vocabulary(tokens.vocabulary(table(spark, sf_dir, "events").select(F.col("event_type").alias("token"))), path)
     return artifacts.load_vocabulary(spark, path).filter(~F.col("token").isin(dims.SPECIAL_TOKENS)).select("token", "freq")
 
