@@ -19,11 +19,12 @@ calibrates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigweave.llm.line_dedup import let
@@ -60,21 +61,25 @@ AROUND = 12
 HINTS = r"(?i)mail|phone|tel|call|card|contact|\bip\b|addr|fax|visa"
 #: Matches whose places are summed up at a time.
 PART = 128
+#: What `spans` returns.
+NONE = "array<struct<start:int,end:int,s:string,before:string,after:string>>"
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, s) of a pattern's matches, leftmost and not overlapping; code points, end exclusive.
+    """Array of (start, end, s, before, after) of a pattern's matches, leftmost and not overlapping; code points, end exclusive.
 
-    Places are sums of lengths, taken part by part, so that the work is near linear in the matches.
+    Places are sums of lengths, taken part by part, so that the work is near linear in
+    the matches. `before` and `after` are up to AROUND characters beside a match, back
+    to the start of the match before it and on to the end of the next one; so no match
+    is looked up in the whole text again.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rest = F.split(text, pattern, -1)
-    found = "array<struct<start:int,end:int,s:string>>"
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("rest"))
+    found = NONE
 
     def one(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["s"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s")))).alias("found"))
+        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), *(x[k].alias(k) for k in ("s", "before", "after"))))).alias("found"))
 
     def placed(met: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(met) - 1) / PART).cast("int")), lambda k: F.slice(met, k * PART + 1, F.lit(PART)))
@@ -86,7 +91,16 @@ def spans(text: Column, pattern: str) -> Column:
         begin = lambda at: F.struct(at.alias("at"), F.array().cast(found).alias("found"))
         return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), lambda p, at: F.aggregate(p, begin(at), one, lambda acc: acc["found"])))
 
-    met = let(hits, lambda h: F.zip_with(F.slice(rest, F.lit(1), F.size(h)), h, lambda gap, s: F.struct(gap.alias("gap"), s.alias("s"))))
+    def beside(b: Column) -> Column:
+        def one_hit(s: Column, i: Column) -> Column:
+            near = lambda row, k: F.coalesce(F.get(row, k), F.lit(""))
+            before = F.right(F.concat(near(b["hits"], i - 1), near(b["rest"], i)), F.lit(AROUND))
+            after = F.left(F.concat(near(b["rest"], i + 1), near(b["hits"], i + 1)), F.lit(AROUND))
+            return F.struct(near(b["rest"], i).alias("gap"), s.alias("s"), before.alias("before"), after.alias("after"))
+
+        return F.transform(b["hits"], one_hit)
+
+    met = let(both, beside)
     return let(met, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(F.array().cast(found)))
 
 
@@ -109,32 +123,37 @@ def valid(kind: str, s: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _kinds(found: dict[str, Column]) -> Column:
-    """One array of (kind number, start, end, s)."""
-
-    def named(i: int, hits: Column) -> Column:
-        return F.transform(hits, lambda x: F.struct(F.lit(i).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s")))
-
-    return F.concat(*(named(i, found[k]) for i, k in enumerate(KINDS)))
-
+def _numbered(hits: Column, fields: tuple[str, ...], **numbers: int) -> Column:
+    """The matches with their kind's number, some of their fields, and further numbers."""
+    return F.transform(hits, lambda x: F.struct(F.lit(numbers["kind"]).alias("kind"), *(x[k].alias(k) for k in fields), *(F.lit(v).alias(k) for k, v in numbers.items() if k != "kind")))
 
-NONE = "array<struct<start:int,end:int,s:string>>"
 
-
-def base_spans(text: Column) -> Column:
-    """What the rules find: an array of (kind, start, end, s)."""
+def base_spans(text: Column, *around: str) -> Column:
+    """What the rules find: an array of (kind, start, end, s), with `before` and `after` if they are named."""
 
     def of(kind: str) -> Column:
         hits = F.filter(spans(text, RULES[kind]), lambda x: valid(kind, x["s"]))
         return F.coalesce(F.when(text.rlike(NEEDS[kind]), hits), F.array().cast(NONE))
 
-    return _kinds({k: of(k) for k in KINDS})
+    return F.concat(*(_numbered(of(k), ("start", "end", "s", *around), kind=i) for i, k in enumerate(KINDS)))
+
+
+#: Kind and pattern of each generator.
+GENERATORS = [(i, g) for i, k in enumerate(KINDS) for g in LOOSE[k]]
 
 
 def candidates(text: Column) -> Column:
-    """What the generators propose, of any overlap: an array of (kind, start, end, s)."""
-    found = {k: F.coalesce(F.when(text.rlike(NEEDS[k]), F.concat(*(spans(text, g) for g in LOOSE[k]))), F.array().cast(NONE)) for k in KINDS}
-    return F.array_distinct(_kinds(found))
+    """What the generators propose: an array of (kind, start, end, s, before, after, by).
+
+    `by` numbers the generator, whose own proposals ascend and don't overlap; those of
+    different ones may, and may be equal.
+    """
+
+    def of(by: int, kind: int, pattern: str) -> Column:
+        hits = F.coalesce(F.when(text.rlike(NEEDS[KINDS[kind]]), spans(text, pattern)), F.array().cast(NONE))
+        return _numbered(hits, ("start", "end", "s", "before", "after"), kind=kind, by=by)
+
+    return F.concat(*(of(by, kind, pattern) for by, (kind, pattern) in enumerate(GENERATORS)))
 
 
 def plain(kind: Column, s: Column) -> Column:
@@ -151,8 +170,50 @@ def accepted(kind: Column, s: Column) -> Column:
     return F.when(kind == 0, whole[0]).when(kind == 1, whole[1]).when(kind == 2, whole[2]).otherwise(whole[3])
 
 
-def overlap(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def count_below(row: Column, value: Callable[[Column], Column], bound: Column) -> Column:
+    """How many of a row's ascending values are less than the bound, found by halving."""
+    middle = lambda acc: F.shiftright(acc["lo"] + acc["hi"], 1)
+
+    def halved(acc: Column, _: Column) -> Column:
+        upper, lower = F.struct((middle(acc) + 1).alias("lo"), acc["hi"].alias("hi")), F.struct(acc["lo"].alias("lo"), middle(acc).alias("hi"))
+        return F.when(acc["lo"] >= acc["hi"], acc).when(value(F.get(row, middle(acc))) < bound, upper).otherwise(lower)
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(row) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(row).alias("hi")), halved, lambda acc: acc["lo"])
+
+
+def parted(found: Column, by: str, n: int) -> Column:
+    """A struct of n arrays p0, p1 ...: the spans of each number in the field `by`."""
+    of = lambda i: F.filter(found, lambda x: x[by] == i)
+    return F.struct(*(of(i).alias(f"p{i}") for i in range(n)))
+
+
+def apart(loose: Column, base: Column) -> Column:
+    """The candidates that overlap no rule's span; each is held against the last span of each kind that starts before its end."""
+
+    def free(c: Column, row: Column) -> Column:
+        last = F.get(row, count_below(row, lambda x: x["start"], c["end"]) - 1)
+        return F.coalesce(last["end"] <= c["start"], F.lit(True))
+
+    return let(parted(base, "kind", len(KINDS)), lambda rows: F.filter(loose, lambda c: reduce(Column.__and__, (free(c, rows[f"p{i}"]) for i in range(len(KINDS))))))
+
+
+def likeliest(scored: Column, rank: Callable[[Column], Column]) -> Column:
+    """Of scored candidates (`c` and `by` among their fields) those that overlap none of a higher rank.
+
+    The proposals of one generator don't overlap, so those that overlap a candidate
+    stand side by side; over all candidates they are as many as both lists together.
+    """
+
+    def beaten(j: Column, row: Column) -> Column:
+        start, end = count_below(row, lambda x: x["c"]["end"], j["c"]["start"] + 1), count_below(row, lambda x: x["c"]["start"], j["c"]["end"])
+        met = F.struct(start.alias("start"), end.alias("end"))
+        return let(met, lambda m: F.when(m["start"] < m["end"], F.exists(F.sequence(m["start"], m["end"] - 1), lambda k: rank(F.get(row, k)) > rank(j))).otherwise(F.lit(False)))
+
+    def of(rows: Column) -> Column:
+        return F.filter(scored, lambda j: ~reduce(Column.__or__, (beaten(j, rows[f"p{i}"]) for i in range(len(GENERATORS)))))
+
+    return let(parted(scored, "by", len(GENERATORS)), of)
 
 
 #: Four numbers of at most 255, whatever stands between them.
@@ -195,15 +256,15 @@ class Tree:
         return F.when(f[self.top[0]] > self.top[1], leaf(1)).otherwise(leaf(0))
 
 
-def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[int, float] | None:
-    """The cut that most raises the second-order gain of the rows `at`."""
+def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[int, float] | None:
+    """The cut that most raises the second-order gain of the rows `at`, which count `w` times each."""
     best, most = None, 1e-6
     total = g[at].sum() ** 2 / (h[at].sum() + 1)
     for k in range(x.shape[1]):
         for cut in np.unique(x[at, k])[:-1]:
             left = at & (x[:, k] <= cut)
             right = at & ~left
-            if min(left.sum(), right.sum()) >= LEAF:
+            if min(w[left].sum(), w[right].sum()) >= LEAF:
                 gain = g[left].sum() ** 2 / (h[left].sum() + 1) + g[right].sum() ** 2 / (h[right].sum() + 1) - total
                 if gain > most:
                     best, most = (k, float(cut)), gain
@@ -239,32 +300,33 @@ class Chooser:
         return 1 / (1 + F.exp(-z))
 
     @classmethod
-    def fitted(cls, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Chooser:
-        """Boosts trees of depth two for each kind on the rows that aren't held out; these calibrate."""
+    def fitted(cls, x: np.ndarray, y: np.ndarray, held: np.ndarray, w: np.ndarray | None = None) -> Chooser:
+        """Boosts trees of depth two for each kind on the rows that aren't held out; these calibrate. A row counts `w` times (once, if none are given)."""
+        w = np.ones(len(y)) if w is None else w
         model = cls([[] for _ in KINDS], [0.0] * len(KINDS), [None] * len(KINDS))
         for kind in range(len(KINDS)):
             own = x[:, -1] == kind
-            model._boost(kind, x[own & ~held], y[own & ~held])
+            model._boost(kind, x[own & ~held], y[own & ~held], w[own & ~held])
             at = own & held
-            if min((y[at] == 1).sum(), (y[at] == 0).sum()) >= LEAF:
-                model.odds[kind] = _platt(model.score(kind, x[at]), y[at])
+            if min(w[at & (y == 1)].sum(), w[at & (y == 0)].sum()) >= LEAF:
+                model.odds[kind] = _platt(model.score(kind, x[at]), y[at], w[at])
         return model
 
-    def _boost(self, kind: int, x: np.ndarray, y: np.ndarray) -> None:
-        share = np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99)
+    def _boost(self, kind: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
+        share = np.clip(np.average(y, weights=w) if len(y) else 0.5, 0.01, 0.99)
         self.starts[kind] = float(np.log(share / (1 - share)))
         z = np.full(len(y), self.starts[kind])
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-z))
-            g, h = y - p, p * (1 - p)
+            g, h = w * (y - p), w * p * (1 - p)
             worth = lambda at: float(RATE * g[at].sum() / (h[at].sum() + 1))  # noqa: B023, E731
-            top = _split(x, g, h, np.ones(len(y), bool))
+            top = _split(x, g, h, w, np.ones(len(y), bool))
             if top is None:
                 break
             right = x[:, top[0]] > top[1]
             sides, leaves = [], []
             for at in (~right, right):
-                split = _split(x, g, h, at)
+                split = _split(x, g, h, w, at)
                 sides.append(split)
                 deep = at & (x[:, split[0]] > split[1]) if split else np.zeros(len(y), bool)
                 leaves.append([worth(at & ~deep), worth(deep) if deep.any() else 0.0])
@@ -272,15 +334,16 @@ class Chooser:
             z = z + self.trees[kind][-1].score(x)
 
 
-def _platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic regression of y on z, by Newton steps that never raise the loss; labels are drawn in a little, so a clean split stays finite."""
-    t = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
+def _platt(z: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and offset of a logistic regression of y on z, whose rows count n times each, by Newton steps that never raise the loss; labels are drawn in a little, so a clean split stays finite."""
+    yes, no = n[y == 1].sum(), n[y == 0].sum()
+    t = np.where(y == 1, (yes + 1) / (yes + 2), 1 / (no + 2))
     x = np.stack([z, np.ones(len(z))], 1)
-    loss = lambda w: float((np.logaddexp(0, x @ w) - t * (x @ w)).sum() + 1e-3 * w[0] ** 2)
+    loss = lambda w: float((n * (np.logaddexp(0, x @ w) - t * (x @ w))).sum() + 1e-3 * w[0] ** 2)
     w = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 2e-3 * np.eye(2), x.T @ (p - t) + 2e-3 * np.array([w[0], 0]))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 2e-3 * np.eye(2), x.T @ (n * (p - t)) + 2e-3 * np.array([w[0], 0]))
         size = 1.0
         while size > 1e-6 and loss(w - size * step) > loss(w):
             size /= 2
@@ -309,33 +372,57 @@ def rewritten(kind: Column, s: Column) -> Column:
 
 #: The form of each kind that the trees don't see.
 UNSEEN = 3
+#: Spans of each kind, of names and numbers set aside for examples. They teach beside the corpus' own, so that a kind is judged
+#: however few of it a corpus holds; a corpus of some size outweighs them.
+KNOWN = {
+    "email": ["jane.doe@example.org", "max@example.com", "a_b+c@mail.example.net", "info@example.edu", "x.y.z@sub.example.org", "team-1@example.com"],
+    "ip": ["192.0.2.1", "198.51.100.27", "203.0.113.250", "10.0.0.1", "172.16.254.3", "192.168.1.77"],
+    "card": ["4111111111111111", "5555555555554444", "378282246310005", "6011111111111117", "30569309025904", "4222222222222"],
+    "phone": ["+1 202 555 0143", "+44 20 7946 0958", "+49 30 23125 042", "+1 (415) 555-0199", "+33 1 99 00 12 34", "+61 2 5550 1234"],
+}
+#: What looks like them and isn't: prices, and too few digits for a telephone.
+NEVER = {
+    "email": ["2 @ 3.50", "10 @ 1.99", "5 @ 0.75", "12 @ 4.5", "100 @ 2.25", "7 @ 19.95"],
+    "phone": ["(1234/5678", "(2020 - 2021", "0012345.678", "00 1234 5678", "(12.34.56.78", "+12 34 56 78"],
+}
+#: What stands before and after each of them.
+SAID = [(" write to ", " today"), ("contact: ", "."), ("", ""), (" (", ") ")]
+
+
+def known(spark: SparkSession, table: dict[str, list[str]]) -> DataFrame:
+    """Columns doc_id (null), held, kind, s, __d, before, after of the entries of KNOWN or NEVER in every surrounding of SAID; half of the entries are held out."""
+    rows = [(j % 2 == 1, KINDS.index(k), s, before[-AROUND:], after) for k, entries in table.items() for j, s in enumerate(entries) for before, after in SAID]
+    made = spark.createDataFrame(rows, "held boolean, kind int, s string, before string, after string")
+    return made.select(F.lit(None).cast("long").alias("doc_id"), "held", "kind", "s", digits_of(F.col("s")).alias("__d"), "before", "after")
 
 
 def examples(docs: DataFrame) -> DataFrame:
     """Columns y, held and FEATURES of the candidates of a bounded sample: rewritten spans of the rules, and candidates that no rule accepts in any form."""
     some = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(hashed_share("doc_id", SAMPLED, docs.count()) & F.col("text").rlike("[0-9@]"))
-    found = stored(some.select("doc_id", "text", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("loose")), "spans")
-    around = [F.expr(f"substring(text, greatest(c.start - {AROUND}, 0) + 1, least(c.start, {AROUND}))").alias("before"), F.expr(f"substring(text, c.end + 1, {AROUND})").alias("after")]
-    yes = found.select("doc_id", "text", F.explode("base").alias("c")).select("doc_id", F.col("c.kind").alias("kind"), F.col("c.s").alias("s"), digits_of(F.col("c.s")).alias("__d"), *around)
-    yes = yes.select("doc_id", "kind", "before", "after", F.inline(rewritten(F.col("kind"), F.col("s"))))
+    found = stored(some.select("doc_id", base_spans(F.col("text"), "before", "after").alias("base"), candidates(F.col("text")).alias("loose")), "spans")
+    around = [F.col("c.before").alias("before"), F.col("c.after").alias("after")]
+    yes = found.select("doc_id", F.explode("base").alias("c")).select("doc_id", F.col("c.kind").alias("kind"), F.col("c.s").alias("s"), digits_of(F.col("c.s")).alias("__d"), *around)
+    held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 1
+    yes = yes.select("doc_id", held.alias("held"), "kind", "s", "__d", "before", "after").union(known(docs.sparkSession, KNOWN))
+    yes = yes.select("doc_id", "held", "kind", "before", "after", F.inline(rewritten(F.col("kind"), F.col("s"))))
     # only what a generator would propose as a whole
     proposed = lambda k: reduce(Column.__or__, (F.regexp_extract(F.col("s"), g, 0) == F.col("s") for g in LOOSE[k]))
     yes = yes.filter(F.when(F.col("kind") == 0, proposed("email")).when(F.col("kind") == 1, proposed("ip")).when(F.col("kind") == 2, proposed("card")).otherwise(proposed("phone")))
-    no = found.select("doc_id", "text", F.explode(F.filter("loose", lambda c: ~F.exists("base", lambda b: overlap(b, c)))).alias("c"))
-    no = no.select("doc_id", F.col("c.kind").alias("kind"), *around, F.col("c.s").alias("s"), F.lit(0.0).alias("y"), F.lit(-1).alias("form")).filter(~F.coalesce(accepted(F.col("kind"), plain(F.col("kind"), F.col("s"))), F.lit(False)))
-    rows = yes.union(no).distinct()
-    held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 1
+    no = found.select("doc_id", F.explode(apart(F.col("loose"), F.col("base"))).alias("c"))
+    no = no.select("doc_id", held.alias("held"), F.col("c.kind").alias("kind"), *around, F.col("c.s").alias("s"), F.lit(0.0).alias("y"), F.lit(-1).alias("form")).filter(~F.coalesce(accepted(F.col("kind"), plain(F.col("kind"), F.col("s"))), F.lit(False)))
+    never = known(docs.sparkSession, NEVER).select("doc_id", "held", "kind", "before", "after", "s", F.lit(0.0).alias("y"), F.lit(-1).alias("form"))
+    rows = yes.union(no.select(yes.columns)).union(never).distinct()
     named = [f.alias(n) for f, n in zip(features(F.col("kind"), F.col("s"), F.col("before"), F.col("after")), FEATURES, strict=True)]
-    return rows.filter(held | (F.col("form") != UNSEEN)).select("y", held.alias("held"), *named)
+    return rows.filter(F.col("held") | (F.col("form") != UNSEEN)).select("y", "held", *named)
 
 
 def train(docs: DataFrame) -> Chooser:
     """Learns from `examples`; equal ones are counted, so what comes to the driver are their distinct kinds."""
     rows = examples(docs).groupBy("y", "held", *FEATURES).agg(F.count("*").alias("n")).collect()
     rows = sorted(tuple(r) for r in rows)
-    x = np.repeat(np.array([r[2:-1] for r in rows], float).reshape(-1, len(FEATURES)), [r[-1] for r in rows], axis=0)
-    y, held = (np.repeat(np.array([r[k] for r in rows], float), [r[-1] for r in rows]) for k in (0, 1))
-    return Chooser.fitted(x, y, held == 1)
+    x = np.array([r[2:-1] for r in rows], float).reshape(-1, len(FEATURES))
+    y, held, n = (np.array([r[k] for r in rows], float) for k in (0, 1, -1))
+    return Chooser.fitted(x, y, held == 1, n)
 
 
 SPAN = "array<struct<kind:int,start:int,end:int,s:string>>"
@@ -347,17 +434,17 @@ def _with_spans(docs: DataFrame, model: Chooser | None) -> DataFrame:
     out = docs.withColumn("__base", base_spans(said))
     if model is None or not any(model.odds):
         return out.withColumn("__added", F.array().cast(SPAN))
-    out = out.withColumn("__loose", F.filter(candidates(said), lambda c: ~F.exists("__base", lambda b: overlap(b, c))))
+    out = out.withColumn("__all", candidates(said))
+    out = out.withColumn("__loose", F.when(F.size("__all") > 0, apart(F.col("__all"), F.col("__base"))))
 
     def judged(c: Column) -> Column:
-        before = F.substring(said, F.greatest(c["start"] - AROUND, F.lit(0)) + 1, F.least(c["start"], F.lit(AROUND)))
-        made = let(F.array(*features(c["kind"], c["s"], before, F.substring(said, c["end"] + 1, F.lit(AROUND)))), lambda f: model.probability_column([F.get(f, F.lit(k)) for k in range(len(FEATURES))]))
-        return F.struct(F.round(made, 6).alias("p"), (c["end"] - c["start"]).alias("size"), (-c["start"]).alias("back"), (-c["kind"]).alias("order"), c.alias("c"))
+        made = let(F.array(*features(c["kind"], c["s"], c["before"], c["after"])), lambda f: model.probability_column([F.get(f, F.lit(k)) for k in range(len(FEATURES))]))
+        return F.struct(F.round(made, 6).alias("p"), (c["end"] - c["start"]).alias("size"), (-c["start"]).alias("back"), (-c["by"]).alias("order"), c["by"].alias("by"), c.alias("c"))
 
     out = out.withColumn("__scored", F.when(F.size("__loose") > 0, F.filter(F.transform("__loose", judged), lambda j: j["p"] >= PROBABLE)))
     rank = lambda j: F.struct(j["p"], j["size"], j["back"], j["order"])
-    kept = F.transform(F.filter("__scored", lambda j: ~F.exists("__scored", lambda o: overlap(o["c"], j["c"]) & (rank(o) > rank(j)))), lambda j: j["c"])
-    return out.withColumn("__added", F.coalesce(kept, F.array().cast(SPAN))).drop("__loose", "__scored")
+    kept = F.transform(likeliest(F.col("__scored"), rank), lambda j: F.struct(*(j["c"][k].alias(k) for k in ("kind", "start", "end", "s"))))
+    return out.withColumn("__added", F.coalesce(F.when(F.size("__scored") > 0, kept), F.array().cast(SPAN))).drop("__all", "__loose", "__scored")
 
 
 def found(docs: DataFrame, model: Chooser | None) -> DataFrame:
