@@ -152,11 +152,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each component the one of the least doc_id; columns as they came, one row for a repeated doc_id."""
+    """The documents that stay: of each component the one of the least doc_id; columns as they came.
+
+    Of rows that repeat a doc_id one stays, whichever task runs again: one with a text
+    before those without, then that of the least digest of the text, then that whose
+    columns as JSON come first.
+    """
     kept = stored(near_duplicates(docs).filter("kept").select("doc_id").distinct(), "kept")
     found = sized_join(docs.filter("doc_id is not null"), kept, ["doc_id"], "left_semi")
     repeated = stored(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     if not repeated.isEmpty():
-        again = sized_join(found, repeated, ["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-        found = sized_join(found, repeated, ["doc_id"], "left_anti").union(again)
-    return found.union(docs.filter("doc_id is null")).select(docs.columns)
+        first = F.struct(F.col("text").isNull(), F.sha2("text", 256), F.to_json(F.struct(*columns)))
+        again = sized_join(found, repeated, ["doc_id"], "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*columns), first).alias("__row")).select("__row.*")
+        found = sized_join(found, repeated, ["doc_id"], "left_anti").select(columns).union(again)
+    return found.select(columns).union(docs.filter("doc_id is null"))

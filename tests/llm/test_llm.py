@@ -785,6 +785,16 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_row_kept_of_a_repeated_id(spark):
+    rows = [(1, "a b c d e f", 5), (1, "g h i j k l", 4), (1, None, 3), (2, "a b c d e f", 9), (3, None, 8), (3, None, 7), (None, None, 1)]
+    schema = "doc_id long, text string, `n.x` long"
+    first = min([t for k, t, _ in rows if k == 1 and t], key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    for n in range(2):
+        frame = spark.createDataFrame(random.Random(n).sample(rows, len(rows)), schema).repartition(n + 1)
+        out = {r[0]: (r[1], r[2]) for r in near_dup.drop_near_duplicates(frame.withColumn("map", F.create_map(F.lit("k"), "doc_id"))).collect()}
+        assert out == {1: next((t, x) for k, t, x in rows if k == 1 and t == first), 3: (None, 7), None: (None, 1)}
+
+
 def test_bands_meet_at_the_threshold():
     """Pairs of similarity exactly 0.75 share a band, and unrelated long sets don't."""
     rng = np.random.default_rng(10)
