@@ -104,6 +104,9 @@ STEPS = ("Step 1: Analyze EEG features", "\nStep 2: Interpret spatial patterns",
 ASK = "Please classify this EEG motor imagery pattern: "
 ANSWER = "Based on the EEG patterns, this represents "
 
+#: Peak-to-peak limits (volts) by kind of channel, above which an epoch is rejected.
+REJECT = {"eeg": 100e-6, "eog": 150e-6}
+
 
 def levels(n_bins: int) -> list[str]:
     """Names of the bins, lowest first."""

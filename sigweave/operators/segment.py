@@ -66,6 +66,19 @@ def kept_epochs(rows: DataFrame, epoch: list[str], channel: str, limit: float |
     return rows.join(worst.select(*epoch), epoch, "left_anti")
 
 
+def kept_by_kind(rows: DataFrame, epoch: list[str], channel: str, kind: str, limits: dict[str, float]) -> DataFrame:
+    """Epochs of which no channel's peak-to-peak amplitude is over the limit of its kind; kinds without a limit aren't judged.
+
+    The rows go to one group for each channel of an epoch; only the rejected epochs meet them again.
+    """
+    if not limits:
+        return rows
+    allowed = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))
+    span = rows.groupBy(*epoch, channel, kind).agg((F.max("v") - F.min("v")).alias("__span"))
+    over = span.filter(F.col("__span") > F.try_element_at(allowed, F.col(kind).cast("string"))).select(*epoch).distinct()
+    return rows.join(over, epoch, "left_anti").select(rows.columns)
+
+
 def epoch_info(rows: DataFrame, label: str, epoch: str, t: str) -> DataFrame:
     """Counts by class: epochs, samples, first and last time."""
     return rows.groupBy(label).agg(F.count_distinct(epoch).alias("n_epochs"), F.count("*").alias("n_samples"), F.min(t).alias("t_first"), F.max(t).alias("t_last"))

@@ -98,14 +98,16 @@ class Generator:
 
 @dataclass(frozen=True)
 class Segmenter:
-    """Seconds about an event, and the span that its baseline is taken from."""
+    """Seconds about an event, the span that its baseline is taken from, and the peak-to-peak limits by kind of channel."""
 
     tmin: float = -1.0
     tmax: float = 4.0
     baseline: tuple[float, float] | None = (-1.0, 0.0)
+    reject: dict[str, float] = field(default_factory=lambda: dict(dims.REJECT))
 
     def __post_init__(self) -> None:
         check(self.tmin < self.tmax, "tmin must lie before tmax")
+        check(all(v > 0 for v in self.reject.values()), "limits of rejection must be positive")
 
 
 @dataclass(frozen=True)

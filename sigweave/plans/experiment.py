@@ -35,10 +35,15 @@ def measured(predictions: DataFrame, n_classes: int) -> DataFrame:
     return scores.crossJoin(calibration.calibration_summary(predictions))
 
 
-def event_epochs(samples: DataFrame, markers: DataFrame, key: str, by: list[str], config: Config) -> DataFrame:
-    """Samples (key, t, v) about markers (key, marker_id, at) within the configuration's span, less the mean of its baseline if it names one; `by` tells epochs and channels apart."""
+def event_epochs(samples: DataFrame, markers: DataFrame, key: str, by: list[str], config: Config, channel: str = "channel", kind: str | None = None) -> DataFrame:
+    """Samples (key, t, v) about markers (key, marker_id, at) within the configuration's span, less the mean of its baseline if it names one; `by` tells epochs and channels apart.
+
+    If the samples say their channel's kind, epochs over the configuration's limits go.
+    """
     cut = config.segmenter
     rows = segment.epochs(samples, markers, key, cut.tmin, cut.tmax)
+    if kind:
+        rows = segment.kept_by_kind(rows, [c for c in by if c != channel], channel, kind, cut.reject)
     return segment.baseline_corrected(rows, by, *cut.baseline) if cut.baseline else rows
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sigweave import dims, scratch
 from sigweave.sources import artifacts, bids, variants
 from sigweave.operators import binning, calibration, kernel, metrics, prompts, ranks, sampling, segment, spectral, tokens
+from sigweave.streaming import drain, tokenize, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -393,7 +394,24 @@ def bad_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("epoch", "channel", rounded("variance_z", 5).alias("variance_z"), rounded("abs_z", 5).alias("abs_z"), "bad")
 
 
-@query()
+#: Spherical splines: the channels' places from their angles, Legendre sums between them, and for each bad channel
+#: the system of the good ones with its right side as a last column, reduced a column a step.
+SQL_SPLINES = f"""{SQL_BAD}, bc AS (SELECT epoch, channel, coalesce(vz > 1.6, false) OR coalesce(az > 1.6, false) AS bad FROM z),
+pl AS (SELECT c, cos(radians(f)) * sin(radians(o)) AS px, sin(radians(f)) AS py, cos(radians(f)) * cos(radians(o)) AS pz FROM (VALUES ('C3', 0, -36), ('C4', 0, 36), ('Cz', 0, 0), ('FCz', 18, 0)) t(c, f, o)),
+le AS (SELECT a.c AS c1, b.c AS c2, greatest(-1, least(1, a.px * b.px + a.py * b.py + a.pz * b.pz)) AS u, 1 AS n, u AS p, 1.0::DOUBLE AS before FROM pl a, pl b
+  UNION ALL SELECT c1, c2, u, n + 1, ((2 * n + 1) * u * p - n * before) / (n + 1), p FROM le WHERE n < 50),
+be AS (SELECT c1, c2, sum((2 * n + 1) / pow(n * (n + 1.0), 4) / (4 * pi()) * p) AS g FROM le GROUP BY ALL),
+go AS (SELECT epoch, channel, row_number() OVER (PARTITION BY epoch ORDER BY channel) AS i FROM bc WHERE NOT bad),
+ro AS (SELECT b.epoch, b.channel AS bad, r.i, list_concat(list(g.g + CASE WHEN r.i = c.i THEN 1e-5 ELSE 0 END ORDER BY c.i), [1.0::DOUBLE, any_value(h.g)]) AS row
+  FROM bc b JOIN go r ON b.epoch = r.epoch JOIN go c ON b.epoch = c.epoch JOIN be g ON g.c1 = r.channel AND g.c2 = c.channel JOIN be h ON h.c1 = r.channel AND h.c2 = b.channel WHERE b.bad GROUP BY ALL),
+gj AS (SELECT epoch, bad, 1 AS k, list_append(list(row ORDER BY i), list_concat(list_transform(range(count(*)), lambda x: 1.0::DOUBLE), [0.0::DOUBLE, 1.0::DOUBLE])) AS m FROM ro GROUP BY ALL
+  UNION ALL SELECT epoch, bad, k + 1, list_transform(m, lambda r, i: list_transform(r, lambda x, j: CASE WHEN i = k THEN x / m[k][k] ELSE x - r[k] * m[k][j] / m[k][k] END)) FROM gj WHERE k <= len(m)),
+wt AS (SELECT gj.epoch, gj.bad, go.channel, m[go.i][len(m) + 1] AS w FROM gj JOIN go ON gj.epoch = go.epoch WHERE k = len(m) + 1),
+made AS (SELECT wt.epoch, wt.bad AS channel, i.i AS i, sum(w * s[i.i + 1]) AS v FROM wt JOIN ch ON wt.epoch = ch.epoch AND wt.channel = ch.channel, range(64) i(i) GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_SPLINES}
+SELECT ch.epoch, ch.channel, i.i::INT AS i, round(coalesce(made.v, s[i.i + 1]), 6) + 0.0 AS v FROM ch CROSS JOIN range(64) i(i) LEFT JOIN made ON ch.epoch = made.epoch AND ch.channel = made.channel AND i.i = made.i""")
 def interpolated_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spectral.interpolated(spectral.bad_channels(channel_clips(spark, sf_dir), "epoch", 1.6), "epoch", spectral.positions_frame(spark, CHANNELS))
     return out.select("epoch", "channel", F.posexplode("samples").alias("i", "v")).withColumn("v", rounded("v"))
@@ -446,6 +464,19 @@ def segment_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.kept_epochs(event_epochs(spark, sf_dir), ["marker_id"], "event_type", 100.0).groupBy("marker_id").agg(F.count("*").alias("n"))
 
 
+#: Limits of two kinds of channel; the third kind has none.
+LIMITS = {"purchase": 60.0, "signup": 90.0}
+
+
+@query(f"""WITH {SQL_EPOCHS}, s AS (SELECT marker_id, event_type, max(v) - min(v) AS d FROM ep GROUP BY ALL),
+x AS (SELECT DISTINCT marker_id FROM s WHERE d > CASE event_type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in LIMITS.items())} END)
+SELECT marker_id, count(*) AS n FROM ep WHERE marker_id NOT IN (SELECT marker_id FROM x) GROUP BY 1""")
+def segment_reject_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epochs left by the limits of their channels' kinds."""
+    rows = event_epochs(spark, sf_dir).withColumn("kind", F.col("event_type"))
+    return segment.kept_by_kind(rows, ["marker_id"], "event_type", "kind", LIMITS).groupBy("marker_id").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {SQL_EVENTS} SELECT event_type, count(DISTINCT user_id) AS n_epochs, count(*) AS n_samples, round(min(t), 3) AS t_first, round(max(t), 3) AS t_last FROM ev GROUP BY 1""")
 def epoch_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.epoch_info(user_samples(spark, sf_dir), "event_type", "user_id", "t").withColumns({"t_first": rounded("t_first", 3), "t_last": rounded("t_last", 3)})
@@ -524,10 +555,10 @@ def sql_temperature(rounds: int = 5, points: int = 12) -> str:
         parts.append(f"g{r} AS (SELECT lo, hi, lo + (hi - lo) * i.i / {points - 1} AS t FROM b{r}, range({points}) i(i)), e{r} AS (SELECT t, vec_id, sum(exp(z / t)) FILTER (k = y) / sum(exp(z / t)) AS p FROM lm, g{r} GROUP BY ALL)")
         parts.append(f"n{r} AS (SELECT t, avg(-ln(p + 1e-15)) AS nll FROM e{r} GROUP BY 1), m{r} AS (SELECT arg_min(t, nll) AS t FROM n{r})")
         parts.append(f"b{r + 1} AS (SELECT greatest(lo, t - (hi - lo) / {points - 1}) AS lo, least(hi, t + (hi - lo) / {points - 1}) AS hi FROM b{r}, m{r})")
-    return "WITH " + ", ".join(parts) + f" SELECT round(t, 6) AS temperature, (SELECT round(nll, 6) FROM n{rounds - 1} ORDER BY nll LIMIT 1) AS nll FROM m{rounds - 1}"
+    return "WITH " + ", ".join(parts)
 
 
-@query(sql_temperature())
+@query(f"{sql_temperature()} SELECT round(t, 6) AS temperature, (SELECT round(nll, 6) FROM n4 ORDER BY nll LIMIT 1) AS nll FROM m4")
 def temperature_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted temperature and the loss under it."""
     rows = predictions(spark, sf_dir)
@@ -535,12 +566,20 @@ def temperature_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration.temperature_grid(rows, [t]).select(F.round(F.lit(t), 6).alias("temperature"), rounded("nll").alias("nll"))
 
 
-@query()
+SQL_FITTED = f"""{sql_temperature()}, ft AS (SELECT t FROM m4),
+pt AS (SELECT vec_id, y, k, exp(z / t) / sum(exp(z / t)) OVER (PARTITION BY vec_id) AS p FROM lm, ft), tt AS (SELECT vec_id, y, max(p) AS conf, arg_max(k, p) AS pred FROM pt GROUP BY ALL),
+tb AS (SELECT conf, (pred = y)::INT AS r, len(list_filter(range(10), lambda i: conf > i * (1.0::DOUBLE / 10))) - 1 AS bin FROM tt), ts AS (SELECT bin, count(*) AS size, avg(conf) AS conf, avg(r) AS acc FROM tb WHERE bin >= 0 GROUP BY 1),
+tl AS (SELECT avg(b) AS brier, avg(l) AS nll FROM (SELECT vec_id, sum(pow(p - (k = y)::INT, 2)) AS b, sum(-ln(p + 1e-15)) FILTER (k = y) AS l FROM pt GROUP BY 1))"""
+
+
+@query(f"""{SQL_FITTED} SELECT round(sum(abs(conf - acc) * size) / sum(size), 6) AS ece, round(avg(abs(conf - acc)), 6) AS ace, round(max(abs(conf - acc)), 6) AS mce,
+(SELECT round(brier, 6) FROM tl) AS brier, (SELECT round(nll, 6) FROM tl) AS nll, (SELECT round(t, 6) FROM ft) AS temperature FROM ts""")
 def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss and calibration of the predictions under the fitted temperature."""
     rows = predictions(spark, sf_dir)
     t = calibration.fit_temperature(rows)
-    return calibration.calibration_summary(rows.withColumn("probs", calibration.softmax(F.col("logits"), t))).withColumn("temperature", F.lit(t))
+    out = calibration.calibration_summary(rows.withColumn("probs", calibration.softmax(F.col("logits"), t))).withColumn("temperature", F.lit(t))
+    return out.select(*(rounded(c).alias(c) for c in out.columns))
 
 
 @query(f"WITH {SQL_PRED} SELECT vec_id, k, round(p / sum(p) OVER (PARTITION BY vec_id), 6) + 0.0 AS p FROM pr")
@@ -966,3 +1005,48 @@ def epoch_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("epoch"), F.get(F.array(*map(F.lit, CHANNELS)), (F.col("vec_id") % 4).cast("int")).alias("channel"), (F.col("label") % 4).alias("y"), F.posexplode("embedding").alias("i", "v"))
     rows = rows.select("epoch", "channel", "y", (F.col("i") / FS).alias("rel"), F.col("v").cast("double").alias("v"))
     return segment.epoch_table(rows, "epoch", "channel", "rel", "v", "y", CHANNELS, TIMES)
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, at, feature_name, value of the events as a stream."""
+    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream's plain path must be a folder
+    at = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))"))
+    return rows.select("event_id", at.alias("at"), F.lit("value").alias("feature_name"), "value")
+
+
+def event_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binning.fit(table(spark, sf_dir, "events").select(F.lit("value").alias("feature"), "value"))
+
+
+SQL_STREAMED = f"""long AS (SELECT event_id, epoch_us(ts) AS us, 'value' AS feature, value FROM events), {sql_edges(3)}, {sql_bin(3)},
+tk AS (SELECT event_id, us, concat_ws('_', feature, CASE WHEN value IS NOT NULL THEN level END) AS token FROM binned)"""
+
+
+@query(f"WITH {SQL_STREAMED} SELECT event_id, token FROM tk")
+def streamed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of streamed events under rules fitted before."""
+    out = tokenize.tokenized(streamed_events(spark, sf_dir), event_rules(spark, sf_dir), "feature_name", "value")
+    return drain.drained(out.select("event_id", "token"), "tokens")
+
+
+@query(f"""WITH {SQL_STREAMED} SELECT us // 86400000000 AS day, token, count(*) AS n FROM tk
+WHERE (us // 86400000000 + 1) * 86400000 <= (SELECT max(us) // 1000 FROM tk) - 60000 GROUP BY ALL""")
+def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens a day, of the days that lie behind the watermark when the stream has been read."""
+    out = tokenize.windowed_counts(tokenize.tokenized(streamed_events(spark, sf_dir), event_rules(spark, sf_dir), "feature_name", "value"), "at", "1 day", "1 day")
+    return drain.drained(out.select(F.expr("unix_micros(window.start) div 86400000000").alias("day"), "token", "n"), "counts")
+
+
+@query(SQL["sliding_segments"])
+def streamed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows as `sliding_segments`, from samples that are dealt over files and arrive as a stream in no order."""
+    numbered = user_samples(spark, sf_dir).select("user_id", "seq", "v", F.timestamp_micros("us").alias("at"))
+    path = scratch.folder(spark, "samples")
+    numbered.repartition(F.xxhash64("user_id", "seq")).write.parquet(path)
+    stream = spark.readStream.schema(numbered.schema).option("maxBytesPerTrigger", 4 << 30).parquet(path)
+    out = drain.drained(windows.full_windows(stream, "user_id", "seq", "v", "at", 8, 4, "3650 days"), "windows")
+    mean = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x) / F.size("samples")
+    return out.select("user_id", "window_idx", rounded(mean).alias("mean_v"), F.size("samples").cast("long").alias("n"))
