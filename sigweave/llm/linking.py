@@ -70,13 +70,15 @@ class Bound:
     with any other of the frame, and how much that is. `pair(info, cap, info, cap)` says
     whether two ids may be linked; `any_of(info, cap, least)` whether one may be linked
     with any id whose info is at least `least`; both only rule out what is impossible.
-    `exact(info, shared, info, shared)` says whether two ids are linked.
+    `exact(info, shared, info, shared)` says whether two ids are linked, or, where
+    `sure` is false, whether they may be, and those that may are tested.
     """
 
     caps: Callable[[DataFrame], DataFrame]
     pair: Callable[[Column, Column, Column, Column], Column]
     any_of: Callable[[Column, Column, Column], Column]
     exact: Callable[[Column, Column, Column, Column], Column]
+    sure: bool = True
 
 
 def hot_keys(rows: DataFrame) -> DataFrame:
@@ -124,6 +126,7 @@ def linked(rows: DataFrame, test: Test, bound: Bound | None = None, rounds: int
         now = open_rows(now, step, 2)
         if bound:
             if step == 1:
+                now = stored(now, "met")
                 capped = stored(bound.caps(stored(now.select("id").distinct(), "ids")), "capped")
                 now = now.drop("cap").join(capped.select("id", "cap"), "id")
             # who can't be linked with anyone of its key leaves it, which may settle the key;
@@ -139,7 +142,8 @@ def linked(rows: DataFrame, test: Test, bound: Bound | None = None, rounds: int
             now = now.join(capped.select("id", "shared"), "id")
             one, two = now.select("key", row.alias("x")), now.select("key", row.alias("y"))
             met_now = one.join(two, (one["key"] == two["key"]) & F.expr("x.id < y.id and x.comp != y.comp") & bound.pair(F.col("x.info"), F.col("x.cap"), F.col("y.info"), F.col("y.cap")) & bound.exact(F.col("x.info"), F.col("x.shared"), F.col("y.info"), F.col("y.shared")))
-            good = stored(met_now.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "links")
+            good = stored((met_now.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")) if bound.sure else met_now.select(*sides("x", "y"))).dropDuplicates(["a", "b"]), "links")
+            good = good if bound.sure else stored(test(good).select("a", "b"), "links")
             return comp if good.isEmpty() else components(found.union(good))
         row = F.struct("id", "info", "cap", "comp")
         if step <= rounds:

@@ -165,6 +165,34 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_near_copies_that_differ_in_many_places_meet_seldom(spark):
+    """What rules lines and pairs out before they are compared never rules out two lines within two edits, and leaves few pairs of a large group."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, 7)))
+    base = [word() for _ in range(60)]
+    copies = [" ".join(word() if rng.random() < 0.05 else w for w in base) for _ in range(120)]
+    for x in copies[:40]:  # and some within two edits of these
+        at, other = rng.sample(range(len(x)), 2)
+        copies.append(rng.choice([x[:at] + "z" + x[at:], x[:at] + x[at + 1 :], x[:at] + "🙂" + x[at + 1 :]]))
+        copies[-1] = copies[-1][:other] + "y" + copies[-1][other + 1 :]
+    copies = sorted(set(copies))
+    lines = spark.createDataFrame(list(enumerate(copies)), "id long, line string")
+    of = F.when(~F.col("line").rlike(line_dedup.ASTRAL), line_dedup.sketch(F.col("line")))
+    seen = line_dedup.least_edits(lines).withColumn("sketch", of).cache()
+    left = {r.id for r in seen.filter(F.col("cap") <= 2).collect()}
+    met = seen.alias("x").crossJoin(seen.alias("y")).filter("x.id < y.id").filter(line_dedup.sketches_agree(F.col("x.sketch"), F.col("y.sketch"), 2))
+    may = {(r.a, r.b) for r in met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).collect()}
+    linked = 0
+    for a, x in enumerate(copies):
+        for b in range(a + 1, len(copies)):
+            if abs(len(x) - len(copies[b])) <= 2 and edit_distance(x[:60], copies[b][:60]) <= 4 and edit_distance(x, copies[b]) <= 2:
+                linked += 1
+                assert {a, b} <= left and (a, b) in may
+    plain = [i for i, x in enumerate(copies) if "🙂" not in x]
+    assert linked >= 30 and len(left) < len(copies)
+    assert sum(a in plain and b in plain for a, b in may) < 0.1 * len(plain) ** 2 / 2
+
+
 # --- 3 -----------------------------------------------------------------------------------------
 
 
