@@ -7,7 +7,9 @@ places where a token that spans the present place may start. From the merge list
 sufficient lookahead is computed: so many bytes behind its end a token can't change
 any more. It is emitted then, or before, once all places agree on it, so what is
 pending is bounded, whatever the text. Transitions between states are made when
-first met and kept, so most bytes cost one lookup.
+first met and kept, so most bytes cost one lookup. Pieces that are no longer than the
+lookahead wait for nothing and are mostly new where they aren't known as a whole: their
+places go on side by side, and no state is made of them.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from sigweave.llm.shared import bounded_batches
 #: Fixed: the pattern by which byte-level BPE files of this kind split a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces, states and token pairs that a worker keeps; beyond, it starts anew.
-KEPT_PIECES, KEPT_STATES, KEPT_PAIRS = 100_000, 160_000, 100_000
+KEPT_PIECES, KEPT_STATES, KEPT_PAIRS = 400_000, 40_000, 400_000
+#: Bytes up to which a piece makes no states.
+SHORT = 64
 #: Characters and ids that are in work at a time.
 WORK = 1 << 16
 
@@ -41,6 +45,10 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: Shared by all tokens that no longer one begins with.
+NOWHERE: dict = {}
+
+
 class State(dict):
     """The places where a token that spans the present place may start; as a map, byte to (ids now certain, next state).
 
@@ -80,6 +88,16 @@ class Transducer:
         self.ids = {t: i for t, i in ids.items() if i in good}
         self.longest = max(map(len, self.ids))
         self.starts = {t[:k] for t in self.ids for k in range(1, len(t))}
+        # by bytes from a place on: the token that ends there, if any, and where the next byte leads
+        self.tree: dict[int, tuple[int | None, dict]] = {}
+        for token, i in self.ids.items():
+            node = self.tree
+            for k, byte in enumerate(token, 1):
+                known, below = node.get(byte, (None, NOWHERE))
+                if k < len(token) and below is NOWHERE:
+                    below = {}
+                node[byte] = (i if k == len(token) else known, below)
+                node = below
         self.pairs: dict[int, bool] = {}
         self.states: dict[tuple, State] = {}
         self.root = State(((b"", None, ()),), self)
@@ -185,8 +203,37 @@ class Transducer:
         yield state.rest
 
     def encode(self, piece: bytes) -> bytes:
+        if len(piece) <= min(SHORT, self.lookahead + self.longest):
+            return self.short(piece)
         return b"".join(self.stream(iter((piece,))))
 
+    def short(self, piece: bytes) -> bytes:
+        """Ids of a piece within the lookahead, of which none has to be certain before its end: from each place on go the tokens that may start there."""
+        n, pairs, follows = len(piece), self.pairs, self.follows
+        if (whole := self.ids.get(piece)) is not None:  # tokens are kept if their own bytes encode as themselves
+            return whole.to_bytes(4, "little")
+        last: list[int | None] = [None] * (n + 1)  # the token that ends at each place, if no more bytes follow
+        begun = [0] * (n + 1)
+        for at in range(n):
+            before, node, end = last[at], self.tree, at
+            for byte in piece[at:]:
+                if (hit := node.get(byte)) is None:
+                    break
+                end += 1
+                token, node = hit
+                if token is None or last[end] is not None:
+                    continue
+                if at:
+                    known = pairs.get(before << 32 | token)
+                    if not (follows(before, token) if known is None else known):
+                        continue
+                last[end], begun[end] = token, at
+        ids = []
+        while n:
+            ids.append(last[n])
+            n = begun[n]
+        return packed(tuple(ids[::-1]))
+
 
 class Pieces(dict):
     """Ids of the pieces met lately: those met since it was last half full, and those of before that were met again."""

@@ -410,6 +410,16 @@ def test_bpe_equals_the_library(spark):
     assert sorted((r.doc_id or 0, r.decoded) for r in bpe.decoded(out, path).collect()) == sorted([(1, texts[0]), (2, ""), (0, "x"), (1, texts[0])])
 
 
+def test_short_pieces_make_no_states():
+    """New pieces within the lookahead give the ids that the states give, and leave no state behind."""
+    machine = bpe.Bpe(public.path("byte_bpe_50k.json")).pieces.transducer
+    rng = random.Random(4)
+    pieces = ["".join(rng.choice(["th", "e", "on", "ing", "é", "日", "🙂", "x", "1"]) for _ in range(rng.randint(1, 12))).encode() for _ in range(3000)]
+    found = [machine.encode(p) for p in pieces]
+    assert not machine.states and machine.lookahead > bpe.SHORT
+    assert found == [b"".join(machine.stream(iter((p,)))) for p in pieces] and machine.states
+
+
 def test_sufficient_lookahead_suffices():
     """In small random vocabularies no text behind the lookahead changes a token, and some text just within it does in one of them."""
     rng = random.Random(9)
