@@ -268,6 +268,21 @@ def test_lm_learns_from_every_text(spark, docs):
     assert model.log_p(ids, texts)[0].sum() > 0.97 * before
 
 
+def test_lm_learns_from_every_id():
+    """Each id of a text, and its end, is the next one in just one window, after those before it."""
+    path = public.path("byte_bpe_50k.tiktoken")
+    end = len(lm_scoring.encoding(path)._mergeable_ranks)
+    for n in (0, 1, 15, 16, 17, 400):
+        words = [b"word%d" % k for k in range(n)]
+        whole = np.concatenate([[end], lm_scoring.ids_of(words, path)[0], [end]])
+        rows = lm_scoring.windows(words, path, end)
+        new = rows[:, lm_scoring.CONTEXT + 1 :].ravel()
+        assert new[new >= 0].tolist() == whole[1:].tolist()
+        for k, row in enumerate(rows):
+            before = whole[max(0, k * lm_scoring.STRIDE - lm_scoring.CONTEXT) : k * lm_scoring.STRIDE + 1]
+            assert row[: lm_scoring.CONTEXT + 1].tolist() == [-1] * (lm_scoring.CONTEXT + 1 - len(before)) + before.tolist()
+
+
 def test_lm_classes_are_ranked_by_all_counted_words():
     of = np.arange(4000, 0, -1).astype(float)
     starts = np.arange(4000) % 2 == 0
