@@ -283,6 +283,47 @@ def test_lm_learns_from_every_id():
             assert row[: lm_scoring.CONTEXT + 1].tolist() == [-1] * (lm_scoring.CONTEXT + 1 - len(before)) + before.tolist()
 
 
+def test_lm_looks_words_up_once_a_batch(monkeypatch):
+    """The words and ids of texts are those of each text and each word alone, and a word is looked up once however often it occurs, wherever its text is priced."""
+    path = public.path("byte_bpe_50k.tiktoken")
+    texts = ["", None, "  A b ", "\u3000x \u3000 y\u3000 \u3000\u3000 z", "A\tB\nc\x0b\x0c\rd\x1ce\x85f \xa0 g", "don't 'S 123 x's b", "  \t"] + ["the same unheardword%d words here" % (k % 7) for k in range(200)]
+    said = lm_scoring.Said.of(pa.array(texts, pa.string()))
+    known, (ids, sizes) = said.spelt(), said.ids(path)
+    alone = lm_scoring.encoding(path).encode_ordinary
+    plain = [lm_scoring.words_of(x) for x in texts]
+    assert [[known[i] for i in said.index[a:b]] for a, b in zip(said.offsets, said.offsets[1:], strict=False)] == plain
+    each = [alone(" " + w.decode()) for words in plain for w in words]
+    assert ids.tolist() == [i for x in each for i in x] and sizes.tolist() == [len(x) for x in each]
+    model, asked = random_model(50258, np.arange(50258) % 2 == 0), []
+    monkeypatch.setattr(lm_scoring, "PRICED", 100)
+    monkeypatch.setattr(lm_scoring.WordIds, "of", lambda self, words, of=lm_scoring.WordIds.of: asked.extend(words) or of(self, words))
+    trained = lm_scoring.Trained(model, 0.5, {b"the": 5}, 100, 10)
+    two = lm_scoring.prices(trained, said, path).two
+    assert len(asked) == len(set(asked)) < 40
+    assert np.allclose(two, np.concatenate([lm_scoring.batch_prices(trained, [words], path)[0][1] for words in plain]), atol=1e-4)
+
+
+def test_lm_steps_follow_the_slope():
+    """The gradients of runs of windows, across texts' borders, are those of the ids' prices."""
+    rng = np.random.default_rng(2)
+    model = random_model(4000, np.arange(4000) % 2 == 0)
+    model.embed *= 0.3
+    texts = [np.concatenate([[3999], rng.integers(0, 3999, n), [3999]]) for n in (3, 100, 40, 0, 30)]
+    rows = np.concatenate([lm_scoring.cut(x) for x in texts])
+    rows = np.concatenate([rows, np.full((-len(rows) % lm_scoring.RUN, rows.shape[1]), -1)]).reshape(-1, lm_scoring.RUN, rows.shape[1])
+    grads = lm_scoring.gradients(model, rows)
+    size = sum(len(x) - 1 for x in texts)
+    ids, owner = np.concatenate(texts), np.repeat(np.arange(5), [len(x) for x in texts])
+    for name in lm_scoring.LEARNED:
+        at = np.unravel_index(np.abs(grads[name]).argmax(), grads[name].shape)
+        was, cost = getattr(model, name)[at], []
+        for step in (0.01, -0.01):
+            getattr(model, name)[at] = was + step
+            cost.append(-model.log_p(ids, owner)[0].sum(dtype=float) / size)
+        getattr(model, name)[at] = was
+        assert abs((cost[0] - cost[1]) / 0.02 - grads[name][at]) < 0.03 * abs(grads[name][at]), name
+
+
 def test_lm_classes_are_ranked_by_all_counted_words():
     of = np.arange(4000, 0, -1).astype(float)
     starts = np.arange(4000) % 2 == 0
