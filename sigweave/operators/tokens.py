@@ -22,7 +22,7 @@ def band_token(band: Column, level: Column, channel: Column) -> Column:
     return F.concat_ws("_", F.upper(band), F.upper(level), channel)
 
 
-def token_lists(binned: DataFrame, key: str, order: str) -> DataFrame:
+def token_lists(binned: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """key, tokens: one token for each feature, in the order of `order`."""
     return binned.withColumn("token", token(F.col("feature"), F.col("level"))).groupBy(key).agg(ordered("token", order).alias("tokens"))
 
